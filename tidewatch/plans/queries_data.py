@@ -1 +1,464 @@
+"""Ingest, rules, tables, splits, quality and drift queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.functions.naming import id_parts, namespaced_id
+from tidewatch.functions.scoring import finite
+from tidewatch.operators import drift, labels, metrics, quality, ranking, splits
+from tidewatch.operators.trailing import trailing_features
+from tidewatch.plans.catalog import register, rounded
+from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel, table
+from tidewatch.plans.panel_sql import with_info, with_latest, with_panel, with_scored
+from tidewatch.session import work_folder
+from tidewatch.sources import records, runs, tables
+from tidewatch.spec import DATASET, HOUR, KEY
+
+# the event panel as record files: record column = panel column
+AS_RECORD = {"HR": "view", "SBP": "click", "DBP": "purchase", "Lactate": "signup", "WBC": "error"}
+_RECORD_SQL = ", ".join(f'round("{m}", 6) AS "{v}"' for v, m in AS_RECORD.items())
+_NAME_SQL = "'p' || lpad(stay_id::VARCHAR, 6, '0')"
+
+
+def record_rows(p: EventPanel):
+    return p.panel.selectExpr(
+        "hospital", f"concat('p', lpad(cast({KEY} as string), 6, '0')) as record", HOUR,
+        *[f"`{m}` as `{v}`" for v, m in AS_RECORD.items()], "Age", "Gender", f"{HOUR} + 1 as ICULOS",
+        "label as SepsisLabel",
+    )
+
+
+def exported(p: EventPanel, damage: bool = False) -> str:
+    """The panel written as record files; with ``damage`` one in ten stays breaks each rule."""
+    path = work_folder(p.spark, "records")
+    lines = records.record_lines(record_rows(p))
+    if damage:
+        kind, v = F.substring("record", -1, 1), F.col("value")
+        data = F.col(HOUR) >= 0
+        late = F.col(HOUR) > 0
+        broken = (
+            F.when(data & (kind == "1"), F.lit("1|2|3"))
+            .when(data & (kind == "2"), F.regexp_replace(v, "^[^|]*", "high"))
+            .when(~data & (kind == "3"), F.lit("HR|O2Sat"))
+            .when(data & (kind == "4"), F.regexp_replace(v, "[^|]*$", "2.0"))
+            .when(~data & (kind == "5"), F.concat(F.lit("<html>"), v))
+            .when(late & (kind == "6"), F.regexp_replace(v, "[^|]*[|]([^|]*)$", "7.0|$1"))
+        )
+        lines = lines.withColumn("value", F.coalesce(broken, v)).filter(~((kind == "7") & data))
+    records.write_lines(lines, path)
+    return path
+
+
+@register("scan_psv", with_panel(
+    f"SELECT '{DATASET}:' || hospital || ':' || {_NAME_SQL} AS stay_id, hour_index, {_RECORD_SQL}, \"Age\", "
+    "(hour_index + 1)::DOUBLE AS \"ICULOS\", label::DOUBLE AS \"SepsisLabel\" FROM panel"))
+def scan_psv(spark, sf_dir):
+    """Write the panel as one text file per stay, read it back through the checks."""
+    checked = records.check_files(records.list_exported(spark, exported(EventPanel(spark, sf_dir))))
+    rows = records.hours(checked)
+    return rows.select(KEY, HOUR, *[rounded(v) for v in AS_RECORD], "Age", "ICULOS", "SepsisLabel")
+
+
+_DAMAGE_SQL = with_info(
+    f", f AS (SELECT stay_id, {_NAME_SQL} AS record, n_hours, label_start FROM info), "
+    "e AS (SELECT record, CASE stay_id % 10 WHEN 1 THEN 'malformed rows' WHEN 2 THEN 'malformed rows' "
+    "WHEN 3 THEN 'unexpected header (2 columns)' WHEN 4 THEN 'SepsisLabel must be 0/1 with no missing values' "
+    "WHEN 5 THEN 'HTML payload, not a PSV file' "
+    "WHEN 6 THEN (CASE WHEN n_hours > 1 THEN 'ICULOS is not strictly hourly' END) "
+    "WHEN 7 THEN 'no data rows' END AS error FROM f) ")
+
+
+@register("psv_checks", _DAMAGE_SQL + "SELECT error, count(*) AS files FROM e GROUP BY 1")
+def psv_checks(spark, sf_dir):
+    """Files per broken rule in a corpus where one stay in ten breaks each rule."""
+    checked = records.check_files(records.list_exported(spark, exported(EventPanel(spark, sf_dir), damage=True)))
+    return checked.groupBy("error").agg(F.count(F.lit(1)).alias("files"))
+
+
+@register("quarantine", _DAMAGE_SQL + "SELECT record, record || ': ' || error AS error FROM e WHERE error IS NOT NULL")
+def quarantine(spark, sf_dir):
+    checked = records.check_files(records.list_exported(spark, exported(EventPanel(spark, sf_dir), damage=True)))
+    return records.quarantine(checked).select("record", "error")
+
+
+@register("manifest_check", with_panel(
+    f", s AS (SELECT DISTINCT hospital, stay_id, {_NAME_SQL} || '.psv' AS file FROM panel) "
+    "SELECT hospital, file, CASE stay_id % 4 WHEN 1 THEN 'differs' WHEN 2 THEN 'unexpected' ELSE 'ok' END AS state FROM s"))
+def manifest_check(spark, sf_dir):
+    """Checksums against a manifest with some changed and some absent entries."""
+    files = records.list_exported(spark, exported(EventPanel(spark, sf_dir)))
+    kind = F.regexp_extract("file", "([0-9]+)", 1).cast("int") % 4
+    manifest = records.build_manifest(files).filter(kind != 2).withColumn(
+        "sha256", F.when(kind == 1, F.reverse("sha256")).otherwise(F.col("sha256"))
+    )
+    return records.manifest_check(files, manifest)
+
+
+# --- rules and keys ------------------------------------------------------------------
+
+@register("panel_rules", with_panel("""
+, r AS (SELECT stay_id, hour_index AS i,
+    CASE WHEN stay_id % 6 = 5 AND hour_index = 2 THEN NULL
+         ELSE hour_index + 1 + CASE WHEN stay_id % 4 = 1 AND hour_index >= 5 THEN 1 ELSE 0 END END AS clk,
+    CASE WHEN stay_id % 7 = 3 AND hour_index = 4 THEN NULL WHEN stay_id % 5 = 2 AND hour_index >= 40 THEN 0
+         ELSE label END AS y FROM panel),
+s AS (SELECT *, lag(clk) OVER w AS before, max(y) OVER w AS ever FROM r WINDOW w AS (PARTITION BY stay_id ORDER BY i))
+SELECT stay_id, count(*) FILTER (WHERE y IS NULL) AS bad_labels, count(*) FILTER (WHERE clk IS NULL) AS missing_clock,
+       coalesce(bool_or(clk - before <> 1), false) AS not_hourly, coalesce(bool_or(ever = 1 AND y = 0), false) AS reverts
+FROM s GROUP BY 1"""))
+def panel_rules(spark, sf_dir):
+    """The panel with clock jumps, gaps and label reversals put into some stays."""
+    rows = EventPanel(spark, sf_dir).panel.selectExpr(
+        KEY, HOUR,
+        f"if({KEY} % 6 = 5 and {HOUR} = 2, null, {HOUR} + 1 + if({KEY} % 4 = 1 and {HOUR} >= 5, 1, 0)) as ICULOS",
+        f"case when {KEY} % 7 = 3 and {HOUR} = 4 then null when {KEY} % 5 = 2 and {HOUR} >= 40 then 0 else label end as label",
+    )
+    return quality.panel_rules(rows)
+
+
+@register("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return quality.duplicate_keys(table(spark, sf_dir, "lineitem"), ("l_orderkey", "l_linenumber"))
+
+
+@register("contiguity", """
+SELECT l_orderkey, count(*) AS n_rows, count(DISTINCT l_linenumber) AS n_hours,
+       (max(l_linenumber) - min(l_linenumber) + 1)::BIGINT AS span,
+       count(*) - count(DISTINCT l_linenumber) AS repeated,
+       (max(l_linenumber) - min(l_linenumber) + 1 - count(DISTINCT l_linenumber))::BIGINT AS missing
+FROM lineitem GROUP BY 1
+HAVING count(*) <> count(DISTINCT l_linenumber)
+    OR max(l_linenumber) - min(l_linenumber) + 1 <> count(DISTINCT l_linenumber)""")
+def contiguity(spark, sf_dir):
+    return quality.contiguity_violations(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@register("stay_ids", with_panel(
+    f"SELECT DISTINCT '{DATASET}:' || hospital || ':' || {_NAME_SQL} AS stay_id, hospital, {_NAME_SQL} AS record FROM panel"))
+def stay_ids(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    record = F.concat(F.lit("p"), F.lpad(F.col(KEY).cast("string"), 6, "0"))
+    ids = p.panel.select("hospital", KEY).distinct().select(namespaced_id(F.col("hospital"), record).alias(KEY))
+    parts = id_parts(F.col(KEY))
+    return ids.select(KEY, parts["hospital"].alias("hospital"), parts["record"].alias("record"))
+
+
+# --- tables --------------------------------------------------------------------------
+
+@register("split_tables", with_panel(
+    ", t AS (SELECT stay_id, hour_index, " + ", ".join(f'"{m}"::FLOAT AS "{m}"' for m in MEASURES)
+    + ", label FROM panel) SELECT stay_id, hour_index, " + ", ".join(f'round("{m}"::DOUBLE, 4) AS "{m}"' for m in MEASURES)
+    + ", label::INT AS label, 'challenge2019_state' AS target_id, 'challenge2019_state@1' AS label_version FROM t"))
+def split_tables(spark, sf_dir):
+    """Inputs and outcomes written apart and joined again on their key."""
+    p = EventPanel(spark, sf_dir)
+    hourly, outcomes = quality.split_tables(p.panel, SPEC, ids=("hospital",))
+    root = work_folder(spark, "store")
+    tables.write_table(hourly, root, "hourly")
+    tables.write_table(outcomes, root, "outcomes")
+    both = tables.read_table(spark, root, "hourly").join(tables.read_table(spark, root, "outcomes"), [KEY, HOUR])
+    return both.select(KEY, HOUR, *[rounded(m, 4) for m in MEASURES], F.col("label").cast("int").alias("label"),
+                       "target_id", "label_version")
+
+
+@register("encounters", with_panel(
+    "SELECT stay_id, hospital AS hospital_key, count(*) AS n_hours, "
+    "round(arg_min(error, hour_index) FILTER (WHERE error IS NOT NULL), 6) AS admission_offset_h, "
+    "0.0::DOUBLE AS first_iculos, max(label) = 1 AS ever_positive, arg_min(label, hour_index) = 1 AS first_row_positive "
+    "FROM panel GROUP BY 1, 2"))
+def encounters(spark, sf_dir):
+    """First known values (here of ``error``), size and label facts per stay."""
+    enc = quality.encounters(EventPanel(spark, sf_dir).panel, offset="error", clock=HOUR)
+    return enc.select(KEY, "hospital_key", "n_hours", rounded("admission_offset_h"), "first_iculos", "ever_positive",
+                      "first_row_positive")
+
+
+def stays_of(p: EventPanel):
+    return quality.encounters(p.panel, offset=None, clock=None)
+
+
+@register("quality_report", with_info(
+    ", h AS (SELECT DISTINCT stay_id, hospital FROM scored), "
+    "a AS (SELECT hospital, count(*) AS rows, sum(label)::BIGINT AS positive_hours FROM scored GROUP BY 1) "
+    "SELECT hospital, count(*) AS stays, any_value(rows) AS rows, any_value(rows) / 24.0::DOUBLE AS patient_days, "
+    "any_value(positive_hours) AS positive_hours, round(any_value(positive_hours)::DOUBLE / any_value(rows), 6) AS "
+    "positive_hour_prevalence, count(*) FILTER (WHERE septic) AS ever_positive_stays, "
+    "count(*) FILTER (WHERE left_censored) AS left_censored_positive_stays, "
+    "quantile_cont(n_hours::DOUBLE, 0.5) AS median_hours, max(n_hours) AS max_hours "
+    "FROM info JOIN h USING (stay_id) JOIN a USING (hospital) GROUP BY 1"))
+def quality_report(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    r = quality.quality_report(p.panel, stays_of(p))
+    return r.select(*[rounded(c) if c == "positive_hour_prevalence" else F.col(c) for c in r.columns])
+
+
+@register("missing_fraction", with_panel(" UNION ALL ".join(
+    f"SELECT hospital, '{m}' AS variable, round(avg(CASE WHEN \"{m}\" IS NULL THEN 1.0 ELSE 0 END), 6) AS missing_fraction "
+    "FROM panel GROUP BY 1" for m in MEASURES)))
+def missing_fraction(spark, sf_dir):
+    m = quality.missing_fraction(EventPanel(spark, sf_dir).panel, MEASURES)
+    return m.select("hospital", "variable", rounded("missing_fraction"))
+
+
+@register("count_gate", with_panel(
+    ", g AS (SELECT hospital, count(DISTINCT stay_id) AS stays FROM panel GROUP BY 1) "
+    "SELECT e.hospital, coalesce(stays, 0) AS stays, expected, coalesce(stays, 0) = expected AS ok "
+    "FROM (VALUES ('A', 100::BIGINT), ('B', 60::BIGINT), ('C', 1::BIGINT)) e(hospital, expected) LEFT JOIN g USING (hospital)"))
+def count_gate(spark, sf_dir):
+    return quality.count_gate(stays_of(EventPanel(spark, sf_dir)), {"A": 100, "B": 60, "C": 1})
+
+
+@register("output_digests")
+def output_digests(spark, sf_dir):
+    """Digest of each written table, and the part files that differ on a second look (none)."""
+    p = EventPanel(spark, sf_dir)
+    hourly, outcomes = quality.split_tables(p.panel, SPEC, ids=("hospital",))
+    root = work_folder(spark, "store")
+    for name, df in (("hourly", hourly), ("outcomes", outcomes), ("encounters", stays_of(p))):
+        tables.write_table(df, root, name)
+    now = tables.file_digests(spark, root)
+    changed = tables.changed_outputs(tables.file_digests(spark, root), now)
+    return now.groupBy("table_name").agg(F.count(F.lit(1)).alias("files")).join(
+        changed.groupBy("table_name").agg(F.count(F.lit(1)).alias("changed")), "table_name", "left"
+    ).select("table_name", "files", F.coalesce("changed", F.lit(0)).alias("changed"))
+
+
+@register("metrics_long", with_panel(
+    ", m AS (SELECT hospital, count(*)::DOUBLE AS rows, sum(label)::DOUBLE AS positive_hours, avg(label) AS prevalence FROM panel GROUP BY 1) "
+    "SELECT 'events' AS run, hospital AS split, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT hospital, rows, "
+    "positive_hours, prevalence FROM m) ON rows, positive_hours, prevalence INTO NAME metric VALUE value) "
+    "UNION ALL SELECT 'events', hospital, 'undefined', NULL FROM m"))
+def metrics_long(spark, sf_dir):
+    """Metrics document written as JSON rows and read back; NaN becomes null."""
+    p = EventPanel(spark, sf_dir)
+    m = p.panel.groupBy("hospital").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positive_hours"), F.avg("label").alias("prevalence"),
+        F.lit(float("nan")).alias("undefined"),
+    )
+    long = tables.metrics_long(m, F.lit("events").alias("run"), F.col("hospital").alias("split"))
+    path = work_folder(spark, "metrics")
+    tables.write_metrics(long, path)
+    back = spark.read.schema("run string, split string, metric string, value double").json(path)
+    return back.select("run", "split", "metric", rounded(finite(F.col("value")), name="value"))
+
+
+@register("feature_cache", with_panel(
+    "SELECT count(*) AS n_rows, count(DISTINCT stay_id) AS stays, count(signup) AS observed_signup FROM panel"))
+def feature_cache(spark, sf_dir):
+    """Features written once per schema version; the second call reads the table."""
+    p = EventPanel(spark, sf_dir)
+    root = work_folder(spark, "store")
+    for _ in range(2):
+        f = tables.cached_features(spark, root, p.inputs, CONFIG, SPEC, p.long)
+    return f.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(KEY).alias("stays"),
+        F.sum("signup__observed").cast("long").alias("observed_signup"),
+    )
+
+
+@register("psv_export", with_scored(
+    "SELECT stay_id, 'label' AS kind, label::VARCHAR AS value, count(*) AS n FROM scored GROUP BY ALL "
+    "UNION ALL SELECT DISTINCT stay_id, 'label', 'SepsisLabel', 1 FROM scored "
+    "UNION ALL SELECT stay_id, 'prediction', printf('%.6f', coalesce(score, 0)) || '|' || CASE WHEN score >= 0.5 THEN 1 ELSE 0 END, "
+    "count(*) FROM scored GROUP BY ALL "
+    "UNION ALL SELECT DISTINCT stay_id, 'prediction', 'PredictedProbability|PredictedLabel', 1 FROM scored"))
+def psv_export(spark, sf_dir):
+    """Label and prediction text files per stay, written and read back as line counts."""
+    root = work_folder(spark, "official")
+    rows = metrics.predictions(EventPanel(spark, sf_dir).scored, 0.5)
+    for name, lines in zip(("label", "prediction"), records.export_lines(rows)):
+        records.write_lines(lines, f"{root}/kind={name}", by=(KEY,))
+    return spark.read.text(root).groupBy(F.col(KEY).cast("long").alias(KEY), "kind", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+# --- splits and samples --------------------------------------------------------------
+
+SEED = 2019
+_CUM = (0.60, 0.75, 0.85)
+_SPLIT_SQL = (
+    ", st AS (SELECT i.stay_id, any_value(hospital) AS hospital, any_value(septic) AS ever_positive FROM info i "
+    "JOIN scored USING (stay_id) GROUP BY 1), "
+    f"rk AS (SELECT *, row_number() OVER (PARTITION BY ever_positive ORDER BY md5('{SEED}|' || stay_id), stay_id) - 1 AS i, "
+    "count(*) OVER (PARTITION BY ever_positive) AS n FROM st WHERE hospital = 'A'), "
+    "sp AS (SELECT stay_id, CASE "
+    + " ".join(f"WHEN i < floor({c}::DOUBLE * n + 0.5) THEN '{name}'" for c, name in
+               zip(_CUM, ("a_train", "a_validation", "a_calibration")))
+    + " ELSE 'a_test' END AS split FROM rk UNION ALL SELECT stay_id, 'b_external' FROM st WHERE hospital <> 'A') ")
+
+
+def panel_splits(p: EventPanel):
+    stays = stays_of(p).select(KEY, F.col("hospital_key").alias("hospital"), "ever_positive")
+    return splits.make_splits(stays, SEED)
+
+
+@register("splits", with_info(_SPLIT_SQL + "SELECT stay_id, split FROM sp"))
+def make_splits(spark, sf_dir):
+    return panel_splits(EventPanel(spark, sf_dir))
+
+
+@register("split_hash", with_info(
+    _SPLIT_SQL + ", g AS (SELECT split, count(*) AS stays, "
+    "sum(('0x' || substr(md5(stay_id::VARCHAR), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS total FROM sp GROUP BY 1) "
+    "SELECT split, stays, sha256(split || '|' || stays || '|' || total) AS digest FROM g"))
+def split_hash(spark, sf_dir):
+    return splits.split_digest(panel_splits(EventPanel(spark, sf_dir)))
+
+
+@register("split_overlap", with_info(
+    _SPLIT_SQL + ", dirty AS (SELECT * FROM sp UNION ALL SELECT stay_id, 'a_test' FROM sp WHERE stay_id % 10 = 1) "
+    "SELECT stay_id, count(DISTINCT split) AS n_splits FROM dirty GROUP BY 1 HAVING count(DISTINCT split) > 1"))
+def split_overlap(spark, sf_dir):
+    """Splits with every tenth stay also put into the test split."""
+    s = panel_splits(EventPanel(spark, sf_dir))
+    dirty = s.unionByName(s.filter(F.col(KEY) % 10 == 1).select(KEY, F.lit("a_test").alias("split")))
+    return splits.split_overlap(dirty)
+
+
+@register("split_filter", with_info(
+    _SPLIT_SQL + "SELECT s.stay_id, hour_index, score FROM scored s SEMI JOIN sp ON sp.stay_id = s.stay_id AND split = 'a_validation'"))
+def split_filter(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    return splits.in_split(p.scored, panel_splits(p), "a_validation").select(KEY, HOUR, "score")
+
+
+@register("stays_not_in_split", with_info(
+    _SPLIT_SQL + "SELECT DISTINCT user_id AS stay_id FROM events WHERE event_type = 'signup' AND value > 100 "
+    "EXCEPT SELECT stay_id FROM sp WHERE split = 'a_test'"))
+def stays_not_in_split(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    asked = p.events.filter("event_type = 'signup' AND value > 100").select(F.col("user_id").alias(KEY))
+    return splits.not_in_split(asked, panel_splits(p), "a_test")
+
+
+@register("sample_stays", with_info(
+    _SPLIT_SQL + f"SELECT stay_id FROM sp ORDER BY md5('7|' || stay_id), stay_id LIMIT 12"))
+def sample_stays(spark, sf_dir):
+    return splits.sample(panel_splits(EventPanel(spark, sf_dir)), 12, seed=7).select(KEY)
+
+
+@register("enriched_sample", with_info(
+    _SPLIT_SQL + ", r AS (SELECT stay_id, ever_positive, row_number() OVER (PARTITION BY ever_positive "
+    "ORDER BY md5('7|' || stay_id), stay_id) AS rn FROM st) "
+    "SELECT stay_id, ever_positive FROM r WHERE rn <= 6"))
+def enriched_sample(spark, sf_dir):
+    stays = stays_of(EventPanel(spark, sf_dir)).select(KEY, "ever_positive")
+    return splits.enriched_sample(stays, 12, 0.5, seed=7)
+
+
+@register("feature_label_join", with_latest(
+    "SELECT stay_id, hour_index, round(l_view, 6) AS \"view__last\", label FROM latest"))
+def feature_label_join(spark, sf_dir):
+    """Features joined one-to-one with the outcome table."""
+    from tidewatch.plans.jobs import labelled
+
+    p = EventPanel(spark, sf_dir)
+    f = trailing_features(p.inputs, CONFIG, SPEC, long=p.long, as_float32=False)
+    out = labelled(f, labels.state_label(p.panel))
+    return out.select(KEY, HOUR, rounded("view__last"), F.col("label").cast("int").alias("label"))
+
+
+# --- drift and importance ------------------------------------------------------------
+
+_LASTS = [f"{m}__last" for m in MEASURES]
+
+
+def _drift_sql(m):
+    def agg(fn, h):
+        return f"{fn}(l_{m}) FILTER (WHERE hospital = '{h}')"
+
+    missing = {h: f"avg(CASE WHEN l_{m} IS NULL THEN 1.0 ELSE 0 END) FILTER (WHERE hospital = '{h}')" for h in "AB"}
+    return (f"SELECT '{m}__last' AS feature, round({agg('avg', 'A')}, 6) AS mean_a, round({agg('avg', 'B')}, 6) AS mean_b, "
+            f"round(({agg('avg', 'B')} - {agg('avg', 'A')}) / sqrt(({agg('stddev_pop', 'A')} ** 2 + {agg('stddev_pop', 'B')} ** 2) / 2), 6) "
+            f"AS smd_b_vs_a, round({missing['A']}, 6) AS missing_a, round({missing['B']}, 6) AS missing_b FROM latest")
+
+
+@register("feature_drift", with_latest(" UNION ALL ".join(_drift_sql(m) for m in MEASURES)))
+def feature_drift(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    f = trailing_features(p.inputs, CONFIG, SPEC, long=p.long, as_float32=False, keep=("hospital",))
+    d = drift.feature_drift(f, _LASTS)
+    return d.select("feature", *[rounded(c) for c in d.columns if c != "feature"])
+
+
+@register("all_missing", with_panel(" UNION ALL ".join(
+    [f"SELECT '{m}' AS feature, count(\"{m}\") AS known, count(\"{m}\") = 0 AS all_missing FROM panel" for m in MEASURES]
+    + ["SELECT 'never', 0, true"])))
+def all_missing(spark, sf_dir):
+    from tidewatch.plans.models import known_counts
+
+    rows = EventPanel(spark, sf_dir).panel.withColumn("never", F.lit(None).cast("double"))
+    known = known_counts(rows, [*MEASURES, "never"])
+    return known.select("feature", "known", (F.col("known") == 0).alias("all_missing"))
+
+
+@register("looks", "SELECT 'run-' || user_id % 7 AS run, event_type AS split, count(*) AS looks FROM events GROUP BY 1, 2")
+def looks(spark, sf_dir):
+    return runs.looks(evaluation_log(spark, sf_dir)).select("run", "split", "looks")
+
+
+def evaluation_log(spark, sf_dir):
+    """Events read as a log of who looked at what, when."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("run-"), (F.col("user_id") % 7).cast("string")).alias("run"), F.col("event_type").alias("split"),
+        F.col("ts").alias("at"),
+    )
+
+
+@register("prior_looks", """
+WITH log AS (SELECT 'run-' || user_id % 7 AS run, event_type AS split, ts AS tm FROM events),
+f AS (SELECT run, split, min(tm) AS first_at FROM log GROUP BY 1, 2)
+SELECT f.run, f.split, count(l.run) AS prior_looks
+FROM f LEFT JOIN log l ON l.split = f.split AND l.run <> f.run AND l.tm < f.first_at GROUP BY 1, 2""")
+def prior_looks(spark, sf_dir):
+    return runs.prior_looks(evaluation_log(spark, sf_dir))
+
+
+# --- run documents -------------------------------------------------------------------
+
+RUN_THRESHOLDS = (0.4, 0.5, 0.6)
+
+
+def evaluated_runs(p: EventPanel):
+    """Accuracy and alarms of three alarm thresholds per hospital, as if three runs had been evaluated."""
+    score = F.col("score")
+    each = p.scored.select("hospital", "label", "score", F.explode(F.array(*[F.lit(t) for t in RUN_THRESHOLDS])).alias("thr"))
+    alarm = F.coalesce(score >= F.col("thr"), F.lit(False))
+    return each.groupBy(F.concat(F.lit("run-"), F.col("thr").cast("string")).alias("run_id"), "thr", F.col("hospital").alias("split")).agg(
+        F.avg((alarm == (F.col("label") == 1)).cast("double")).alias("accuracy"), F.count_if(alarm).alias("alarms"),
+    )
+
+
+_RUNS_SQL = (", ev AS (SELECT 'run-' || thr AS run_id, hospital AS split, avg(CASE WHEN coalesce(score >= thr, false) = (label = 1) "
+             "THEN 1.0 ELSE 0 END) AS accuracy, count(*) FILTER (WHERE score >= thr) AS alarms "
+             "FROM scored, (VALUES (0.4), (0.5), (0.6)) v(thr) GROUP BY 1, 2) ")
+
+
+@register("runs_report", with_scored(
+    _RUNS_SQL + "SELECT run_id, 'fixture' AS model_kind, count(*) AS n_splits, round(max(accuracy) FILTER (WHERE split = 'A'), 6) "
+    "AS accuracy_a, round(max(accuracy) FILTER (WHERE split = 'B'), 6) AS accuracy_b FROM ev GROUP BY 1"))
+def runs_report(spark, sf_dir):
+    """Run documents written as JSON under run folders, collected into one report."""
+    root = work_folder(spark, "runs")
+    ev = evaluated_runs(EventPanel(spark, sf_dir))
+    ev.select("run_id", "split", F.struct("accuracy", "alarms").alias("metrics")).write.partitionBy("run_id", "split").json(f"{root}/eval")
+    ev.select("run_id").distinct().withColumn("model_kind", F.lit("fixture")).write.partitionBy("run_id").json(f"{root}/bundle")
+    bundles = runs.read_documents(spark, root, "bundle/*", "model_kind string").drop("split")
+    evals = runs.read_documents(spark, root, "eval/*/*", "metrics struct<accuracy:double,alarms:bigint>")
+    report = runs.runs_report(bundles, evals)
+    return report.select(
+        "run_id", "model_kind", F.size("evaluations").cast("long").alias("n_splits"),
+        *[rounded(F.col("evaluations")[s]["accuracy"], name=f"accuracy_{s.lower()}") for s in "AB"],
+    )
+
+
+@register("promote", with_scored(
+    _RUNS_SQL + "SELECT run_id AS selected, round(accuracy, 6) AS val_auprc, 3::BIGINT AS candidates FROM ev WHERE split = 'A' "
+    "ORDER BY accuracy DESC, run_id LIMIT 1"))
+def promote(spark, sf_dir):
+    """Pick the run with the best validation value."""
+    ev = evaluated_runs(EventPanel(spark, sf_dir)).filter(F.col("split") == "A")
+    best = runs.promote(ev.select("run_id", F.col("accuracy").alias("val_auprc"), F.col("thr").alias("position")))
+    return best.select("selected", rounded("val_auprc"), "candidates")
