@@ -170,7 +170,7 @@ def policy_states(scored: DataFrame, policy: AlertPolicy, long: bool | None = No
         .when(F.col(HOUR) < last_alert + policy.cooldown_h, "cooldown")
         .otherwise("monitoring")
     )
-    return state.select(KEY, HOUR, name.alias("state"), F.coalesce("fired", F.lit(0)).alias("alert"))
+    return state.select(KEY, HOUR, "score", name.alias("state"), F.coalesce("fired", F.lit(0)).alias("alert"))
 
 
 def acknowledge(states: DataFrame, reviews: DataFrame, long: bool | None = None,

@@ -60,7 +60,7 @@ def with_machine(policies: str, body: str) -> str:
 
 @register("policy_states", with_machine(_one(POLICY), "SELECT stay_id, hour_index, state, alert FROM machine WHERE hour_index >= 0"))
 def policy_states(spark, sf_dir):
-    return states(EventPanel(spark, sf_dir))
+    return states(EventPanel(spark, sf_dir)).drop("score")
 
 
 @register("alert_hours", with_machine(_one(POLICY), "SELECT stay_id, hour_index AS alert_hour FROM machine WHERE alert = 1"))

@@ -41,7 +41,7 @@ def exported(p: EventPanel, damage: bool = False) -> str:
             F.when(data & (kind == "1"), F.lit("1|2|3"))
             .when(data & (kind == "2"), F.regexp_replace(v, "^[^|]*", "high"))
             .when(~data & (kind == "3"), F.lit("HR|O2Sat"))
-            .when(data & (kind == "4"), F.regexp_replace(v, "[^|]*$", "2.0"))
+            .when(data & (kind == "4"), F.regexp_replace(v, "[^|]+$", "2.0"))
             .when(~data & (kind == "5"), F.concat(F.lit("<html>"), v))
             .when(late & (kind == "6"), F.regexp_replace(v, "[^|]*[|]([^|]*)$", "7.0|$1"))
         )

@@ -1 +1,162 @@
+"""Preprocessing statistics, fits and explanations over the event panel."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import drift, splits
+from tidewatch.operators.labels import state_label
+from tidewatch.operators.trailing import trailing_features
+from tidewatch.plans import models
+from tidewatch.plans.catalog import register, rounded
+from tidewatch.plans.event_panel import CONFIG, SPEC, EventPanel
+from tidewatch.plans.jobs import labelled
+from tidewatch.plans.panel_sql import with_info, with_latest, with_panel
+from tidewatch.plans.queries_data import _SPLIT_SQL, panel_splits
+from tidewatch.spec import HOUR, KEY, FeatureConfig, feature_names
+
+LASTS = ("view", "click", "purchase", "error")
+# a small configuration keeps the fits quick; the statistics queries use it too
+SMALL = FeatureConfig(feature_set="basic", windows=(6,), stats=("mean", "max"))
+NAMES = feature_names(SMALL, SPEC)
+
+
+def split_rows(p: EventPanel, *names):
+    """Labelled feature rows of each named split."""
+    f = trailing_features(p.inputs, SMALL, SPEC, long=p.long, as_float32=False)
+    rows = labelled(f, state_label(p.panel))
+    members = panel_splits(p)
+    return [splits.in_split(rows, members, n) for n in names]
+
+
+_TRAIN = (_SPLIT_SQL + ", tr AS (SELECT l.* FROM latest l SEMI JOIN sp ON sp.stay_id = l.stay_id AND split = 'a_train') ")
+
+
+@register("class_balance", with_info(
+    _TRAIN + "SELECT sum(label)::BIGINT AS positives, sum(1 - label)::BIGINT AS negatives, round(avg(label), 6) AS prevalence, "
+    "round(sum(1 - label)::DOUBLE / sum(label), 6) AS positive_weight FROM tr"))
+def class_balance(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    train = splits.in_split(p.panel, panel_splits(p), "a_train")
+    b = models.class_balance(train)
+    return b.select("positives", "negatives", rounded("prevalence"), rounded("positive_weight"))
+
+
+def _train_latest(p: EventPanel):
+    rows = p.state.select(KEY, *[p.latest[m].alias(f"{m}__last") for m in LASTS])
+    return splits.in_split(rows, panel_splits(p), "a_train")
+
+
+@register("clip_bounds", with_info(_TRAIN + " UNION ALL ".join(
+    f"SELECT '{m}__last' AS feature, round(quantile_cont(l_{m}, 0.005), 6) AS lower, round(quantile_cont(l_{m}, 0.995), 6) "
+    "AS upper FROM tr" for m in LASTS)))
+def clip_bounds(spark, sf_dir):
+    """Training-only clip quantiles."""
+    q = models.column_quantiles(_train_latest(EventPanel(spark, sf_dir)), [f"{m}__last" for m in LASTS], [0.005, 0.995])
+    at = lambda p: F.max(F.when(F.col("q") == p, F.col("value")))
+    return q.groupBy("feature").agg(rounded(at(0.005), name="lower"), rounded(at(0.995), name="upper"))
+
+
+def _stats_sql(m):
+    """DuckDB's greatest/least skip nulls, so the gap is tested first."""
+    x = f"CASE WHEN l_{m} IS NULL THEN med ELSE greatest(least(l_{m}, hi), lo) END"
+    q = ", ".join(f"quantile_cont(l_{m}, {p}) AS {n}" for n, p in (("lo", 0.005), ("hi", 0.995), ("med", 0.5)))
+    return (f"SELECT '{m}__last' AS feature, round(any_value(med), 6) AS median, round(avg({x}), 6) AS mean, "
+            f"round(stddev_pop({x}), 6) AS spread FROM tr, (SELECT {q} FROM tr)")
+
+
+@register("preprocess_stats", with_info(_TRAIN + " UNION ALL ".join(_stats_sql(m) for m in LASTS)))
+def preprocess_stats(spark, sf_dir):
+    """Training-only medians and moments after clipping and imputation."""
+    pre = models.fit_preprocess(_train_latest(EventPanel(spark, sf_dir)), [f"{m}__last" for m in LASTS])
+    rows = [(f, pre.median[f], pre.mean[i], pre.spread[i]) for i, f in enumerate(pre.kept)]  # one per feature
+    out = spark.createDataFrame(rows, "feature string, median double, mean double, spread double")
+    return out.select("feature", rounded("median"), rounded("mean"), rounded("spread"))
+
+
+# --- explanation with given coefficients --------------------------------------------------
+
+COEF = {"view": 0.8, "click": -0.5, "purchase": 0.3, "signup": -0.2, "error": 1.1}
+CENTRE = {"view": 48.0, "click": 50.0, "purchase": 48.0, "signup": 51.0, "error": 49.0}
+SCALE = {"view": 45.0, "click": 50.0, "purchase": 47.0, "signup": 52.0, "error": 46.0}
+
+
+def _given(p: EventPanel):
+    rows = p.state.select(KEY, HOUR, *[p.latest[m].alias(f"{m}__last") for m in COEF])
+    named = lambda d: {f"{m}__last": x for m, x in d.items()}
+    return rows, drift.contribution_table(rows, named(COEF), named(CENTRE), named(SCALE))
+
+
+def _contrib_sql(m):
+    return f"coalesce({COEF[m]}::DOUBLE * (l_{m} - {CENTRE[m]}::DOUBLE) / {SCALE[m]}::DOUBLE, 0)"
+
+
+@register("top_contributions", with_latest(
+    ", c AS (" + " UNION ALL ".join(
+        f"SELECT stay_id, hour_index, '{m}__last' AS feature, {_contrib_sql(m)} AS contribution, l_{m} AS value FROM latest"
+        for m in COEF) + "), r AS (SELECT *, row_number() OVER (PARTITION BY stay_id, hour_index ORDER BY abs(contribution) DESC, "
+    "feature) AS rank FROM c) SELECT stay_id, hour_index, rank::INT AS rank, feature, round(contribution, 6) AS contribution, "
+    "round(value, 6) AS value, value IS NULL AS missing FROM r WHERE rank <= 3"))
+def top_contributions(spark, sf_dir):
+    """The three largest contributions of every hour."""
+    rows, contributions = _given(EventPanel(spark, sf_dir))
+    top = drift.top_contributions(contributions, {f: F.col(f) for f in contributions}, 3)
+    flat = rows.select(KEY, HOUR, F.posexplode(top).alias("at", "c"))
+    return flat.select(
+        KEY, HOUR, (F.col("at") + 1).alias("rank"), "c.feature", rounded("c.contribution", name="contribution"),
+        rounded("c.value", name="value"), "c.missing",
+    )
+
+
+_IMPORTANCE = ", i AS (" + " UNION ALL ".join(
+    f"SELECT '{m}__last' AS feature, avg(abs({_contrib_sql(m)})) AS importance FROM latest" for m in COEF) + ") "
+
+
+@register("importance", with_latest(
+    _IMPORTANCE + "SELECT feature, round(importance, 6) AS importance, round(importance / (SELECT sum(importance) FROM i), 6) "
+    "AS share FROM i ORDER BY i.importance DESC LIMIT 3"))
+def importance(spark, sf_dir):
+    rows, contributions = _given(EventPanel(spark, sf_dir))
+    return drift.importance(rows, contributions, 3).select("feature", rounded("importance"), rounded("share"))
+
+
+@register("family_share", with_latest(
+    _IMPORTANCE + "SELECT CASE WHEN feature IN ('signup__last', 'error__last') THEN 'lab' ELSE 'vital sign' END AS family, "
+    "round(sum(importance) / (SELECT sum(importance) FROM i), 6) AS share FROM i GROUP BY 1"))
+def family_share(spark, sf_dir):
+    rows, contributions = _given(EventPanel(spark, sf_dir))
+    out = drift.family_share(drift.importance(rows, contributions), SPEC)
+    return out.select("family", rounded("share"))
+
+
+# --- fits -------------------------------------------------------------------------------------
+
+@register("logistic_trials")
+def logistic_trials(spark, sf_dir):
+    """Regularised logistic models, ranked by validation AUPRC."""
+    train, valid = split_rows(EventPanel(spark, sf_dir), "a_train", "a_validation")
+    trials = models.run_trials(train, valid, NAMES, [{"c": 0.1}, {"c": 0.01, "balanced": True}])
+    rows = [(t["position"], float(t["params"]["c"]), t["val_auprc"]) for t in trials]
+    return spark.createDataFrame(rows, "trial int, c double, val_auprc double").select("trial", "c", rounded("val_auprc"))
+
+
+@register("logistic_score")
+def logistic_score(spark, sf_dir):
+    """Fit, calibrate on its own split, score every hour."""
+    p = EventPanel(spark, sf_dir)
+    train, cal = split_rows(p, "a_train", "a_calibration")
+    model = models.fit_logistic(train, NAMES)
+    platt = models.fit_platt(cal.select("label", model.probability().alias("raw")))
+    f = trailing_features(p.inputs, SMALL, SPEC, long=p.long, as_float32=False)
+    s = models.score_frame(f, model, platt, SMALL, SPEC)
+    return s.select(KEY, HOUR, rounded("score"), "status")
+
+
+@register("tree_bag_score")
+def tree_bag_score(spark, sf_dir):
+    """Two boosted models with early stopping, averaged on the margin."""
+    p = EventPanel(spark, sf_dir)
+    train, valid = split_rows(p, "a_train", "a_validation")
+    bag = models.fit_trees(train, valid, NAMES, seeds=(1, 2), rounds=5, depth=3)
+    (test,) = split_rows(p, "a_test")
+    return bag.score(test, [KEY, HOUR]).select(KEY, HOUR, rounded("raw", name="score"))

@@ -1 +1,132 @@
+"""Views at a clock, deduplication, and the streaming replay."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import labels, views
+from tidewatch.plans.catalog import register, rounded
+from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel
+from tidewatch.plans.panel_sql import with_info, with_panel, with_scored
+from tidewatch.plans.queries_alerts import POLICY, _one, fired, reviews, states, with_machine
+from tidewatch.session import work_folder
+from tidewatch.spec import HOUR, KEY
+from tidewatch.streaming.replay import run_available
+
+CLOCK = 80
+
+
+def reviewed(p: EventPanel):
+    f = fired(p)
+    r = f.join(reviews(f), [KEY, "alert_hour"], "left")
+    return r.select(KEY, "alert_hour", F.when(F.col("reviewed_at_hour").isNull(), "open").otherwise("acknowledged").alias("review"))
+
+
+def steps(p: EventPanel):
+    s = states(p)
+    return s.withColumn("status", F.when(F.col("score").isNull(), "data_unavailable").otherwise("scored"))
+
+
+@register("patients", with_machine(_one(POLICY), f"""
+, m AS (SELECT k.stay_id, k.hour_index, k.state, k.alert, s.score, s.status FROM machine k JOIN scored s USING (stay_id, hour_index)),
+v AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY hour_index DESC) AS rn FROM m WHERE hour_index <= {CLOCK}),
+a AS (SELECT stay_id, count(*) AS alerts, count(*) FILTER (WHERE stay_id % 3 <> 1) AS open_alerts FROM m
+      WHERE alert = 1 AND hour_index <= {CLOCK} GROUP BY 1)
+SELECT i.stay_id, least({CLOCK}, n_hours - 1) + 1 AS visible_hours, {CLOCK} < n_hours - 1 AS active,
+       {CLOCK} >= n_hours - 1 AS ended, v.hour_index AS latest_hour, v.score AS latest_score, v.status AS latest_status,
+       v.state AS policy_state, coalesce(alerts, 0) AS alerts, coalesce(open_alerts, 0) AS open_alerts
+FROM info i LEFT JOIN v ON v.stay_id = i.stay_id AND rn = 1 LEFT JOIN a ON a.stay_id = i.stay_id"""))
+def patients(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    return views.board(steps(p), reviewed(p), labels.onset(p.panel), CLOCK)
+
+
+@register("timeline", with_panel(" UNION ALL ".join(
+    f"SELECT stay_id, hour_index, '{m}' AS variable, printf('%.6g', \"{m}\")::DOUBLE AS value, 'points' AS unit "
+    f"FROM panel WHERE \"{m}\" IS NOT NULL AND hour_index <= {CLOCK}" for m in MEASURES)))
+def timeline(spark, sf_dir):
+    return views.timeline(EventPanel(spark, sf_dir).inputs, CLOCK, spec=SPEC)
+
+
+@register("freshness", with_info("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT p.stay_id, '{m}' AS variable, max(hour_index) AS last_hour, "
+    f"(least({CLOCK}, any_value(n_hours) - 1) - max(hour_index))::BIGINT AS hours_since FROM panel p JOIN info USING (stay_id) "
+    f"WHERE \"{m}\" IS NOT NULL AND hour_index <= {CLOCK} GROUP BY 1" for m in MEASURES) + ")"))
+def freshness(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    return views.freshness(p.inputs, labels.onset(p.panel), CLOCK, spec=SPEC)
+
+
+@register("retrospective", with_info(
+    "SELECT 'replay-' || stay_id % 2 AS replay_id, stay_id, label_start AS label_start_hour, onset AS onset_proxy_hour, "
+    "left_censored FROM info WHERE stay_id % 2 = 1"))
+def retrospective(spark, sf_dir):
+    """Two replays, one of them still running."""
+    facts = labels.onset(EventPanel(spark, sf_dir).panel)
+    replays = facts.select(
+        F.concat(F.lit("replay-"), (F.col(KEY) % 2).cast("string")).alias("replay_id"), KEY,
+        F.when(F.col(KEY) % 2 == 1, "finished").otherwise("playing").alias("status"),
+    )
+    return views.retrospective(facts, replays)
+
+
+@register("alerts_list", with_machine(_one(POLICY), f"SELECT stay_id, hour_index AS alert_hour, CASE WHEN stay_id % 3 = 1 "
+          f"THEN 'acknowledged' ELSE 'open' END AS review FROM machine WHERE alert = 1 AND hour_index <= {CLOCK}"))
+def alerts_list(spark, sf_dir):
+    return views.alerts_until(reviewed(EventPanel(spark, sf_dir)), CLOCK)
+
+
+@register("audit_tail", with_machine(_one(POLICY), """
+, m AS (SELECT k.stay_id, k.hour_index, k.alert FROM machine k WHERE hour_index >= 0),
+e AS (SELECT hour_index, 'alert_emitted' AS kind, '{"stay_id":' || stay_id || ',"hour":' || hour_index || '}' AS payload
+      FROM m WHERE alert = 1
+      UNION ALL SELECT hour_index, 'replay_step', '{"hour":' || hour_index || ',"scored":' || count(*) || ',"alerts":'
+      || sum(alert) || '}' FROM m GROUP BY 1)
+SELECT hour_index, kind, payload FROM e ORDER BY hour_index DESC, kind DESC, payload DESC LIMIT 200"""))
+def audit_tail(spark, sf_dir):
+    """The newest 200 audit events of a replay over all stays."""
+    s = steps(EventPanel(spark, sf_dir)).withColumn("replay_id", F.lit("replay")).drop("score").withColumn(
+        "score", F.lit(None).cast("double"))
+    return views.newest_first(views.audit_events(s), 200, HOUR, "kind", "payload").select(HOUR, "kind", "payload")
+
+
+@register("score_segments", with_scored(
+    ", t AS (SELECT stay_id, hour_index, score, count(*) FILTER (WHERE score IS NULL) OVER (PARTITION BY stay_id "
+    "ORDER BY hour_index) AS island FROM scored) SELECT stay_id, min(hour_index) AS first_hour, max(hour_index) AS last_hour, "
+    "count(*) AS n FROM t WHERE score IS NOT NULL GROUP BY stay_id, island"))
+def score_segments(spark, sf_dir):
+    p = EventPanel(spark, sf_dir)
+    return views.score_segments(p.scored, p.long)
+
+
+@register("dedupe_predictions", with_scored("SELECT stay_id, hour_index, score, 0 AS attempt FROM scored"))
+def dedupe_predictions(spark, sf_dir):
+    """Predictions of which a part was written again by a retried step."""
+    s = EventPanel(spark, sf_dir).scored.select(KEY, HOUR, "score")
+    attempts = F.when(F.col(KEY) % 5 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))
+    retried = s.withColumn("attempt", F.explode(attempts))
+    again = retried.withColumn("score", F.when(F.col("attempt") == 1, F.lit(-1.0)).otherwise(F.col("score")))
+    return views.first_attempt(again, [KEY, HOUR], "attempt")
+
+
+def fixture_score(features: dict) -> float:
+    s = sum(features[f"{m}__last"] or 0.0 for m in ("view", "click", "purchase", "error"))
+    return round(s / (s + 200.0), 6)
+
+
+@register("replay_stream", with_machine(
+    _one(POLICY), "SELECT k.stay_id, k.hour_index, round(s.score, 5) AS score, s.status, k.state, k.alert FROM machine k "
+    "JOIN scored s USING (stay_id, hour_index)"))
+def replay_stream(spark, sf_dir):
+    """The panel replayed in three arrivals; each run goes on from the checkpoint of the last."""
+    p = EventPanel(spark, sf_dir)
+    root = work_folder(spark, "replay")
+    rows = p.inputs.select(KEY, HOUR, *MEASURES)
+    stays = labels.onset(p.panel).select(F.lit("replay").alias("replay_id"), KEY, "n_hours")
+    arrivals = [f"{HOUR} < 30", f"{HOUR} >= 30 and {HOUR} < 70", f"{HOUR} >= 70"]
+    for arrival in arrivals:
+        rows.filter(arrival).write.mode("append").parquet(f"{root}/panel")
+        run_available(spark, f"{root}/panel", rows.schema, stays, f"{root}/steps", f"{root}/checkpoint",
+                      fixture_score, POLICY, CONFIG, SPEC)
+    done = spark.read.parquet(f"{root}/steps").filter("kind = 'prediction'")
+    return done.select(KEY, HOUR, rounded("score", 5), "status", "state", "alert")
