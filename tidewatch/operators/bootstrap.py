@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.operators.ranking import hash_unit, ordered_index, ranked_metrics
 from tidewatch.operators.utility import normalised
+from tidewatch.session import stored
 from tidewatch.spec import KEY
 
 
@@ -39,14 +40,21 @@ def _interval(replicates: DataFrame, columns: Sequence[str], keys: Sequence[str]
     )
 
 
-def ranked_replicates(scored: DataFrame, n_boot: int, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
-    """AUROC and AUPRC of every replicate.  With ``keys``, each key's stays are resampled by themselves."""
-    keys = list(keys)
-    rows = scored.filter(F.col("score").isNotNull())
+def stay_cells(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Positives ``p`` and negatives ``n`` per (``*keys``, stay, score) of the scored rows, stored.
+
+    Ties inside a stay collapse here, before anything meets the replicates.
+    """
     y = F.col("label").cast("long")
-    # one row per (stay, score): ties inside a stay collapse before they meet the weights
-    cells = rows.groupBy(*keys, KEY, "score").agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
-    weights = stay_weights(rows, n_boot, seed) if not keys else keyed_weights(rows, keys, n_boot, seed)
+    rows = scored.filter(F.col("score").isNotNull())
+    return stored(rows.groupBy(*keys, KEY, "score").agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")), "cells")
+
+
+def ranked_replicates(cells: DataFrame, n_boot: int, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """AUROC and AUPRC of every replicate of ``stay_cells``.  With ``keys``, each key's stays are
+    resampled by themselves.  A heavy stay's cells are split by Spark's skew join."""
+    keys = list(keys)
+    weights = keyed_weights(cells, keys, n_boot, seed) if keys else stay_weights(cells, n_boot, seed)
     drawn = cells.join(weights, [*keys, KEY])
     counts = drawn.groupBy(*keys, "replicate", "score").agg(
         F.sum(F.col("p") * F.col("weight")).alias("pos"), F.sum(F.col("n") * F.col("weight")).alias("neg")
@@ -69,8 +77,8 @@ def keyed_weights(rows: DataFrame, keys: Sequence[str], n_boot: int, seed: int =
     return weights.join(numbered, [*keys, "position"]).select(*keys, "replicate", KEY, "weight")
 
 
-def ranked_interval(scored: DataFrame, n_boot: int = 200, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
-    return _interval(ranked_replicates(scored, n_boot, seed, keys), ("auroc", "auprc"), keys)
+def ranked_interval(cells: DataFrame, n_boot: int = 200, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    return _interval(ranked_replicates(cells, n_boot, seed, keys), ("auroc", "auprc"), keys)
 
 
 def utility_replicates(per_stay: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:

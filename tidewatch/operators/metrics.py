@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.clinical import age_band
-from tidewatch.operators.bootstrap import ranked_interval
+from tidewatch.operators.bootstrap import ranked_interval, stay_cells
 from tidewatch.operators.ranking import class_counts, ranked_metrics
 from tidewatch.spec import KEY
 
@@ -48,20 +48,19 @@ def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 def hourly_metrics(scored: DataFrame, n_boot: int = 0, seed: int = 0, probabilistic: bool = True) -> DataFrame:
     """One row: rows scored, prevalence, AUROC, AUPRC, Brier, and intervals when ``n_boot`` > 0."""
-    counts = class_counts(scored)
-    out = ranked_metrics(counts).select(
-        (F.col("positives") + F.col("negatives")).alias("rows_scored"),
-        (F.col("positives") / (F.col("positives") + F.col("negatives"))).alias("positive_hour_prevalence"),
-        "auroc", "auprc",
+    s = F.col("score")
+    # distinct scores with class counts are enough for the Brier score
+    loss = F.sum(F.col("pos") * F.pow(s - 1, F.lit(2)) + F.col("neg") * F.pow(s, F.lit(2)))
+    brier_ = [(loss / F.sum(F.col("pos") + F.col("neg"))).alias("brier")] if probabilistic else []
+    out = ranked_metrics(class_counts(scored), extra=brier_)
+    n = F.col("positives") + F.col("negatives")
+    out = out.select(
+        n.alias("rows_scored"), (F.col("positives") / n).alias("positive_hour_prevalence"), "auroc", "auprc",
+        *(["brier"] if probabilistic else []),
     )
-    if probabilistic:
-        # distinct scores with class counts are enough for the Brier score
-        s = F.col("score")
-        loss = F.sum(F.col("pos") * F.pow(s - 1, F.lit(2)) + F.col("neg") * F.pow(s, F.lit(2)))
-        out = out.withColumn("brier", counts.agg(loss / F.sum(F.col("pos") + F.col("neg"))).scalar())
     if n_boot:
         ends = ("auroc_lo", "auroc_hi", "auprc_lo", "auprc_hi")
-        row = ranked_interval(scored, n_boot, seed).select(F.struct(*ends)).scalar()
+        row = ranked_interval(stay_cells(scored), n_boot, seed).select(F.struct(*ends)).scalar()
         out = out.withColumn("_ci", row).select(*out.columns, *[F.col(f"_ci.{e}").alias(e) for e in ends])
     return out
 
@@ -95,18 +94,22 @@ def subgroup_metrics(scored: DataFrame, demographics: DataFrame, n_boot: int = 0
         .join(demographics.select(KEY, "Age", "Gender"), KEY, "left")
         .select(KEY, "label", "score", F.explode(F.array_compact(F.array(band, code))).alias("subgroup"))
     )
-    per_stay = rows.groupBy("subgroup", KEY).agg(F.count(F.lit(1)).alias("rows"), F.max("label").alias("septic"))
+    cells = stay_cells(rows, ["subgroup"])
+    per_stay = cells.groupBy("subgroup", KEY).agg(
+        F.sum(F.col("p") + F.col("n")).alias("rows"), (F.sum("p") > 0).cast("long").alias("septic")
+    )
     sizes = per_stay.groupBy("subgroup").agg(
-        F.count(F.lit(1)).alias("stays"), F.sum(F.col("septic").cast("long")).alias("septic_stays"),
+        F.count(F.lit(1)).alias("stays"), F.sum("septic").alias("septic_stays"),
         F.sum("rows").alias("rows"),
     )
-    ranked = ranked_metrics(class_counts(rows, ["subgroup"]), ["subgroup"])
+    counts = cells.groupBy("subgroup", "score").agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    ranked = ranked_metrics(counts, ["subgroup"])
     out = sizes.join(ranked, "subgroup").select(
         "subgroup", "stays", "septic_stays", "rows", "auroc", "auprc",
         (F.col("septic_stays") < min_events).alias("unstable"),
     )
     if n_boot:
-        ci = ranked_interval(rows, n_boot, seed, ["subgroup"])
+        ci = ranked_interval(cells, n_boot, seed, ["subgroup"])
         shown = [F.when(F.col("septic_stays") >= 2, F.col(c)).alias(c) for c in ci.columns if c != "subgroup"]
         out = out.join(ci, "subgroup", "left").select(*out.columns, *shown)
     return out

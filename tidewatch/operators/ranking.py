@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.session import stored
+
 FAN = 4096
 
 
@@ -38,6 +40,7 @@ def prefix_totals(
     """Add ``before_<c>``: the total of ``c`` over rows that come strictly earlier.
 
     ``unit`` in [0, 1] must be monotone in ``order``; ``order`` must be unique per key.
+    The rows are written once, because the bucket totals and the rows themselves both read them.
     """
     keys = list(keys)
     coarse = F.least(F.floor(unit * FAN), F.lit(FAN - 1)).cast("long")
@@ -45,7 +48,7 @@ def prefix_totals(
     if descending:
         coarse, fine = -coarse, -fine
         order = [o.desc() for o in order]
-    rows = df.withColumn("_coarse", coarse).withColumn("_fine", fine)
+    rows = stored(df.withColumn("_coarse", coarse).withColumn("_fine", fine), "ranks")
     cells = rows.groupBy(*keys, "_coarse", "_fine").agg(*[F.sum(c).alias(c) for c in totals])
     tops = cells.groupBy(*keys, "_coarse").agg(*[F.sum(c).alias(c) for c in totals])
 
@@ -91,8 +94,11 @@ def roc_points(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def ranked_metrics(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Exact AUROC (ties by trapezoid) and average precision; null with one class only."""
+def ranked_metrics(counts: DataFrame, keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
+    """Exact AUROC (ties by trapezoid) and average precision; null with one class only.
+
+    ``extra`` adds aggregates over the same rows (score, pos, neg, tp, fp).
+    """
     pts = roc_points(counts, keys)
     p, n = F.sum("pos"), F.sum("neg")
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
@@ -103,6 +109,7 @@ def ranked_metrics(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.when(both, precision / p).alias("auprc"),
         p.alias("positives"),
         n.alias("negatives"),
+        *extra,
     ]
     return pts.groupBy(*keys).agg(*aggs)
 
@@ -118,6 +125,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = stored(counts, "values")
     ranked = prefix_totals(counts, keys, unit_interval(F.col("v")), [F.col("v")], ["n"])
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
     if keys:

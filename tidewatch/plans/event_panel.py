@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidewatch.functions import scoring
 from tidewatch.operators.blocks import BLOCK_HOURS
 from tidewatch.operators.trailing import running_state, valid_for
+from tidewatch.session import stored
 from tidewatch.spec import HOUR, KEY, FeatureConfig, PanelSpec
 
 BIN_SECONDS = 21600
@@ -105,3 +106,8 @@ class EventPanel:
             F.expr("coalesce(l_view, 0) + coalesce(l_click, 0) + coalesce(l_purchase, 0) + coalesce(l_error, 0) as s"),
         )
         return rows.selectExpr(*ids, "status", "if(status = 'scored', round(s / (s + 200), 6), null) as score")
+
+    @cached_property
+    def scored_table(self) -> DataFrame:
+        """``scored`` as a table, for jobs that read it more than once."""
+        return stored(self.scored, "scored")

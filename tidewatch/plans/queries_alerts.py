@@ -16,11 +16,11 @@ PLAIN = AlertPolicy(0.5, consecutive=2, cooldown_h=0)
 
 
 def fired(p: EventPanel, policy: AlertPolicy = POLICY) -> DataFrame:
-    return alerts.alert_hours(p.scored, policy, long=p.long)
+    return alerts.alert_hours(p.scored_table, policy, long=p.long)
 
 
 def states(p: EventPanel, policy: AlertPolicy = POLICY) -> DataFrame:
-    return alerts.policy_states(p.scored, policy, long=p.long)
+    return alerts.policy_states(p.scored_table, policy, long=p.long)
 
 
 # --- the state machine hour by hour, as a recursive query ----------------------------
@@ -86,7 +86,7 @@ _MATCH = (", al AS (SELECT stay_id, hour_index AS h FROM machine WHERE alert = 1
     "onset - first_early AS lead_h FROM mt"))
 def alert_onset_match(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    m = alerts.match_onsets(fired(p), labels.onset(p.panel))
+    m = alerts.match_onsets(fired(p), labels.onset(p.scored_table))
     return m.select(KEY, "n_alerts", "first_early", "first_warning", "first_match", "lead_h")
 
 
@@ -126,7 +126,7 @@ _RATES = {
     + ", ".join(f"round({e}, 6) AS {n}" for n, e in _RATES.items()) + " FROM z"))
 def alert_metrics(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    m = alerts.alert_metrics(alerts.match_onsets(fired(p), labels.onset(p.panel)))
+    m = alerts.alert_metrics(alerts.match_onsets(fired(p), labels.onset(p.scored_table)))
     whole = {"stays", "septic_onset_evaluable_stays", "left_censored_positive_stays", "alerts_emitted", "unmatched_alerts",
              "false_alerts_nonseptic", "alerts_in_left_censored_stays", "detected_early", "missed", "matched_pre_onset",
              "matched_late"}
@@ -151,8 +151,8 @@ _GRID_ROWS = (", al AS (SELECT stay_id, thr, k, cd, hour_index AS h FROM machine
 
 
 def grid(p: EventPanel) -> DataFrame:
-    thresholds = utility.as_array(utility.threshold_grid(p.scored, _PROBS, digits=6))
-    return alerts.policy_grid(p.scored, labels.onset(p.panel), thresholds, long=p.long)
+    thresholds = utility.as_array(utility.threshold_grid(p.scored_table, _PROBS, digits=6))
+    return alerts.policy_grid(p.scored_table, labels.onset(p.scored_table), thresholds, long=p.long)
 
 
 @register("policy_grid", with_machine(

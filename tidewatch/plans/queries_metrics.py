@@ -26,6 +26,14 @@ def predicted(spark, sf_dir):
     return metrics.predictions(scored(spark, sf_dir), ALARM_AT)
 
 
+def scored_table(spark, sf_dir):
+    return EventPanel(spark, sf_dir).scored_table
+
+
+def predicted_table(spark, sf_dir):
+    return metrics.predictions(scored_table(spark, sf_dir), ALARM_AT)
+
+
 # --- status and coverage -----------------------------------------------------------
 
 @register("status", with_scored("SELECT stay_id, hour_index, status FROM scored"))
@@ -185,8 +193,8 @@ _GROUPS = (", d AS (SELECT *, 'age ' || CASE WHEN \"Age\" < 50 THEN '<50' WHEN \
     "FROM s JOIN m USING (subgroup)"))
 def subgroups(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    demo = p.panel.groupBy(KEY).agg(first_known("Age").alias("Age"), first_known("Gender").alias("Gender"))
-    out = metrics.subgroup_metrics(p.scored, demo)
+    demo = p.scored_table.groupBy(KEY).agg(first_known("Age").alias("Age"), first_known("Gender").alias("Gender"))
+    out = metrics.subgroup_metrics(p.scored_table, demo)
     return out.select("subgroup", "stays", "septic_stays", "rows", rounded("auroc"), rounded("auprc"), "unstable")
 
 
@@ -212,7 +220,7 @@ _REWARDS = (", u0 AS (SELECT s.stay_id, s.hour_index AS t, s.score, i.label_star
     _REWARDS + "SELECT stay_id, t AS hour_index, round(u_alarm, 6) AS u_alarm, round(u_silent, 6) AS u_silent, "
     "round(u_best, 6) AS u_best, round(u_observed, 6) AS u_observed FROM u"))
 def row_utility(spark, sf_dir):
-    rows = utility.with_rewards(predicted(spark, sf_dir), "prediction")
+    rows = utility.with_rewards(predicted_table(spark, sf_dir), "prediction")
     return rows.select(KEY, HOUR, *[rounded(c) for c in ("u_alarm", "u_silent", "u_best", "u_observed")])
 
 
@@ -221,7 +229,7 @@ def row_utility(spark, sf_dir):
     "round(sum(u_silent), 6) AS inaction, "
     "round((sum(u_observed) - sum(u_silent)) / (sum(u_best) - sum(u_silent)), 6) AS utility FROM u"))
 def utility_total(spark, sf_dir):
-    u = utility.normalised_utility(utility.stay_utilities(predicted(spark, sf_dir)))
+    u = utility.normalised_utility(utility.stay_utilities(predicted_table(spark, sf_dir)))
     return u.select(*[rounded(c) for c in u.columns])
 
 
@@ -236,14 +244,14 @@ _CURVE = _REWARDS + (
 @register("utility_curve", with_info(
     _CURVE + "SELECT round(threshold, 9) AS threshold, round(utility, 6) AS utility FROM curve"))
 def utility_curve(spark, sf_dir):
-    return utility.utility_curve(scored(spark, sf_dir)).select(rounded("threshold", 9), rounded("utility"))
+    return utility.utility_curve(scored_table(spark, sf_dir)).select(rounded("threshold", 9), rounded("utility"))
 
 
 @register("best_threshold", with_info(
     _CURVE + "SELECT round(threshold, 9) AS threshold, round(utility, 6) AS utility FROM curve "
     "ORDER BY round(curve.utility, 9) DESC, curve.threshold LIMIT 1"))
 def best_threshold(spark, sf_dir):
-    best = utility.best_threshold(utility.utility_curve(scored(spark, sf_dir)))
+    best = utility.best_threshold(utility.utility_curve(scored_table(spark, sf_dir)))
     return best.select(rounded("threshold", 9), rounded("utility"))
 
 
@@ -305,7 +313,7 @@ _REPLICATES = (", rs AS (SELECT stay_id, label, score FROM scored WHERE score IS
 @register("bootstrap_replicates", with_scored(
     _REPLICATES + "SELECT r::INT AS replicate, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM m"))
 def bootstrap_replicates(spark, sf_dir):
-    return bootstrap.ranked_replicates(scored(spark, sf_dir), N_BOOT).select(
+    return bootstrap.ranked_replicates(bootstrap.stay_cells(scored(spark, sf_dir)), N_BOOT).select(
         "replicate", rounded("auroc"), rounded("auprc")
     )
 
@@ -314,7 +322,7 @@ def bootstrap_replicates(spark, sf_dir):
     _REPLICATES + "SELECT round(quantile_cont(auroc, 0.025), 6) AS auroc_lo, round(quantile_cont(auroc, 0.975), 6) AS "
     "auroc_hi, round(quantile_cont(auprc, 0.025), 6) AS auprc_lo, round(quantile_cont(auprc, 0.975), 6) AS auprc_hi FROM m"))
 def bootstrap_ci(spark, sf_dir):
-    ci = bootstrap.ranked_interval(scored(spark, sf_dir), N_BOOT)
+    ci = bootstrap.ranked_interval(bootstrap.stay_cells(scored(spark, sf_dir)), N_BOOT)
     return ci.select(*[rounded(c) for c in ci.columns])
 
 
@@ -325,7 +333,7 @@ def bootstrap_ci(spark, sf_dir):
     "FROM per JOIN w USING (stay_id) GROUP BY 1) "
     "SELECT round(quantile_cont(utility, 0.025), 6) AS utility_lo, round(quantile_cont(utility, 0.975), 6) AS utility_hi FROM m"))
 def utility_ci(spark, sf_dir):
-    ci = bootstrap.utility_interval(utility.stay_utilities(predicted(spark, sf_dir)), N_BOOT)
+    ci = bootstrap.utility_interval(utility.stay_utilities(predicted_table(spark, sf_dir)), N_BOOT)
     return ci.select(*[rounded(c) for c in ci.columns])
 
 
@@ -341,6 +349,6 @@ def utility_ci(spark, sf_dir):
     "FROM m2 GROUP BY 1"))
 def subgroup_ci(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    demo = p.panel.groupBy(KEY).agg(first_known("Age").alias("Age"), first_known("Gender").alias("Gender"))
-    out = metrics.subgroup_metrics(p.scored, demo, n_boot=N_BOOT)
+    demo = p.scored_table.groupBy(KEY).agg(first_known("Age").alias("Age"), first_known("Gender").alias("Gender"))
+    out = metrics.subgroup_metrics(p.scored_table, demo, n_boot=N_BOOT)
     return out.select("subgroup", *[rounded(c) for c in ("auroc_lo", "auroc_hi", "auprc_lo", "auprc_hi")])

@@ -13,6 +13,7 @@ from tidewatch.plans.event_panel import CONFIG, SPEC, EventPanel
 from tidewatch.plans.jobs import labelled
 from tidewatch.plans.panel_sql import with_info, with_latest, with_panel
 from tidewatch.plans.queries_data import _SPLIT_SQL, panel_splits
+from tidewatch.session import stored
 from tidewatch.spec import HOUR, KEY, FeatureConfig, feature_names
 
 LASTS = ("view", "click", "purchase", "error")
@@ -24,9 +25,8 @@ NAMES = feature_names(SMALL, SPEC)
 def split_rows(p: EventPanel, *names):
     """Labelled feature rows of each named split."""
     f = trailing_features(p.inputs, SMALL, SPEC, long=p.long, as_float32=False)
-    rows = labelled(f, state_label(p.panel))
-    members = panel_splits(p)
-    return [splits.in_split(rows, members, n) for n in names]
+    rows = stored(labelled(f, state_label(p.panel)).join(panel_splits(p), KEY).filter(F.col("split").isin(*names)), "rows")
+    return [rows.filter(F.col("split") == n).drop("split") for n in names]
 
 
 _TRAIN = (_SPLIT_SQL + ", tr AS (SELECT l.* FROM latest l SEMI JOIN sp ON sp.stay_id = l.stay_id AND split = 'a_train') ")
@@ -44,7 +44,7 @@ def class_balance(spark, sf_dir):
 
 def _train_latest(p: EventPanel):
     rows = p.state.select(KEY, *[p.latest[m].alias(f"{m}__last") for m in LASTS])
-    return splits.in_split(rows, panel_splits(p), "a_train")
+    return stored(splits.in_split(rows, panel_splits(p), "a_train"), "train")
 
 
 @register("clip_bounds", with_info(_TRAIN + " UNION ALL ".join(

@@ -38,7 +38,7 @@ SELECT i.stay_id, least({CLOCK}, n_hours - 1) + 1 AS visible_hours, {CLOCK} < n_
 FROM info i LEFT JOIN v ON v.stay_id = i.stay_id AND rn = 1 LEFT JOIN a ON a.stay_id = i.stay_id"""))
 def patients(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    return views.board(steps(p), reviewed(p), labels.onset(p.panel), CLOCK)
+    return views.board(steps(p), reviewed(p), labels.onset(p.scored_table), CLOCK)
 
 
 @register("timeline", with_panel(" UNION ALL ".join(
@@ -115,7 +115,7 @@ def fixture_score(features: dict) -> float:
 
 
 @register("replay_stream", with_machine(
-    _one(POLICY), "SELECT k.stay_id, k.hour_index, round(s.score, 5) AS score, s.status, k.state, k.alert FROM machine k "
+    _one(POLICY), "SELECT k.stay_id, k.hour_index, s.score, s.status, k.state, k.alert FROM machine k "
     "JOIN scored s USING (stay_id, hour_index)"))
 def replay_stream(spark, sf_dir):
     """The panel replayed in three arrivals; each run goes on from the checkpoint of the last."""
@@ -129,4 +129,4 @@ def replay_stream(spark, sf_dir):
         run_available(spark, f"{root}/panel", rows.schema, stays, f"{root}/steps", f"{root}/checkpoint",
                       fixture_score, POLICY, CONFIG, SPEC)
     done = spark.read.parquet(f"{root}/steps").filter("kind = 'prediction'")
-    return done.select(KEY, HOUR, rounded("score", 5), "status", "state", "alert")
+    return done.select(KEY, HOUR, rounded("score"), "status", "state", "alert")
