@@ -111,7 +111,10 @@ def trailing_features(
     as_float32: bool = True,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``stay_id, hour_index, *keep`` and the features of ``cfg`` in declared order."""
+    """``stay_id, hour_index, *keep`` and the features of ``cfg`` in declared order.
+
+    Fails when it runs if a stay's hours are not contiguous: row frames count hours.
+    """
     refuse_labels(panel)
     names = feature_names(cfg, spec)
     static = [c for c in (*spec.demographics, *spec.administrative) if c in names]
@@ -123,11 +126,16 @@ def trailing_features(
         for group, members in (("vitals", spec.vitals), ("labs", spec.labs)):
             observed = " + ".join(f"double(`{v}` is not null)" for v in members)
             frames[f"{group}__count_{cfg.count_window_h}h"] = (f"sum({observed})", cfg.count_window_h)
+    frames |= {"hour@low": (f"min({HOUR})", 2), "hour@rows": ("count(1)", 2)}
     state = running_state(values, spec.clinical, frames, long, block_hours)
+    hour = F.expr(
+        f"if({HOUR} - `hour@low` = `hour@rows` - 1, {HOUR}, "
+        "raise_error('hour_index must be contiguous within each stay'))"
+    ).cast(dict(panel.dtypes)[HOUR]).alias(HOUR)
 
     latest = {v: valid_for(v, cfg.expiry(v, spec)) for v in spec.clinical}
     out: dict[str, Column] = {f"{v}__last": x for v, x in latest.items()}
-    out |= {name: F.col(name) for name in frames}
+    out |= {name: F.col(name) for name in frames if name in names}
     for v in spec.labs:
         out[f"{v}__delta"] = valid_for(v, cfg.expiry(v, spec), "`{v}@cur` - `{v}@prev`")
     if spec.has_pressures:
@@ -143,7 +151,7 @@ def trailing_features(
         out |= clinical.organ_scores(latest)
     out |= {c: F.col(c) for c in static}
     width = "float" if as_float32 else "double"
-    return state.select(KEY, HOUR, *keep, *[out[n].cast(width).alias(n) for n in names])
+    return state.select(KEY, hour, *keep, *[out[n].cast(width).alias(n) for n in names])
 
 
 def latest_features(features: DataFrame, clock: int) -> DataFrame:
