@@ -44,22 +44,31 @@ def runs_above(scored: DataFrame, thresholds: Column, reach: int, long: bool, bl
     carry = list(carry)
     rows = scored.select(KEY, HOUR, usable_score().alias("score"), *carry)
     rows = rows.filter(F.col("score") >= F.element_at(thresholds, 1))
-    rows = with_blocks(rows, long, block_hours, back=1, ahead=reach).withColumn("grid", thresholds)
-    rows = rows.select(
-        KEY, HOUR, "block", *carry,
-        F.explode(F.filter("grid", lambda thr: thr <= F.col("score"))).alias("threshold"),
-    )
-    group = [KEY, "threshold", "block"]
+    rows = with_blocks(rows, long, block_hours, back=1, ahead=reach)
+    group = [KEY, "block"]
     if long:
         rows = rows.repartition(*group)  # spread one entity's blocks even if rows arrive keyed by stay
     order = Window.partitionBy(*group).orderBy(HOUR)
-    islands = rows.withColumn("island", F.col(HOUR) - F.row_number().over(order))
-    runs = islands.groupBy(*group, "island", *carry).agg(F.min(HOUR).alias("s"), F.max(HOUR).alias("e"))
+    # the score of the hour before and after; absent hours are below every threshold
+    low = F.lit(float("-inf"))
+    before = F.when(F.lag(HOUR).over(order) == F.col(HOUR) - 1, F.lag("score").over(order))
+    after = F.when(F.lead(HOUR).over(order) == F.col(HOUR) + 1, F.lead("score").over(order))
+    rows = rows.select(*group, HOUR, "score", *carry, F.coalesce(before, low).alias("before"),
+                       F.coalesce(after, low).alias("after"))
+    # a row starts a run for the thresholds between its predecessor and itself, and ends one
+    # for those between its successor and itself: copies follow the runs, not their hours
+    rows = rows.withColumn("grid", thresholds)
+    edge = F.filter("grid", lambda thr: (thr <= F.col("score")) & ((thr > F.col("before")) | (thr > F.col("after"))))
+    edges = rows.select(*group, HOUR, "before", "after", *carry, F.explode(edge).alias("threshold"))
+    # at most block_hours / 2 runs per group; sorted starts and ends pair up
+    starts = F.array_sort(F.collect_list(F.when(F.col("threshold") > F.col("before"), F.col(HOUR))))
+    ends = F.array_sort(F.collect_list(F.when(F.col("threshold") > F.col("after"), F.col(HOUR))))
+    runs = edges.groupBy(KEY, "threshold", "block", *carry).agg(starts.alias("s"), ends.alias("e"))
+    pairs = F.arrays_zip("s", "e")
     if long:
-        start = F.col("block") * block_hours
-        runs = runs.filter((F.col("s") >= start) & (F.col("s") < start + block_hours))
-    # at most block_hours / 2 runs per group
-    return runs.groupBy(*group, *carry).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
+        begin = F.col("block") * block_hours
+        pairs = F.filter(pairs, lambda run: (run["s"] >= begin) & (run["s"] < begin + block_hours))
+    return runs.select(KEY, "threshold", "block", *carry, pairs.alias("runs"))
 
 
 def _fire(runs: Column, until: Column, k: Column, cooldown: Column) -> Column:

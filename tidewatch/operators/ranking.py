@@ -1,10 +1,11 @@
 """Exact ranks, quantiles and ranked metrics without a global sort.
 
 Values are first collapsed to one row each.  A value's position is then the
-total of all coarse buckets beyond its own, plus the fine buckets beyond its
-own inside the coarse one, plus its in-bucket prefix.  No window group exceeds
-``FAN`` rows at the two bucket levels, and a fine bucket holds only the distinct
-values of a very narrow range.
+total of all coarse buckets beyond its own plus its in-bucket prefix.  Buckets
+follow the values, so one bucket may hold most of them: beyond ``SMALL`` rows a
+second level splits every coarse bucket into ``FAN`` fine ones.  Window groups
+are thus at most ``FAN`` rows at the bucket levels, and at most ``SMALL`` rows or
+the distinct values of a very narrow range below them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.session import stored
 
 FAN = 4096
+SMALL = 2_000_000
 
 
 def unit_interval(value: Column) -> Column:
@@ -49,21 +51,25 @@ def prefix_totals(
         coarse, fine = -coarse, -fine
         order = [o.desc() for o in order]
     rows = stored(df.withColumn("_coarse", coarse).withColumn("_fine", fine), "ranks")
-    cells = rows.groupBy(*keys, "_coarse", "_fine").agg(*[F.sum(c).alias(c) for c in totals])
-    tops = cells.groupBy(*keys, "_coarse").agg(*[F.sum(c).alias(c) for c in totals])
+    deep = rows.count() > SMALL  # from file footers
 
     def ahead(frame, group, by, prefix):
         w = Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         return [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{prefix}{c}") for c in totals]
 
-    tops = tops.select(*keys, "_coarse", *ahead(tops, keys, ["_coarse"], "_top_"))
-    cells = cells.select(*keys, "_coarse", "_fine", *ahead(cells, [*keys, "_coarse"], ["_fine"], "_cell_"))
-    offsets = cells.join(tops, [*keys, "_coarse"]).select(
-        *keys, "_coarse", "_fine", *[(F.col(f"_cell_{c}") + F.col(f"_top_{c}")).alias(f"_off_{c}") for c in totals]
-    )
-    placed = rows.select(
-        "*", *ahead(rows, [*keys, "_coarse", "_fine"], list(order), "_in_")
-    ).join(offsets, [*keys, "_coarse", "_fine"])
+    def summed(frame, by):
+        return frame.groupBy(*by).agg(*[F.sum(c).alias(c) for c in totals])
+
+    bucket = ["_coarse", "_fine"] if deep else ["_coarse"]
+    cells = summed(rows, [*keys, *bucket])
+    tops = summed(cells, [*keys, "_coarse"]) if deep else cells
+    offsets = tops.select(*keys, "_coarse", *ahead(tops, keys, ["_coarse"], "_off_"))
+    if deep:
+        inner = cells.select(*keys, *bucket, *ahead(cells, [*keys, "_coarse"], ["_fine"], "_cell_"))
+        offsets = inner.join(offsets, [*keys, "_coarse"]).select(
+            *keys, *bucket, *[(F.col(f"_cell_{c}") + F.col(f"_off_{c}")).alias(f"_off_{c}") for c in totals]
+        )
+    placed = rows.select("*", *ahead(rows, [*keys, *bucket], list(order), "_in_")).join(offsets, [*keys, *bucket])
     return placed.select(
         *[placed[c] for c in df.columns],
         *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"before_{c}") for c in totals],
@@ -128,20 +134,24 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     counts = stored(counts, "values")
     ranked = prefix_totals(counts, keys, unit_interval(F.col("v")), [F.col("v")], ["n"])
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
-    if keys:
-        ranked = ranked.join(sizes, keys)
-    else:
-        ranked = ranked.withColumn("size", sizes.scalar())
-    wanted = F.array(*[
+    # both sides carry the block of ranks they touch, FAN blocks per key
+    span = F.greatest(F.ceil(F.col("size") / FAN), F.lit(1))
+    at = F.explode(F.array(*[
         F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("size") - 1)).alias("at")) for q in probs
-    ])
+    ]))
+    wanted = sizes.select(*keys, span.alias("span"), at.alias("t")).select(
+        *keys, "span", "t.q", "t.at", F.explode(F.array_distinct(F.array(F.floor("t.at"), F.ceil("t.at")))).alias("rank")
+    ).withColumn("block", F.floor(F.col("rank") / F.col("span")))
     first, last = F.col("before_n"), F.col("before_n") + F.col("n") - 1
-    near = F.filter(wanted, lambda t: (F.ceil(t["at"]) >= first) & (F.floor(t["at"]) <= last))
-    hits = ranked.select(*keys, "v", first.alias("first"), last.alias("last"), F.explode(near).alias("t"))
-    low, high = F.floor("t.at"), F.ceil("t.at")
-    picked = hits.groupBy(*keys, F.col("t.q").alias("q"), F.col("t.at").alias("at")).agg(
-        F.max(F.when(low.between(F.col("first"), F.col("last")), F.col("v"))).alias("lo"),
-        F.max(F.when(high.between(F.col("first"), F.col("last")), F.col("v"))).alias("hi"),
+    ranked = ranked.join(sizes, keys) if keys else ranked.withColumn("size", sizes.scalar())
+    ranges = ranked.select(
+        *keys, "v", first.alias("first"), last.alias("last"),
+        F.explode(F.sequence(F.floor(first / span), F.floor(last / span))).alias("block"),
+    )
+    hits = ranges.join(wanted, [*keys, "block"]).filter(F.col("rank").between(F.col("first"), F.col("last")))
+    picked = hits.groupBy(*keys, "q", "at").agg(
+        F.max(F.when(F.col("rank") == F.floor("at"), F.col("v"))).alias("lo"),
+        F.max(F.when(F.col("rank") == F.ceil("at"), F.col("v"))).alias("hi"),
     )
     return picked.select(*keys, "q", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value"))
 

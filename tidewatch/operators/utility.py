@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.scoring import ideal_alarm, reward
 from tidewatch.operators.labels import reward_times
-from tidewatch.operators.ranking import quantiles
+from tidewatch.operators.ranking import prefix_totals, quantiles, unit_interval
 from tidewatch.spec import HOUR, KEY
 
 
@@ -75,39 +75,27 @@ def as_array(thresholds: DataFrame):
 def utility_curve(rows: DataFrame, probs: Sequence[float] | None = None) -> DataFrame:
     """Normalised utility at every grid threshold in one pass over the rows.
 
-    U(thr) = sum of silence + sum over score >= thr of (alarm - silence), so rows
-    are reduced to one partial sum per grid step before anything is accumulated.
+    U(thr) = sum of silence + sum over score >= thr of (alarm - silence).  Gains are
+    summed per distinct score, the thresholds join that list with gain 0, and each
+    reads the total from its own position upward.
     """
-    probs = list(probs or even_probs(0.5, 0.999, 120))
-    grid = threshold_grid(rows, probs)
-    reached = F.when(F.col("score").isNull(), 0).otherwise(
-        F.size(F.filter(F.col("grid"), lambda thr: thr <= F.col("score")))
+    grid = threshold_grid(rows, list(probs or even_probs(0.5, 0.999, 120)))
+    rewards = with_rewards(rows)
+    gains = rewards.filter(F.col("score").isNotNull()).groupBy(F.col("score").cast("double").alias("threshold")).agg(
+        F.sum(F.col("u_alarm") - F.col("u_silent")).alias("gain")
     )
-    steps = (
-        with_rewards(rows)
-        .withColumn("grid", as_array(grid))
-        .withColumn("step", reached)
-        .groupBy("step")
-        .agg(
-            F.sum(F.col("u_alarm") - F.col("u_silent")).alias("gain"),
-            F.sum("u_silent").alias("inaction"),
-            F.sum("u_best").alias("best"),
-        )
-    )
-    # at most len(probs) + 1 rows from here on
-    ranked = grid.select("threshold", F.row_number().over(Window.orderBy("threshold")).alias("step"))
-    tail = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    curve = steps.join(ranked, "step", "full_outer").select(
-        "threshold",
-        F.coalesce(F.sum("gain").over(tail), F.lit(0.0)).alias("gain"),
-        F.sum("inaction").over(everything).alias("inaction"),
-        F.sum("best").over(everything).alias("best"),
+    marks = gains.withColumn("asked", F.lit(0)).unionByName(
+        grid.select("threshold", F.lit(0.0).alias("gain"), F.lit(1).alias("asked"))
     )
-    return curve.filter(F.col("threshold").isNotNull()).select(
-        "threshold",
-        normalised(F.col("gain") + F.col("inaction"), F.col("best"), F.col("inaction")).alias("utility"),
+    points = marks.groupBy("threshold").agg(F.sum("gain").alias("gain"), F.max("asked").alias("asked"))
+    ranked = prefix_totals(
+        points, [], unit_interval(F.col("threshold")), [F.col("threshold")], ["gain"], descending=True
     )
+    fixed = rewards.agg(F.struct(F.sum("u_silent").alias("inaction"), F.sum("u_best").alias("best"))).scalar()
+    asked = ranked.filter(F.col("asked") == 1).withColumn("fixed", fixed)
+    inaction, best = F.col("fixed.inaction"), F.col("fixed.best")
+    observed = F.col("before_gain") + F.col("gain") + inaction
+    return asked.select("threshold", normalised(observed, best, inaction).alias("utility"))
 
 
 def best_threshold(curve: DataFrame) -> DataFrame:
