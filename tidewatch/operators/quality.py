@@ -125,6 +125,18 @@ def missing_fraction(rows: DataFrame, columns: Sequence[str], by: str = "hospita
     return wide.unpivot([by], list(columns), "variable", "missing_fraction")
 
 
+def file_report(rows: DataFrame, spec: PanelSpec = ICU, by: Sequence[str] = ("hospital", "record")) -> DataFrame:
+    """Per record: rows, columns and the missing fraction of each clinical variable (map)."""
+    wide = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.map_from_arrays(
+            F.array(*[F.lit(c) for c in spec.clinical]),
+            F.array(*[F.avg(F.col(c).isNull().cast("double")) for c in spec.clinical]),
+        ).alias("missing_fraction"),
+    )
+    return wide.withColumn("columns", F.lit(len(spec.inputs) + 1))
+
+
 def count_gate(stays: DataFrame, expected: Mapping[str, int]) -> DataFrame:
     """Stay counts per hospital beside the expected ones."""
     pairs = F.explode(F.create_map(*[x for h, n in expected.items() for x in (F.lit(h), F.lit(int(n)).cast("long"))]))

@@ -95,6 +95,19 @@ def manifest_check(spark, sf_dir):
     return records.manifest_check(files, manifest)
 
 
+@register("upload_report", with_panel(
+    f"SELECT {_NAME_SQL} AS record, count(*) AS rows, 41 AS columns, round(avg(CASE WHEN \"view\" IS NULL THEN 1.0 ELSE 0 END), 6) "
+    "AS missing_hr, round(avg(CASE WHEN error IS NULL THEN 1.0 ELSE 0 END), 6) AS missing_wbc, 1.0::DOUBLE AS missing_temp "
+    "FROM panel GROUP BY 1"))
+def upload_report(spark, sf_dir):
+    """Quality of each single record file."""
+    checked = records.check_files(records.list_exported(spark, exported(EventPanel(spark, sf_dir))))
+    r = quality.file_report(records.hours(checked))
+    missing = F.col("missing_fraction")
+    return r.select("record", "rows", "columns", *[
+        rounded(missing[v], name=f"missing_{v.lower()}") for v in ("HR", "WBC", "Temp")])
+
+
 # --- rules and keys ------------------------------------------------------------------
 
 @register("panel_rules", with_panel("""
@@ -274,6 +287,19 @@ def psv_export(spark, sf_dir):
     )
 
 
+@register("predictions_sink", with_scored(
+    "SELECT hospital AS split, count(*) AS rows, count(score) AS scored, round(sum(coalesce(score, 0)), 4) AS total FROM scored GROUP BY 1"))
+def predictions_sink(spark, sf_dir):
+    """Predictions written by split; a reader of one split opens only its folder."""
+    rows = metrics.predictions(EventPanel(spark, sf_dir).scored, 0.5).withColumnRenamed("hospital", "split")
+    root = work_folder(spark, "predictions")
+    tables.write_table(rows, root, "predictions", ("split",))
+    back = tables.read_table(spark, root, "predictions")
+    return back.groupBy(F.col("split").cast("string").alias("split")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("score").alias("scored"), rounded(F.sum("probability"), 4, "total")
+    )
+
+
 # --- splits and samples --------------------------------------------------------------
 
 SEED = 2019

@@ -108,6 +108,23 @@ def top_contributions(spark, sf_dir):
     )
 
 
+@register("contributions_json", with_latest(
+    ", c AS (" + " UNION ALL ".join(
+        f"SELECT stay_id, hour_index, '{m}__last' AS feature, {_contrib_sql(m)} AS contribution FROM latest" for m in COEF)
+    + "), r AS (SELECT *, row_number() OVER (PARTITION BY stay_id, hour_index ORDER BY abs(contribution) DESC, feature) AS rank "
+    "FROM c) SELECT stay_id, hour_index, max(feature) FILTER (WHERE rank = 1) AS first, max(feature) FILTER (WHERE rank = 2) AS second, "
+    "2 AS n FROM r GROUP BY 1, 2"))
+def contributions_json(spark, sf_dir):
+    """The two largest contributions stored as a JSON text and parsed back."""
+    rows, contributions = _given(EventPanel(spark, sf_dir))
+    top = drift.top_contributions(contributions, {f: F.col(f) for f in contributions}, 2)
+    text = rows.select(KEY, HOUR, F.to_json(top).alias("contributions_json"))
+    back = F.from_json("contributions_json", "array<struct<feature:string,contribution:double,value:double,missing:boolean>>")
+    return text.select(KEY, HOUR, back.alias("c")).select(
+        KEY, HOUR, F.col("c")[0]["feature"].alias("first"), F.col("c")[1]["feature"].alias("second"), F.size("c").alias("n")
+    )
+
+
 _IMPORTANCE = ", i AS (" + " UNION ALL ".join(
     f"SELECT '{m}__last' AS feature, avg(abs({_contrib_sql(m)})) AS importance FROM latest" for m in COEF) + ") "
 
