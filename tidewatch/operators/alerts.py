@@ -23,7 +23,7 @@ from tidewatch.operators.trailing import running_state
 from tidewatch.spec import HOUR, KEY, AlertPolicy
 
 # --- fixed values: matching windows in hours from onset ---
-EARLY_FROM, WARN_TO, MATCH_TO = -12, -6, 3
+MATCH_WINDOWS = {"first_early": (-12, -1), "first_warning": (-12, -6), "first_match": (-12, 3)}
 # ----------------------------------------------------------
 
 POLICY = ("threshold", "consecutive", "cooldown_h")
@@ -83,6 +83,12 @@ def _fire(runs: Column, until: Column, k: Column, cooldown: Column) -> Column:
     return F.aggregate(runs, start, step)
 
 
+def _fire_plain(runs: Column, k: Column) -> Column:
+    """Without a cooldown every run of at least ``k`` hours fires at its k-th hour."""
+    enough = F.filter(runs, lambda run: run["e"] - run["s"] + 1 >= k)
+    return F.transform(enough, lambda run: (run["s"] + k - 1).cast("int"))
+
+
 def alert_blocks(
     scored: DataFrame,
     thresholds: Column,
@@ -110,7 +116,8 @@ def alert_blocks(
     )
     k, cooldown = F.col("consecutive"), F.col("cooldown_h")
     if not long:
-        fired = _fire(F.col("runs"), F.lit(-(2**31) + 1), k, cooldown)["hours"]
+        cooled = _fire(F.col("runs"), F.lit(-(2**31) + 1), k, cooldown)["hours"]
+        fired = F.when(cooldown == 0, _fire_plain(F.col("runs"), k)).otherwise(cooled)
         return each.select(KEY, *POLICY, "block", *carry, fired.alias("hours")).filter(F.size("hours") > 0)
 
     # Long entities: play each block for every cooldown it may be entered with, then
@@ -211,12 +218,14 @@ def acknowledge(states: DataFrame, reviews: DataFrame, long: bool | None = None,
 def match_columns(hour: Column, onset: Column) -> dict[str, Column]:
     """Aggregates over a stay's alert hours (one partial row per map task and stay)."""
     d = hour - onset
-    return {
-        "n_alerts": F.count(hour),
-        "first_early": F.min(F.when((d >= EARLY_FROM) & (d < 0), hour)),
-        "first_warning": F.min(F.when(d.between(EARLY_FROM, WARN_TO), hour)),
-        "first_match": F.min(F.when(d.between(EARLY_FROM, MATCH_TO), hour)),
-    }
+    firsts = {n: F.min(F.when(d.between(a, b), hour)) for n, (a, b) in MATCH_WINDOWS.items()}
+    return {"n_alerts": F.count(hour)} | firsts
+
+
+def _first_between(a: int, b: int) -> Column:
+    """First of the ascending ``hours`` within [onset + a, onset + b]."""
+    hits = F.filter("hours", lambda h: (h - F.col("onset")).between(a, b))
+    return F.when(F.col("onset").isNotNull(), F.get(hits, F.lit(0)))
 
 
 def match_onsets(alerts: DataFrame, facts: DataFrame) -> DataFrame:
@@ -319,13 +328,18 @@ def policy_grid(
     totals, so the work follows the rows above threshold and not stays x policies.
     """
     outcome = ["onset", "septic", "left_censored"]
+    long = is_long(scored, block_hours) if long is None else long
     lowest = F.element_at(thresholds, 1)
     candidates = scored.filter(usable_score() >= lowest).join(facts.select(KEY, *outcome), KEY)
-    blocks = alert_blocks(candidates, thresholds, consecutive, cooldowns,
-                          is_long(scored, block_hours) if long is None else long, block_hours, carry=outcome)
-    hits = blocks.select(KEY, *POLICY, *outcome, F.explode("hours").alias("alert_hour"))
-    firsts = match_columns(F.col("alert_hour"), F.col("onset"))
-    per_stay = hits.groupBy(KEY, *POLICY, *outcome).agg(*[c.alias(n) for n, c in firsts.items()])
+    blocks = alert_blocks(candidates, thresholds, consecutive, cooldowns, long, block_hours, carry=outcome)
+    per_stay = blocks.select(
+        KEY, *POLICY, *outcome, F.size("hours").cast("long").alias("n_alerts"),
+        *[_first_between(a, b).alias(n) for n, (a, b) in MATCH_WINDOWS.items()],
+    )
+    if long:  # a stay may have several blocks
+        per_stay = per_stay.groupBy(KEY, *POLICY, *outcome).agg(
+            F.sum("n_alerts").alias("n_alerts"), *[F.min(n).alias(n) for n in MATCH_WINDOWS]
+        )
     per_stay = per_stay.withColumn("lead_h", F.col("onset") - F.col("first_early"))
     per_policy = per_stay.groupBy(*POLICY).agg(*[c.alias(n) for n, c in _alert_sums().items()])
 

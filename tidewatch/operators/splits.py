@@ -8,6 +8,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.operators.ranking import hash_unit, ordered_index
+from tidewatch.session import stored
 from tidewatch.spec import EXTERNAL_SPLIT, KEY, SPLIT_FRACTIONS
 
 
@@ -24,6 +25,7 @@ def make_splits(stays: DataFrame, seed: int = 2019, fractions: Mapping[str, floa
     """
     if abs(sum(fractions.values()) - 1.0) > 1e-9:
         raise ValueError("split fractions must sum to 1")
+    stays = stored(stays.select(KEY, "hospital", "ever_positive"), "stays")  # read three times
     home = stays.filter(F.col("hospital") == "A").select(KEY, "ever_positive")
     key = draw_key(seed)
     shuffled = ordered_index(home, ["ever_positive"], hash_unit(key), [F.md5(key), F.col(KEY)], "position")
@@ -82,6 +84,7 @@ def sample(rows: DataFrame, n: int, seed: int, key: str = KEY) -> DataFrame:
 
 def enriched_sample(stays: DataFrame, n: int, fraction: float, seed: int) -> DataFrame:
     """``n`` stays of which round(n * fraction) are ever positive, as far as there are any."""
+    stays = stored(stays, "stays")
     counts = stays.groupBy("ever_positive").count().collect()  # two rows
     have = {bool(r["ever_positive"]): r["count"] for r in counts}
     n = min(n, sum(have.values()))
