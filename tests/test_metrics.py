@@ -145,3 +145,17 @@ def test_incident_labels(spark):
     assert not any(x[1] for x in got["prevalent"]) and {x[2] for x in got["prevalent"]} == {"prevalent_excluded"}
     assert [x[0] for x in got["none"]] == [0] * 4 + [None] * 6
     assert got["early_end"][4][0] == 1
+
+
+def test_fine_buckets_equal_coarse_ones(df, frame, monkeypatch):
+    """Beyond SMALL rows every coarse bucket is split again; results must not move."""
+    monkeypatch.setattr(ranking, "SMALL", 10)
+    m = ranking.ranked_metrics(ranking.class_counts(df)).first()
+    y, p = frame.label.to_numpy(), frame.score.to_numpy()
+    assert m["auroc"] == pytest.approx(auroc(y, p), abs=1e-12)
+    assert m["auprc"] == pytest.approx(auprc(y, p), abs=1e-12)
+    probs = [0.1, 0.5, 0.77]
+    got = {r["q"]: r["value"] for r in ranking.quantiles(df, "score", probs).collect()}
+    np.testing.assert_allclose([got[q] for q in probs], np.quantile(p, probs), rtol=1e-12)
+    keyed = ranking.ranked_metrics(ranking.class_counts(df.withColumn("k", F.lit("x")), ["k"]), ["k"]).first()
+    assert keyed["auroc"] == pytest.approx(m["auroc"], abs=1e-12)
