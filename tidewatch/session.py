@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +29,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that every executor can reach.
 
-    Uses ``spark.checkpoint.dir`` of the session.  Only a local master, whose
-    tasks share this machine, may fall back to a temporary folder.
+    Uses ``spark.checkpoint.dir`` of the session.  Where it is unset (tests, bench), a
+    local master, whose tasks share this machine, works below the warehouse folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="tidewatch-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
