@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import byte_bpe, extendible_shards, line_dedup, quality_cascade, simhash_anchors
+from tidewatch.llm import byte_bpe, extendible_shards, line_dedup, ppm_scoring, quality_cascade, simhash_anchors
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+@register("op4_ppm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7))
+    return ppm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out=part == 2, order=4)
