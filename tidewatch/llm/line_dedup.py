@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.common import SPACES, ascii_lower
+from tidewatch.session import stored
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
@@ -26,6 +27,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_char
     lines = texts.select(F.col(id_col).alias("__id"), "__sig", F.posexplode(hashes).alias("__pos", "__h")).where("__h is not null")
     lines = lines.select("__id", "__sig", "__pos", F.col("__h.h1").alias("__h1"), F.col("__h.h2").alias("__h2"))
     often = lines.groupBy("__h1", "__h2").agg(F.count_distinct(F.struct("__id")).alias("__n")).where(F.col("__n") >= min_docs).drop("__n")
+    often = stored(often, "lines")  # read from files, the join below is one that a frequent line can be split in
     hits = lines.join(often, ["__h1", "__h2"]).groupBy("__id", "__sig").agg(F.collect_set("__pos").alias("__drop"))
     hits = hits.withColumnsRenamed({"__id": "__id2", "__sig": "__sig2"})
     same = texts[id_col].eqNullSafe(hits["__id2"]) & (texts["__sig"] == hits["__sig2"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import byte_bpe, extendible_shards, line_dedup, ppm_scoring, quality_cascade, simhash_anchors
+from tidewatch.llm import byte_bpe, extendible_shards, host_paths, line_dedup, ppm_scoring, quality_cascade, secret_forest, simhash_anchors, string_tiling, tool_calls
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,4 +101,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_ppm_scoring")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7))
-    return ppm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out=part == 2, order=4)
+    return ppm_scoring.score_documents(table(spark, sf_dir, "documents"), held_out=part == 2, order=5)
+
+
+@register("op7_string_tiling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=4, threshold=0.5)
+
+
+@register("op9_host_paths")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.main_texts(table(spark, sf_dir, "pages"))
+
+
+@register("op1_secret_forest")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled findings: candidates of the documents that ``labels`` covers.  A 40-digit hexadecimal
+    value counts as a secret, any other candidate as none."""
+    reviewed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+
+    def label(rows: DataFrame) -> DataFrame:
+        return rows.join(reviewed, "id", "left_semi").withColumn("label", F.col("value").rlike("^[0-9a-f]{40}$").cast("double"))
+
+    found = secret_forest.scan(table(spark, sf_dir, "documents"), path_col="source", label=label)
+    return found.drop("value")
+
+
+@register("op3_tool_calls", """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text, CASE WHEN role IN ('system', 'user') THEN 'call-' || turn END AS own FROM conversations),
+u AS (
+  SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM t),
+calls AS (
+  SELECT conv_id, own AS call_id, turn AS position, CASE role WHEN 'user' THEN 'reply' ELSE 'instruct' END AS name, last, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level FROM u WHERE own IS NOT NULL),
+answers AS (
+  SELECT conv_id, coalesce(last, 'none') AS call_id, arg_min(text, turn) AS content, min(turn) AS answered, count(*) AS n FROM u WHERE own IS NULL GROUP BY 1, 2),
+j AS (
+  SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, coalesce(position, answered)::BIGINT AS position, name,
+         CASE WHEN c.call_id IS NOT NULL THEN level END AS level, coalesce(n, 0) AS n_results, content, last, text, c.call_id IS NULL AS orphan, n IS NULL AS silent
+  FROM calls c FULL JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id),
+e AS (
+  SELECT *, CASE WHEN orphan THEN 'orphan' WHEN silent THEN 'unanswered' ELSE 'linked' END AS status,
+         concat_ws('; ', CASE WHEN NOT orphan AND text IS NULL THEN 'missing text' END, CASE WHEN name = 'instruct' AND last IS NOT NULL THEN 'unexpected after' END) AS errors,
+         '{"arguments":' || CASE WHEN orphan THEN 'null' ELSE '{' || concat_ws(',', '"after":' || to_json(last), '"text":' || to_json(text), '"turn":' || position) || '}' END
+         || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS canonical
+  FROM j)
+SELECT conv_id, call_id, position, name, level::INTEGER AS level,
+       row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, position, call_id, status)::INTEGER AS place, status, n_results::BIGINT AS n_results, errors,
+       status = 'linked' AND errors = '' AS valid, canonical
+FROM e
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.chat_schemas(spark))
