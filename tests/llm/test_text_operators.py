@@ -1,0 +1,337 @@
+"""Operators on documents against brute-force versions, on rows with every odd case."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.llm import byte_bpe, extendible_shards, line_dedup, ppm_scoring, quality_cascade, secret_forest, simhash_anchors, string_tiling
+
+SPACES = " \t\n\x0b\f\r"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, h string, `value` double, label string, `block` long"
+
+
+def words(text):
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdeéßñ"), rng.integers(1, 7))) for _ in range(80)]
+    said = lambda n: " ".join(rng.choice(vocabulary, n))
+    shared = "  Shared LINE of all \t"
+    base = said(60)
+    out = [None, "", " ", "\n\n", "a", "A a", "one two", "ÀÉ ß x  y", "퟿\U0001f600 emoji \U0001f600", "x" * 5000, "word " * 3000, said(3000)]
+    out += [said(int(n)) + "\n" + shared + "\n" + said(5) for n in rng.integers(10, 60, 12)]
+    out += [base, base, base.upper(), base + " more", "start " + base, base.replace(" ", "  ")]
+    out += ["x # y $$$ % & | < > * " * 8, "LOUD WORDS HERE " * 12, "same line here\nsame line here\nsame line here\nother " + said(20)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", f"src{i % 3}", len(t or ""), "k", "h", 1.0, "l", 7) for i, t in enumerate(texts)]
+    rows += [rows[12], rows[12], (13, "other text under a used id", None, None, None, None, None, None, None, None)]
+    rows += [(None, "no id at all", None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def collected(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def pairs(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def test_line_dedup(docs):
+    rows = pairs(docs)
+    seen = defaultdict(set)
+    for i, t in rows:
+        for s in t.split("\n"):
+            seen[lower(s.strip(SPACES))].add(i)
+    gone = {k for k, ids in seen.items() if len(ids) >= 3 and len(k) >= 1}
+    assert gone
+    want = []
+    for i, t in rows:
+        kept = [s for s in t.split("\n") if lower(s.strip(SPACES)) not in gone]
+        want.append((i, len(t.split("\n")), len(t.split("\n")) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    got = [tuple(r) for r in line_dedup.line_report(docs, min_docs=3).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    left = line_dedup.drop_shared_lines(docs, min_docs=3)
+    assert left.columns == docs.columns
+    assert sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in left.collect()) == sorted(w[3] for w in want)
+    assert line_dedup.line_report(docs.limit(0)).count() == 0
+
+
+def repeats(w):
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    return len({i + k for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for k in range(8)})
+
+
+def test_quality_cascade(docs):
+    want = []
+    for i, t in pairs(docs):
+        w, lines = words(t), [s for s in t.split("\n") if words(s)]
+        n, rep = len(w), repeats(w)
+        symbols, dup = sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines))
+        failed = n < 20 or 100 * rep > 30 * n
+        chars = sum(map(len, w))
+        bad = 10 * symbols > n or not 2 * n <= chars <= 10 * n or 2 * len(set(lines)) < len(lines)
+        bad = bad or sum("A" <= c <= "Z" for c in t) > sum("a" <= c <= "z" for c in t) or 2 * sum(c.isalpha() for c in t) < chars
+        want.append((i, n, chars, symbols, dup, rep, failed, not failed and not bad))
+    got = [tuple(r) for r in quality_cascade.report(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {True, False} == {w[-1] for w in want}
+    kept = quality_cascade.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(w[-1] for w in want)
+    assert quality_cascade.report(docs.limit(0)).count() == 0
+    # the order that the sample suggests changes nothing
+    rules = quality_cascade.RULES
+    a = docs.where(quality_cascade.passes(F.col("text"), list(rules))).count()
+    assert a == docs.where(quality_cascade.passes(F.col("text"), list(reversed(rules)))).count() == kept.count()
+
+
+def slow_fingerprint(text, size=3):
+    import xxhash
+
+    w = lower(text).encode().split()
+    grams = [b" ".join(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_components(docs):
+    rows = pairs(docs)
+    fps = [slow_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    low = {}
+    for (i, _), r in zip(rows, root):
+        low[r] = min([x for x in (low.get(r), i) if x is not None], default=None)
+    want = sorted(((i, f"{f:016x}", low[r]) for (i, _), f, r in zip(rows, fps, root)), key=repr)
+    found = simhash_anchors.near_duplicates(docs)
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in found.collect()), key=repr) == want
+    kept = simhash_anchors.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({low[r] for r in root if low[r] is not None})
+    assert simhash_anchors.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_anchor_links_equal_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63 - 1, 60)
+    values = set(base.tolist()) | {0, -1, 1}
+    for b in base.tolist():
+        for _ in range(8):
+            x = np.int64(b)
+            for bit in rng.choice(64, rng.integers(1, 4), replace=False):
+                x ^= np.uint64(1 << int(bit)).astype(np.int64)
+            values.add(int(x))
+    u = np.array(sorted(values), dtype=np.int64)
+    near = np.bitwise_count(u.view(np.uint64)[:, None] ^ u.view(np.uint64)[None, :])
+    want = {(int(u[i]), int(u[j])) for i, j in zip(*np.nonzero((near <= 2) & (near > 0))) if u[i] < u[j]}
+    got = [tuple(r) for r in simhash_anchors.links(spark.createDataFrame([(int(x),) for x in u], "fp long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(0, i) for i in range(1, 40)]
+    got = {r["node"]: r["root"] for r in simhash_anchors.components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {i: 0 for i in range(40)}
+
+
+def test_bpe_is_that_of_the_library(spark, docs):
+    import public_tokenizers as P
+
+    vocabulary = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = byte_bpe.encoder(vocabulary, P.PATTERN)
+    extra = spark.createDataFrame([(100, "ab " * 900 + "  \n\n  x'll've " * 60), (101, "y" * 3000 + " z"), (101, "y" * 3000 + " z"), (102, " " * 700 + "q\n" * 400), (None, "don't " * 500)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(extra)
+    want = []
+    for i, t in pairs(both):
+        ids = enc.encode_ordinary(t)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    for chunk, overlap in ((65_536, 2_048), (200, 40), (64, 16)):
+        got = byte_bpe.encode_documents(both, vocabulary, P.PATTERN, chunk_chars=chunk, overlap_chars=overlap)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    pieces = byte_bpe.encode_documents(both.where("doc_id = 100"), vocabulary, P.PATTERN, chunk_chars=200, overlap_chars=40, ids=True).orderBy("gid").collect()
+    assert len(pieces) > 5 and b"".join(r["ids"] for r in pieces) == np.array(enc.encode_ordinary(extra.first()["text"]), "<u4").tobytes()
+
+
+def slow_ppm(train, text, order):
+    """log10 probability by dictionaries, symbol by symbol."""
+    counts = defaultdict(Counter)
+    for t in train:
+        b = [0] * order + list(t) + [256]
+        for i in range(order, len(b)):
+            for j in range(order + 1):
+                counts[tuple(b[i - j : i])][b[i]] += 1
+    total, b = 0.0, [0] * order + list(text) + [256]
+    for i in range(order, len(b)):
+        out, done = set(), False
+        for j in range(order, -1, -1):
+            seen = counts.get(tuple(b[i - j : i]), Counter())
+            left = {s: c for s, c in seen.items() if s not in out}
+            n = sum(left.values())
+            if b[i] in left:
+                total += math.log10((2 * left[b[i]] - 1) / (2 * n))
+                done = True
+                break
+            if left:
+                total += math.log10(len(left) / (2 * n))
+            out |= set(seen)
+        if not done:
+            total -= math.log10(max(257 - len(out), 1))
+    return total
+
+
+def part(i):
+    return zlib.crc32(str("" if i is None else i).encode()) % 7
+
+
+@pytest.mark.parametrize("order", [0, 2, 4])
+def test_ppm_scores(docs, order, monkeypatch):
+    monkeypatch.setattr(ppm_scoring, "SEGMENT_BYTES", 256)
+    short = docs.where("text is null or length(text) < 3000")
+    rows = pairs(short)
+    train = [lower(t).encode() for i, t in rows if part(i) != 2]
+    seen = Counter(w for t in train for w in t.split())
+    seen[None] = len(train)
+    n, v = sum(seen.values()), len(seen)
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    got = sorted((tuple(r) for r in ppm_scoring.score_documents(short, held, order=order).collect()), key=repr)
+    want = []
+    for i, t in rows:
+        w = [*lower(t).encode().split(), None]
+        want.append((i, part(i) == 2, len(w), sum(seen[x] > 0 for x in w), n, sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w), slow_ppm(train, lower(t).encode(), order)))
+    want.sort(key=repr)
+    assert len(got) == len(want)
+    order_of = lambda r: (repr(r[0]), r[2], round(r[6], 6))
+    for a, b in zip(sorted(got, key=order_of), sorted(want, key=order_of)):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_ppm_cuts_anywhere_and_empty(docs):
+    text = b"ab cd  ef\n" * 9 + b"x" * 40 + b" y"
+    for size in (1, 3, 7, 1000):
+        ends = ppm_scoring.cut(text, size)
+        assert ends[-1] == len(text) and b"".join(text[a:b] for a, b in zip([0, *ends], ends)) == text
+        assert [w for a, b in zip([0, *ends], ends) for w in text[a:b].split()] == text.split()
+    assert ppm_scoring.score_documents(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_shards(docs, tmp_path):
+    for limit in (100, 3_000, 10**9):
+        got = collected(extendible_shards.assign(docs, limit))
+        assert len(got) == docs.count()
+        sums = Counter()
+        for r in got:
+            sums[r["shard"]] += r["bytes"]
+        members = Counter(r["shard"] for r in got)
+        for r in got:
+            assert r["shard_bytes"] == sums[r["shard"]]
+            assert r["shard_bytes"] <= limit or members[r["shard"]] == 1
+            if r["depth"] and not r["overflow"] and r["depth"] < 60:  # the parent bucket was too large
+                h = lambda x: int(hashlib.md5(str("" if x["doc_id"] is None else x["doc_id"]).encode()).hexdigest()[:15], 16)
+                parent = h(r) >> (60 - r["depth"] + 1)
+                assert sum(x["bytes"] for x in got if h(x) >> (60 - r["depth"] + 1) == parent) > limit
+    table = extendible_shards.write_shards(docs, 3_000, str(tmp_path / "shards"))
+    back = docs.sparkSession.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == docs.count() and set(back.columns) == {*docs.columns, "shard"}
+    sizes = {r["shard"]: r["bytes"] for r in table.collect()}
+    assert {r["shard"]: r["b"] for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).collect()} == sizes
+    assert extendible_shards.assign(docs.limit(0), 10).count() == 0
+
+
+def slow_tiles(a, b, size):
+    used_a, used_b, out = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(a)):
+            for q in range(len(b)):
+                k = 0
+                while p + k < len(a) and q + k < len(b) and a[p + k] == b[q + k] and p + k not in used_a and q + k not in used_b:
+                    k += 1
+                best = max(best, (k, -p, -q))
+        k, p, q = best[0], -best[1], -best[2]
+        if k < size:
+            return out
+        used_a |= set(range(p, p + k))
+        used_b |= set(range(q, q + k))
+        out += k
+
+
+def test_string_tiling(spark, docs):
+    rng = np.random.default_rng(3)
+    w = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(w, 30)) + ".") for i in range(6)] + [(6, None), (7, ""), (8, "too short"), (0, "another text of item nought here now")]
+    parts = lambda t, k: [" ".join(t.split()[i : i + k]) for i in range(0, 30, k)]
+    moved = " ".join(reversed(parts(items[1][1], 10)))
+    said = lambda n: " ".join(rng.choice(w, n))
+    extra = [(200, said(50) + " " + items[0][1].upper() + ", " + said(9)), (201, said(20) + " " + moved), (202, said(9) + " ".join(items[2][1].split()[:9]) + " " + said(50)),
+             (203, " ".join(items[3][1].split()[:17]) + " gap " + items[4][1]), (204, said(500)), (205, items[5][1] + " " + items[5][1])]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for i, t in pairs(both):
+        for item, s in items:
+            n = len(string_tiling.tokens(s))
+            if n >= 4 and len(t) < 4000 and slow_tiles(string_tiling.tokens(t), string_tiling.tokens(s), 4) >= 0.5 * n:
+                want.add((i, item))
+    got = collected(string_tiling.report(both, bench))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert {(200, 0), (201, 1), (203, 3), (203, 4), (205, 5)} <= want and not {i for i, _ in want} & {202, 204}
+    clean = string_tiling.keep_clean(docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True), bench)
+    assert clean.columns == docs.columns and clean.count() == both.count() - 4
+    assert string_tiling.report(docs.limit(0), bench).count() == 0 and string_tiling.report(both, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tiles_equal_plain_search(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 4, 40).tolist(), rng.integers(0, 4, 25).tolist()
+    seeds = [(p, q) for p in range(len(a) - 2) for q in range(len(b) - 2) if a[p : p + 3] == b[q : q + 3]]
+    out = string_tiling.tiles(seeds, 3)
+    for p, q, n in out:
+        assert a[p : p + n] == b[q : q + n]
+    assert len({x for p, _, n in out for x in range(p, p + n)}) == sum(t[2] for t in out) == len({x for _, q, n in out for x in range(q, q + n)})
+    assert out and max(t[2] for t in out) == out[0][2]
+
+
+def test_secret_forest(spark, docs):
+    rng = np.random.default_rng(8)
+    hexed = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = []
+    for i in range(400):
+        secret = i % 2 == 0
+        piece = f'token = "{hexed(40)}"' if secret else rng.choice([f"see {hexed(8)}-{hexed(12)} now", "averyverylongplainword is here", f"mail some.body{i}@mail.example.com"])
+        rows.append((1000 + i, f"some words here {piece} and more words", f"src{i % 5}", float(secret)))
+    train = spark.createDataFrame(rows, "doc_id long, text string, source string, label double")
+    both = docs.select("doc_id", "text", "source").unionByName(train.select("doc_id", "text", "source"))
+    marks = secret_forest.features(train).select("id", "pos").join(train.select(F.col("doc_id").alias("id"), "label"), "id").where("id < 1300")
+    found = collected(secret_forest.scan(both, marks, path_col="source"))
+    held = [r for r in found if (r["doc_id"] or 0) >= 1300]
+    truth = {r[0]: bool(r[3]) for r in rows}
+    right = sum(r["is_secret"] == truth[r["doc_id"]] for r in held)
+    assert len(held) >= 95 and right / len(held) > 0.95
+    # null, empty and repeated rows; one candidate per long key-like word
+    assert all(r["value_sha256"] == hashlib.sha256(r["value"].encode()).hexdigest() for r in found)
+    assert sum(r["doc_id"] == 9 for r in found) == 1
+    none = collected(secret_forest.scan(both, marks.limit(0)))
+    assert len(none) == len(found) and all(r["is_secret"] and r["probability"] is None for r in none)
+    assert secret_forest.scan(docs.limit(0), marks).count() == 0
