@@ -33,9 +33,9 @@ def run(spark, series, policy, **kw):
 
 def test_worked_examples(spark):
     two = AlertPolicy(0.5, consecutive=2)
-    assert run(spark, {"a": [.6, .7, .8, .2, .9, .9], "b": [.9, None, .9, .9]}, two, long=False) == {"a": [1, 5], "b": [3]}
+    assert run(spark, {"a": [.6, .7, .8, .2, .9, .9], "b": [.9, None, .9, .9]}, two) == {"a": [1, 5], "b": [3]}
     slow = AlertPolicy(0.5, cooldown_h=6)
-    assert run(spark, {"a": [.9, .1, .9, .9, .1, .1, .1, .9]}, slow, long=False) == {"a": [0, 7]}
+    assert run(spark, {"a": [.9, .1, .9, .9, .1, .1, .1, .9]}, slow) == {"a": [0, 7]}
 
 
 def random_series(n, longest, seed):
@@ -54,11 +54,11 @@ def test_runs_equal_the_state_machine(spark, policy, blocks):
     if blocks and policy.cooldown_h + policy.consecutive >= blocks:
         blocks = 20
     series = random_series(60, 90, seed=policy.cooldown_h + 1)
-    kw = {"long": False} if blocks is None else {"long": True, "block_hours": blocks}
+    kw = {} if blocks is None else {"block_hours": blocks}
     assert run(spark, series, policy, **kw) == {s: by_steps(policy, v)[0] for s, v in series.items()}
 
 
-@pytest.mark.parametrize("kw", [{"long": False}, {"long": True, "block_hours": 16}], ids=["plain", "blocked"])
+@pytest.mark.parametrize("kw", [{}, {"block_hours": 16}], ids=["one block", "blocks"])
 def test_states_equal_the_state_machine(spark, kw):
     policy = AlertPolicy(0.5, 2, 6)
     series = random_series(40, 80, seed=11)
@@ -112,12 +112,36 @@ def test_grid_equals_single_policies(spark):
     df = spark.createDataFrame(data, SCHEMA + ", label int")
     facts = labels.onset(df)
     thresholds = F.array(F.lit(0.55), F.lit(0.7), F.lit(0.99))
-    for kw in ({"long": False}, {"long": True, "block_hours": 16}):
+    for kw in ({}, {"block_hours": 16}):
         grid = {(r["threshold"], r["consecutive"], r["cooldown_h"]): r
                 for r in alerts.policy_grid(df, facts, thresholds, (1, 2), (0, 6), **kw).collect()}
         assert len(grid) == 12
         for key in ((0.55, 2, 6), (0.7, 1, 0), (0.99, 1, 6)):
             single = alerts.alert_metrics(
-                alerts.match_onsets(alerts.alert_hours(df, AlertPolicy(*key), long=False), facts)).first()
+                alerts.match_onsets(alerts.alert_hours(df, AlertPolicy(*key)), facts)).first()
             for name, value in single.asDict().items():
                 assert grid[key][name] == pytest.approx(value), (key, name)
+
+
+def test_block_length_changes_nothing(spark):
+    """Hours may be missing, whole blocks included; states, reviews and segments stay the same."""
+    from tidewatch.operators import views
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for s in range(12):
+        hours = sorted(rng.choice(220, rng.integers(30, 200), replace=False).tolist())
+        hours = [h for h in hours if not 60 <= h < 60 + 10 * (s % 5)]
+        for h in hours:
+            x = None if rng.random() < 0.08 else round(float(0.45 + 0.4 * np.sin(h / 9 + s) + rng.normal(0, 0.1)), 3)
+            rows.append((f"s{s}", h, x, "data_unavailable" if x is None else "scored"))
+    rows += [("gap", h, 0.9 if 20 <= h <= 50 else 0.1, "scored") for h in range(80) if h != 31]
+    df = spark.createDataFrame(rows, "stay_id string, hour_index int, score double, status string")
+    policy = AlertPolicy(0.5, 2, 3)
+    reviews = alerts.alert_hours(df, policy).selectExpr("stay_id", "alert_hour", "alert_hour + 1 as reviewed_at_hour")
+    seen = []
+    for block in (8, 32, 4096):
+        states = alerts.policy_states(df, policy, block_hours=block)
+        acked = alerts.acknowledge(states, reviews, block_hours=block)
+        seen.append([sorted(map(tuple, x.collect()), key=repr) for x in (states, acked, views.score_segments(df, block_hours=block))])
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == len(rows)

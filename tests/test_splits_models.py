@@ -136,9 +136,9 @@ def test_policy_selection_and_evaluation(spark):
             data.append((f"s{s}", h, y, float(np.round(min(1, max(0, 0.3 * y + 0.5 * rng.random())), 3)), "scored"))
     df = spark.createDataFrame(data, "stay_id string, hour_index int, label int, score double, status string").cache()
     demo = df.select("stay_id").distinct().select("stay_id", F.lit(70.0).alias("Age"), F.lit(1.0).alias("Gender"))
-    chosen = select_policy(df, budgets=(5, 50), primary=50, consecutive=(1, 2), cooldowns=(0, 6), long=False)
+    chosen = select_policy(df, budgets=(5, 50), primary=50, consecutive=(1, 2), cooldowns=(0, 6))
     assert chosen["by_budget"][50.0]["alerts_per_100_patient_days"] <= 50
-    doc = evaluate(df, demo, chosen["policy"], chosen["benchmark_threshold"], "r1", "a_test", n_boot=5, long=False).collect()
+    doc = evaluate(df, demo, chosen["policy"], chosen["benchmark_threshold"], "r1", "a_test", n_boot=5).collect()
     value = {(r["part"], r["metric"]): r["value"] for r in doc}
     assert value["benchmark", "utility"] == pytest.approx(chosen["utility"], abs=1e-9)
     assert value["hourly", "rows_scored"] == 1600 and value["coverage", "coverage"] == 1.0

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.operators.blocks import BLOCK_HOURS, is_long, with_blocks
+from tidewatch.operators.blocks import BLOCK_HOURS, with_blocks
 from tidewatch.operators.trailing import running_state
 from tidewatch.spec import HOUR, KEY, AlertPolicy
 
@@ -33,7 +33,7 @@ def usable_score() -> Column:
     return F.when(F.col("status") == "scored", F.col("score"))
 
 
-def runs_above(scored: DataFrame, thresholds: Column, reach: int, long: bool, block_hours: int,
+def runs_above(scored: DataFrame, thresholds: Column, reach: int, block_hours: int,
                carry: Sequence[str] = ()) -> DataFrame:
     """Runs per (stay, threshold, block) as a sorted array of (s, e).
 
@@ -44,10 +44,9 @@ def runs_above(scored: DataFrame, thresholds: Column, reach: int, long: bool, bl
     carry = list(carry)
     rows = scored.select(KEY, HOUR, usable_score().alias("score"), *carry)
     rows = rows.filter(F.col("score") >= F.element_at(thresholds, 1))
-    rows = with_blocks(rows, long, block_hours, back=1, ahead=reach)
+    rows = with_blocks(rows, block_hours, back=1, ahead=reach)
     group = [KEY, "block"]
-    if long:
-        rows = rows.repartition(*group)  # spread one entity's blocks even if rows arrive keyed by stay
+    rows = rows.repartition(*group)  # spread one entity's blocks even if rows arrive keyed by stay
     order = Window.partitionBy(*group).orderBy(HOUR)
     # the score of the hour before and after; absent hours are below every threshold
     low = F.lit(float("-inf"))
@@ -64,10 +63,8 @@ def runs_above(scored: DataFrame, thresholds: Column, reach: int, long: bool, bl
     starts = F.array_sort(F.collect_list(F.when(F.col("threshold") > F.col("before"), F.col(HOUR))))
     ends = F.array_sort(F.collect_list(F.when(F.col("threshold") > F.col("after"), F.col(HOUR))))
     runs = edges.groupBy(KEY, "threshold", "block", *carry).agg(starts.alias("s"), ends.alias("e"))
-    pairs = F.arrays_zip("s", "e")
-    if long:
-        begin = F.col("block") * block_hours
-        pairs = F.filter(pairs, lambda run: (run["s"] >= begin) & (run["s"] < begin + block_hours))
+    begin = F.col("block") * block_hours
+    pairs = F.filter(F.arrays_zip("s", "e"), lambda run: (run["s"] >= begin) & (run["s"] < begin + block_hours))
     return runs.select(KEY, "threshold", "block", *carry, pairs.alias("runs"))
 
 
@@ -83,18 +80,11 @@ def _fire(runs: Column, until: Column, k: Column, cooldown: Column) -> Column:
     return F.aggregate(runs, start, step)
 
 
-def _fire_plain(runs: Column, k: Column) -> Column:
-    """Without a cooldown every run of at least ``k`` hours fires at its k-th hour."""
-    enough = F.filter(runs, lambda run: run["e"] - run["s"] + 1 >= k)
-    return F.transform(enough, lambda run: (run["s"] + k - 1).cast("int"))
-
-
 def alert_blocks(
     scored: DataFrame,
     thresholds: Column,
     consecutive: Sequence[int],
     cooldowns: Sequence[int],
-    long: bool | None = None,
     block_hours: int = BLOCK_HOURS,
     carry: Sequence[str] = (),
 ) -> DataFrame:
@@ -102,10 +92,9 @@ def alert_blocks(
 
     ``hours`` are the alert hours that start in the block (blocks without alerts may be absent).
     """
-    long = is_long(scored, block_hours) if long is None else long
     carry = list(carry)
     widest = max(cooldowns) + max(consecutive)
-    runs = runs_above(scored, thresholds, widest, long, block_hours, carry)
+    runs = runs_above(scored, thresholds, widest, block_hours, carry)
     combos = F.array(*[
         F.struct(F.lit(int(k)).alias("consecutive"), F.lit(int(c)).alias("cooldown_h"))
         for k in consecutive for c in cooldowns
@@ -115,15 +104,11 @@ def alert_blocks(
         "block", *carry, "runs",
     )
     k, cooldown = F.col("consecutive"), F.col("cooldown_h")
-    if not long:
-        cooled = _fire(F.col("runs"), F.lit(-(2**31) + 1), k, cooldown)["hours"]
-        fired = F.when(cooldown == 0, _fire_plain(F.col("runs"), k)).otherwise(cooled)
-        return each.select(KEY, *POLICY, "block", *carry, fired.alias("hours")).filter(F.size("hours") > 0)
-
-    # Long entities: play each block for every cooldown it may be entered with, then
-    # chain the blocks through their (small) entry -> exit tables.
+    # Play each block for every cooldown it may be entered with, then chain the blocks
+    # through their (small) entry -> exit tables.  Nothing comes before block 0, and
+    # without a cooldown nothing outlives its run: these are played once.
     begin = F.col("block") * block_hours
-    entries = F.sequence(F.lit(0), 2 * cooldown + k)
+    entries = F.sequence(F.lit(0), F.when((F.col("block") == 0) | (cooldown == 0), 0).otherwise(2 * cooldown + k))
     played = each.withColumn(
         "played",
         F.transform(entries, lambda left: _fire(F.col("runs"), begin + left, k, cooldown)),
@@ -137,7 +122,7 @@ def alert_blocks(
     state = F.struct(F.lit(None).cast("bigint").alias("block"), F.lit(0).alias("exit"), nothing.alias("entered"))
 
     def follow(acc, link):
-        left = F.when(acc["block"] + 1 == link["block"], acc["exit"]).otherwise(0)
+        left = F.when(acc["block"] + 1 == link["block"], F.least(acc["exit"], F.size(link["exits"]) - 1)).otherwise(0)
         return F.struct(
             link["block"].alias("block"),
             F.element_at(link["exits"], left + 1).alias("exit"),
@@ -154,30 +139,27 @@ def alert_blocks(
     )
 
 
-def alert_hours(scored: DataFrame, policy: AlertPolicy, long: bool | None = None,
-                block_hours: int = BLOCK_HOURS) -> DataFrame:
+def alert_hours(scored: DataFrame, policy: AlertPolicy, block_hours: int = BLOCK_HOURS) -> DataFrame:
     """``stay_id, alert_hour`` of one policy."""
     grid = F.array(F.lit(float(policy.threshold)))
-    blocks = alert_blocks(scored, grid, [policy.consecutive], [policy.cooldown_h], long, block_hours)
+    blocks = alert_blocks(scored, grid, [policy.consecutive], [policy.cooldown_h], block_hours)
     return blocks.select(KEY, F.explode("hours").alias("alert_hour"))
 
 
-def policy_states(scored: DataFrame, policy: AlertPolicy, long: bool | None = None,
-                  block_hours: int = BLOCK_HOURS) -> DataFrame:
+def policy_states(scored: DataFrame, policy: AlertPolicy, block_hours: int = BLOCK_HOURS) -> DataFrame:
     """State of every hour after its step, and whether it emitted an alert.
 
     An hour is *alerted* while nothing but scored hours at or above the threshold
     lies between the last alert and it; else *cooldown* while that alert's cooldown
     runs, else *monitoring*; unavailable hours say so.
     """
-    long = is_long(scored, block_hours) if long is None else long
-    fired = alert_hours(scored, policy, long, block_hours).withColumnRenamed("alert_hour", HOUR)
+    fired = alert_hours(scored, policy, block_hours).withColumnRenamed("alert_hour", HOUR)
     rows = scored.select(KEY, HOUR, usable_score().alias("score")).join(
         fired.withColumn("fired", F.lit(1)), [KEY, HOUR], "left"
     )
     above = F.coalesce(F.col("score") >= policy.threshold, F.lit(False))
     rows = rows.withColumn("calm", F.when(~above, 1))
-    state = running_state(rows, ("fired", "calm"), long=long, block_hours=block_hours)
+    state = running_state(rows, ("fired", "calm"), block_hours=block_hours)
     last_alert, last_calm = F.col("fired@seen"), F.col("calm@seen")
     armed = last_alert.isNotNull() & (F.coalesce(last_calm, F.lit(-1)) < last_alert)
     name = (
@@ -189,8 +171,7 @@ def policy_states(scored: DataFrame, policy: AlertPolicy, long: bool | None = No
     return state.select(KEY, HOUR, "score", name.alias("state"), F.coalesce("fired", F.lit(0)).alias("alert"))
 
 
-def acknowledge(states: DataFrame, reviews: DataFrame, long: bool | None = None,
-                block_hours: int = BLOCK_HOURS) -> DataFrame:
+def acknowledge(states: DataFrame, reviews: DataFrame, block_hours: int = BLOCK_HOURS) -> DataFrame:
     """Mark reviewed alerts.
 
     ``reviews``: stay_id, alert_hour, reviewed_at_hour.  From the review on, the hours
@@ -201,7 +182,7 @@ def acknowledge(states: DataFrame, reviews: DataFrame, long: bool | None = None,
         KEY, F.col("alert_hour").alias("mark"), "reviewed_at_hour"
     )
     spell = states.withColumn("spell", F.when(F.col("alert") == 1, F.col(HOUR)))
-    spell = running_state(spell, ("spell",), long=long, block_hours=block_hours).select(
+    spell = running_state(spell, ("spell",), block_hours=block_hours).select(
         KEY, HOUR, "state", "alert", F.col("spell@cur").alias("mark")
     )
     seen = F.col("reviewed_at_hour") <= F.col(HOUR)
@@ -318,7 +299,6 @@ def policy_grid(
     thresholds: Column,
     consecutive: Sequence[int] = (1, 2, 3),
     cooldowns: Sequence[int] = (0, 6, 12),
-    long: bool | None = None,
     block_hours: int = BLOCK_HOURS,
 ) -> DataFrame:
     """Alert metrics of every policy in thresholds x consecutive x cooldowns.
@@ -328,18 +308,16 @@ def policy_grid(
     totals, so the work follows the rows above threshold and not stays x policies.
     """
     outcome = ["onset", "septic", "left_censored"]
-    long = is_long(scored, block_hours) if long is None else long
     lowest = F.element_at(thresholds, 1)
     candidates = scored.filter(usable_score() >= lowest).join(facts.select(KEY, *outcome), KEY)
-    blocks = alert_blocks(candidates, thresholds, consecutive, cooldowns, long, block_hours, carry=outcome)
+    blocks = alert_blocks(candidates, thresholds, consecutive, cooldowns, block_hours, carry=outcome)
     per_stay = blocks.select(
         KEY, *POLICY, *outcome, F.size("hours").cast("long").alias("n_alerts"),
         *[_first_between(a, b).alias(n) for n, (a, b) in MATCH_WINDOWS.items()],
     )
-    if long:  # a stay may have several blocks
-        per_stay = per_stay.groupBy(KEY, *POLICY, *outcome).agg(
-            F.sum("n_alerts").alias("n_alerts"), *[F.min(n).alias(n) for n in MATCH_WINDOWS]
-        )
+    per_stay = per_stay.groupBy(KEY, *POLICY, *outcome).agg(  # a stay may have several blocks
+        F.sum("n_alerts").alias("n_alerts"), *[F.min(n).alias(n) for n in MATCH_WINDOWS]
+    )
     per_stay = per_stay.withColumn("lead_h", F.col("onset") - F.col("first_early"))
     per_policy = per_stay.groupBy(*POLICY).agg(*[c.alias(n) for n, c in _alert_sums().items()])
 

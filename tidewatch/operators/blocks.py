@@ -1,10 +1,9 @@
 """Time blocks: bounded window groups for entities of any length.
 
 Every per-entity window in this package runs over ``(stay_id, block)`` where a
-block covers ``BLOCK_HOURS`` consecutive hours.  When the panel's hour span
-(checked once, or handed in) is below that, each entity is a single block of at
-most ``BLOCK_HOURS`` rows and nothing else is needed.  Longer panels get halo
-rows for trailing frames and a carried state per block for running values.
+block covers ``BLOCK_HOURS`` consecutive hours (hours count from 0).  Halo rows feed
+trailing frames across the border; what running values know at the end of a block goes
+on to the later blocks of the entity.  An entity within one block takes the same path.
 """
 
 from __future__ import annotations
@@ -16,25 +15,18 @@ from tidewatch.spec import HOUR
 BLOCK_HOURS = 4096
 
 
-def is_long(panel: DataFrame, block_hours: int = BLOCK_HOURS) -> bool:
-    """One column-pruned pass: does any entity reach beyond a single block?"""
-    lo, hi = panel.agg(F.min(HOUR), F.max(HOUR)).first()
-    return hi is not None and (hi >= block_hours or lo < 0)
-
-
 def block_of(hour: Column, block_hours: int) -> Column:
-    return F.floor(hour / block_hours).cast("long")
+    """An hour's block; hours below 0 are refused, so block 0 has none before it."""
+    return F.when(hour >= 0, F.floor(hour / block_hours)).otherwise(F.raise_error(F.lit("hours count from 0"))).cast("long")
 
 
-def with_blocks(df: DataFrame, long: bool, block_hours: int, back: int = 0, ahead: int = 0) -> DataFrame:
+def with_blocks(df: DataFrame, block_hours: int, back: int = 0, ahead: int = 0) -> DataFrame:
     """Add ``block`` and ``halo``.
 
     A row within ``back`` hours of its block's end is repeated in the next block,
     one within ``ahead`` hours of its block's start in the previous block; these
     copies have ``halo = true``.
     """
-    if not long:
-        return df.withColumn("block", F.lit(0).cast("long")).withColumn("halo", F.lit(False))
     if max(back, ahead) >= block_hours:
         raise ValueError("a halo must be shorter than a block")
     own = block_of(F.col(HOUR), block_hours)

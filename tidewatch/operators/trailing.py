@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions import clinical
-from tidewatch.operators.blocks import BLOCK_HOURS, is_long, with_blocks
+from tidewatch.operators.blocks import BLOCK_HOURS, with_blocks
 from tidewatch.spec import HOUR, ICU, KEY, FeatureConfig, PanelSpec, feature_names
 
 LABEL_COLUMNS = frozenset({"SepsisLabel", "label"})
@@ -34,7 +34,6 @@ def running_state(
     panel: DataFrame,
     variables: tuple[str, ...],
     frames: dict[str, tuple[str, int]] | None = None,
-    long: bool | None = None,
     block_hours: int = BLOCK_HOURS,
 ) -> DataFrame:
     """Per row and variable v: hour and value of the latest observation, the one before
@@ -42,12 +41,11 @@ def running_state(
     plus trailing ``frames`` {name: (SQL aggregate, rows)}.
     """
     frames = frames or {}
-    long = is_long(panel, block_hours) if long is None else long
     back = max([rows - 1 for _, rows in frames.values()], default=0)
-    rows = with_blocks(panel, long, block_hours, back=back)
+    rows = with_blocks(panel, block_hours, back=back)
     so_far, before = _over("unbounded preceding"), _over("unbounded preceding", "1 preceding")
     # halo rows feed the trailing frames only; running values belong to the block itself
-    own = {v: f"if(halo, null, `{v}`)" if long else f"`{v}`" for v in variables}
+    own = {v: f"if(halo, null, `{v}`)" for v in variables}
     rows = rows.selectExpr("*", *[f"last({own[v]}, true) {before} as `{v}@before`" for v in variables])
     running = []
     for v in variables:
@@ -60,31 +58,27 @@ def running_state(
         ]
     trailing = [f"{agg} {_over(f'{n - 1} preceding')} as `{name}`" for name, (agg, n) in frames.items()]
     kept = [f"`{c}`" for c in panel.columns]
-    rows = rows.selectExpr(*kept, "block", "halo", *running, *trailing)
-    if not long:
-        return rows.drop("block", "halo")
-    rows = rows.filter("not halo").drop("halo")
-    return _carry_over(rows, kept, variables, list(frames), block_hours)
+    closing = f"lead(1) over (partition by {KEY}, block order by {HOUR}) is null as closing"
+    rows = rows.selectExpr(*kept, "block", "halo", closing, *running, *trailing)
+    return _carry_over(rows.filter("not halo").drop("halo"), kept, variables, list(frames))
 
 
-def _carry_over(rows, kept, variables, frame_names, block_hours) -> DataFrame:
+def _carry_over(rows, kept, variables, frame_names) -> DataFrame:
     """Add what earlier blocks of the same entity know to each block's own state.
 
-    Hours are contiguous, so a block that has a successor ends in the row with
-    offset ``block_hours - 1``; that row holds the block's summary.
+    A block's last row, whatever its hour, holds the block's summary: hours may be missing.
     """
     state = [f"`{v}@{part}`" for v in variables for part in ("seen", "cur", "prev", "first")]
-    chain = f"over (partition by {KEY} order by block rows between unbounded preceding and"
-    upto, before = f"{chain} current row)", f"{chain} 1 preceding)"
-    tails = rows.filter(f"pmod({HOUR}, {block_hours}) = {block_hours - 1}").selectExpr(KEY, "block", *state)
+    before = f"over (partition by {KEY} order by block rows between unbounded preceding and 1 preceding)"
+    tails = rows.filter("closing").selectExpr(KEY, "block", *state)
     tails = tails.selectExpr("*", *[
         f"if(`{v}@seen` is not null, coalesce(`{v}@prev`, last(`{v}@cur`, true) {before}), null) as `{v}@full`"
         for v in variables
     ])
     carried = {"seen": "last(`{v}@seen`, true)", "cur": "last(`{v}@cur`, true)", "prev": "last(`{v}@full`, true)",
                "first": "first(`{v}@first`, true)"}
-    carry = tails.selectExpr(KEY, "block + 1 as block", *[
-        f"{expr.format(v=v)} {upto} as `{v}@past_{part}`" for v in variables for part, expr in carried.items()
+    carry = tails.selectExpr(KEY, "block", *[
+        f"{expr.format(v=v)} {before} as `{v}@past_{part}`" for v in variables for part, expr in carried.items()
     ])
     merged = []
     for v in variables:
@@ -106,7 +100,6 @@ def trailing_features(
     panel: DataFrame,
     cfg: FeatureConfig = FeatureConfig(),
     spec: PanelSpec = ICU,
-    long: bool | None = None,
     block_hours: int = BLOCK_HOURS,
     as_float32: bool = True,
     keep: tuple[str, ...] = (),
@@ -127,7 +120,7 @@ def trailing_features(
             observed = " + ".join(f"double(`{v}` is not null)" for v in members)
             frames[f"{group}__count_{cfg.count_window_h}h"] = (f"sum({observed})", cfg.count_window_h)
     frames |= {"hour@low": (f"min({HOUR})", 2), "hour@rows": ("count(1)", 2)}
-    state = running_state(values, spec.clinical, frames, long, block_hours)
+    state = running_state(values, spec.clinical, frames, block_hours)
     hour = F.expr(
         f"if({HOUR} - `hour@low` = `hour@rows` - 1, {HOUR}, "
         "raise_error('hour_index must be contiguous within each stay'))"

@@ -112,10 +112,10 @@ def audit_events(steps: DataFrame) -> DataFrame:
     return emitted.unionByName(done)
 
 
-def score_segments(scored: DataFrame, long: bool | None = None, block_hours: int = BLOCK_HOURS) -> DataFrame:
+def score_segments(scored: DataFrame, block_hours: int = BLOCK_HOURS) -> DataFrame:
     """Stretches of scored hours between unavailable ones."""
     rows = scored.select(KEY, HOUR, "score").withColumn("gap", F.when(F.col("score").isNull(), 1))
-    seen = running_state(rows, ("gap",), long=long, block_hours=block_hours)
+    seen = running_state(rows, ("gap",), block_hours=block_hours)
     return (
         seen.filter(F.col("score").isNotNull())
         .groupBy(KEY, F.coalesce("gap@seen", F.lit(-1)).alias("after_gap"))

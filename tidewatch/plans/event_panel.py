@@ -14,7 +14,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.functions import scoring
-from tidewatch.operators.blocks import BLOCK_HOURS
 from tidewatch.operators.trailing import running_state, valid_for
 from tidewatch.session import stored
 from tidewatch.spec import HOUR, KEY, FeatureConfig, PanelSpec
@@ -47,13 +46,6 @@ class EventPanel:
     def events(self) -> DataFrame:
         return table(self.spark, self.sf_dir, "events")
 
-    @cached_property
-    def long(self) -> bool:
-        """The time span bounds every user's number of bins."""
-        seconds = F.unix_timestamp("ts")
-        first, last = self.events.agg(F.min(seconds), F.max(seconds)).first()
-        return (last - first) // BIN_SECONDS + 2 > BLOCK_HOURS
-
     @cached_property
     def panel(self) -> DataFrame:
         """Inputs and label per (stay_id, hour_index)."""
@@ -89,7 +81,7 @@ class EventPanel:
     @cached_property
     def state(self) -> DataFrame:
         """Panel rows with the running state of each measure."""
-        return running_state(self.panel, MEASURES, long=self.long)
+        return running_state(self.panel, MEASURES)
 
     @cached_property
     def latest(self) -> dict[str, Column]:

@@ -49,10 +49,10 @@ def prepare(spark: SparkSession, raw_root: str, out: str, expected: Mapping[str,
 
 
 def select_policy(scored: DataFrame, budgets=(1, 2, 5, 10, 20), primary: float = 10, consecutive=(1, 2, 3),
-                  cooldowns=(0, 6, 12), long: bool | None = None) -> dict:
+                  cooldowns=(0, 6, 12)) -> dict:
     """Choose the alert policy and the benchmark threshold on validation rows."""
     thresholds = utility.as_array(utility.threshold_grid(scored, utility.even_probs(0.80, 0.9995, 40), digits=6))
-    grid = alerts.policy_grid(scored, labels.onset(scored), thresholds, consecutive, cooldowns, long)
+    grid = alerts.policy_grid(scored, labels.onset(scored), thresholds, consecutive, cooldowns)
     chosen = {r["budget"]: r.asDict() for r in alerts.best_per_budget(grid, budgets).collect()}  # one row per budget
     best = chosen[float(primary)]
     if not best["feasible"]:
@@ -63,11 +63,11 @@ def select_policy(scored: DataFrame, budgets=(1, 2, 5, 10, 20), primary: float =
 
 
 def evaluate(scored: DataFrame, demographics: DataFrame, policy: AlertPolicy, threshold: float, run: str, split: str,
-             n_boot: int = 200, seed: int = 0, long: bool | None = None) -> DataFrame:
+             n_boot: int = 200, seed: int = 0) -> DataFrame:
     """All metrics of one run and split as ``run, split, part, metric, value``."""
     rows = metrics.predictions(scored, threshold)
     facts = labels.onset(rows)
-    fired = alerts.alert_hours(rows, policy, long)
+    fired = alerts.alert_hours(rows, policy)
     per_stay = utility.stay_utilities(rows)
     parts = {
         "hourly": metrics.hourly_metrics(rows, n_boot, seed),

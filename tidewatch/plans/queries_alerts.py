@@ -16,11 +16,11 @@ PLAIN = AlertPolicy(0.5, consecutive=2, cooldown_h=0)
 
 
 def fired(p: EventPanel, policy: AlertPolicy = POLICY) -> DataFrame:
-    return alerts.alert_hours(p.scored_table, policy, long=p.long)
+    return alerts.alert_hours(p.scored_table, policy)
 
 
 def states(p: EventPanel, policy: AlertPolicy = POLICY) -> DataFrame:
-    return alerts.policy_states(p.scored_table, policy, long=p.long)
+    return alerts.policy_states(p.scored_table, policy)
 
 
 # --- the state machine hour by hour, as a recursive query ----------------------------
@@ -152,7 +152,7 @@ _GRID_ROWS = (", al AS (SELECT stay_id, thr, k, cd, hour_index AS h FROM machine
 
 def grid(p: EventPanel) -> DataFrame:
     thresholds = utility.as_array(utility.threshold_grid(p.scored_table, _PROBS, digits=6))
-    return alerts.policy_grid(p.scored_table, labels.onset(p.scored_table), thresholds, long=p.long)
+    return alerts.policy_grid(p.scored_table, labels.onset(p.scored_table), thresholds)
 
 
 @register("policy_grid", with_machine(
@@ -192,7 +192,7 @@ def reviews(fired_: DataFrame) -> DataFrame:
     "THEN 'acknowledged' ELSE state END AS state, alert FROM t"))
 def ack_alerts(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    return alerts.acknowledge(states(p), reviews(fired(p)), long=p.long)
+    return alerts.acknowledge(states(p), reviews(fired(p)))
 
 
 @register("alert_counts", with_machine(

@@ -381,7 +381,7 @@ def feature_label_join(spark, sf_dir):
     from tidewatch.plans.jobs import labelled
 
     p = EventPanel(spark, sf_dir)
-    f = trailing_features(p.inputs, CONFIG, SPEC, long=p.long, as_float32=False)
+    f = trailing_features(p.inputs, CONFIG, SPEC, as_float32=False)
     out = labelled(f, labels.state_label(p.panel))
     return out.select(KEY, HOUR, rounded("view__last"), F.col("label").cast("int").alias("label"))
 
@@ -404,7 +404,7 @@ def _drift_sql(m):
 @register("feature_drift", with_latest(" UNION ALL ".join(_drift_sql(m) for m in MEASURES)))
 def feature_drift(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    f = trailing_features(p.inputs, CONFIG, SPEC, long=p.long, as_float32=False, keep=("hospital",))
+    f = trailing_features(p.inputs, CONFIG, SPEC, as_float32=False, keep=("hospital",))
     d = drift.feature_drift(f, _LASTS)
     return d.select("feature", *[rounded(c) for c in d.columns if c != "feature"])
 

@@ -21,7 +21,7 @@ _OVER = "OVER (PARTITION BY stay_id ORDER BY hour_index"
 
 def _features(spark, sf_dir, *names, shift=0.0):
     p = EventPanel(spark, sf_dir)
-    f = trailing_features(p.inputs, CONFIG, SPEC, long=p.long, as_float32=False)
+    f = trailing_features(p.inputs, CONFIG, SPEC, as_float32=False)
     return f.select(KEY, HOUR, *[rounded(F.col(n) + shift, name=n) for n in names])
 
 
@@ -133,7 +133,7 @@ def from_first(spark, sf_dir):
 def feature_frame(spark, sf_dir):
     """The whole declared feature frame in float32, summarised."""
     p = EventPanel(spark, sf_dir)
-    f = trailing_features(p.inputs, CONFIG, SPEC, long=p.long)
+    f = trailing_features(p.inputs, CONFIG, SPEC)
     now = F.when(F.col("view__observed") == 1, F.col("view__last").cast("double"))
     return f.agg(
         F.count(F.lit(1)).alias("n_rows"), F.lit(len(f.columns) - 2).cast("long").alias("n_features"),
@@ -234,7 +234,7 @@ CLOCK = 40
     + ", ".join(f'round(l_{m}, 6) AS "{m}__last"' for m in MEASURES) + " FROM v WHERE rn = 1"))
 def latest_row(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    f = trailing_features(p.inputs, CONFIG, SPEC, long=p.long, as_float32=False)
+    f = trailing_features(p.inputs, CONFIG, SPEC, as_float32=False)
     newest = latest_features(f.select(KEY, HOUR, *[f"{m}__last" for m in MEASURES]), CLOCK)
     return newest.select(KEY, HOUR, *[rounded(f"{m}__last") for m in MEASURES])
 
@@ -251,7 +251,7 @@ def visible_history(spark, sf_dir):
 def input_hash(spark, sf_dir):
     """Fingerprint of each feature row (engine-specific text form, so no SQL twin)."""
     p = EventPanel(spark, sf_dir)
-    f = trailing_features(p.inputs, CONFIG, SPEC, long=p.long)
+    f = trailing_features(p.inputs, CONFIG, SPEC)
     return f.select(KEY, HOUR, input_fingerprint(feature_names(CONFIG, SPEC)).alias("input_hash"))
 
 

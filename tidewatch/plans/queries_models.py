@@ -24,7 +24,7 @@ NAMES = feature_names(SMALL, SPEC)
 
 def split_rows(p: EventPanel, *names):
     """Labelled feature rows of each named split."""
-    f = trailing_features(p.inputs, SMALL, SPEC, long=p.long, as_float32=False)
+    f = trailing_features(p.inputs, SMALL, SPEC, as_float32=False)
     rows = stored(labelled(f, state_label(p.panel)).join(panel_splits(p), KEY).filter(F.col("split").isin(*names)), "rows")
     return [rows.filter(F.col("split") == n).drop("split") for n in names]
 
@@ -164,7 +164,7 @@ def logistic_score(spark, sf_dir):
     train, cal = split_rows(p, "a_train", "a_calibration")
     model = models.fit_logistic(train, NAMES)
     platt = models.fit_platt(cal.select("label", model.probability().alias("raw")))
-    f = trailing_features(p.inputs, SMALL, SPEC, long=p.long, as_float32=False)
+    f = trailing_features(p.inputs, SMALL, SPEC, as_float32=False)
     s = models.score_frame(f, model, platt, SMALL, SPEC)
     return s.select(KEY, HOUR, rounded("score"), "status")
 

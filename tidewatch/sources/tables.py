@@ -36,11 +36,11 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def cached_features(spark: SparkSession, root: str, hourly: DataFrame, cfg: FeatureConfig,
-                    spec: PanelSpec = ICU, long: bool | None = None) -> DataFrame:
+                    spec: PanelSpec = ICU) -> DataFrame:
     """Features of ``cfg``, computed once per feature version."""
     name = f"features/schema_version={feature_version(cfg, spec)}"
     if not is_complete(spark, f"{root}/{name}"):
-        write_table(trailing_features(hourly, cfg, spec, long), root, name)
+        write_table(trailing_features(hourly, cfg, spec), root, name)
     return spark.read.parquet(f"{root}/{name}")
 
 
