@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts, labels
 from tidewatch.spec import AlertPolicy
-from tidewatch.streaming.replay import acknowledge, fresh_state, policy_step
 
 SCHEMA = "stay_id string, hour_index int, score double, status string"
 
@@ -15,12 +14,20 @@ def rows(series: dict):
 
 
 def by_steps(policy, values):
-    s, out, names = fresh_state()["policy"], [], []
+    """Alerts and states straight from the definition: look back over the run that an hour lies in."""
+    high = [v is not None and v >= policy.threshold for v in values]
+    last, fired, names = None, [], []
     for h, v in enumerate(values):
-        if policy_step(policy, s, h, v):
-            out.append(h)
-        names.append(s["state"])
-    return out, names
+        start = h
+        while high[h] and start > 0 and high[start - 1]:
+            start -= 1
+        calm_until = 0 if last is None else last + policy.cooldown_h
+        standing = high[h] and last is not None and last >= start
+        if high[h] and not standing and h - max(start, calm_until) + 1 >= policy.consecutive:
+            fired.append(h)
+            last, standing = h, True
+        names.append("data_unavailable" if v is None else "alerted" if standing else "cooldown" if h < calm_until else "monitoring")
+    return fired, names
 
 
 def run(spark, series, policy, **kw):
@@ -70,14 +77,6 @@ def test_states_equal_the_state_machine(spark, kw):
         assert [got[s][h] for h in range(len(values))] == by_steps(policy, values)[1]
 
 
-def test_acknowledgement_keeps_timing():
-    p, s = AlertPolicy(0.5), fresh_state()["policy"]
-    assert policy_step(p, s, 0, 0.9) and s["state"] == "alerted"
-    acknowledge(s, 0)
-    assert s["state"] == "acknowledged"
-    assert not policy_step(p, s, 1, 0.9) and not policy_step(p, s, 2, 0.1) and policy_step(p, s, 3, 0.9)
-
-
 def test_versions(spark):
     from tidewatch.functions.naming import policy_version
 

@@ -68,7 +68,7 @@ def runs_above(scored: DataFrame, thresholds: Column, reach: int, block_hours: i
     return runs.select(KEY, "threshold", "block", *carry, pairs.alias("runs"))
 
 
-def _fire(runs: Column, until: Column, k: Column, cooldown: Column) -> Column:
+def fire(runs: Column, until: Column, k: Column, cooldown: Column) -> Column:
     """Alert hours of the runs, entering with a cooldown that ends at ``until``."""
     start = F.struct(until.cast("int").alias("until"), F.array().cast("array<int>").alias("hours"))
 
@@ -111,7 +111,7 @@ def alert_blocks(
     entries = F.sequence(F.lit(0), F.when((F.col("block") == 0) | (cooldown == 0), 0).otherwise(2 * cooldown + k))
     played = each.withColumn(
         "played",
-        F.transform(entries, lambda left: _fire(F.col("runs"), begin + left, k, cooldown)),
+        F.transform(entries, lambda left: fire(F.col("runs"), begin + left, k, cooldown)),
     ).select(
         KEY, *POLICY, "block", *carry,
         F.transform("played", lambda p: F.greatest(F.lit(0), (p["until"] - begin - block_hours).cast("int"))).alias("exits"),
@@ -146,6 +146,17 @@ def alert_hours(scored: DataFrame, policy: AlertPolicy, block_hours: int = BLOCK
     return blocks.select(KEY, F.explode("hours").alias("alert_hour"))
 
 
+def state_name(score: Column, last_alert: Column, last_calm: Column, policy: AlertPolicy) -> Column:
+    """State of an hour from the hours of the last alert and of the last hour that was not above the threshold."""
+    armed = last_alert.isNotNull() & (F.coalesce(last_calm, F.lit(-1)) < last_alert)
+    return (
+        F.when(score.isNull(), "data_unavailable")
+        .when(armed, "alerted")
+        .when(F.col(HOUR) < last_alert + policy.cooldown_h, "cooldown")
+        .otherwise("monitoring")
+    )
+
+
 def policy_states(scored: DataFrame, policy: AlertPolicy, block_hours: int = BLOCK_HOURS) -> DataFrame:
     """State of every hour after its step, and whether it emitted an alert.
 
@@ -160,14 +171,7 @@ def policy_states(scored: DataFrame, policy: AlertPolicy, block_hours: int = BLO
     above = F.coalesce(F.col("score") >= policy.threshold, F.lit(False))
     rows = rows.withColumn("calm", F.when(~above, 1))
     state = running_state(rows, ("fired", "calm"), block_hours=block_hours)
-    last_alert, last_calm = F.col("fired@seen"), F.col("calm@seen")
-    armed = last_alert.isNotNull() & (F.coalesce(last_calm, F.lit(-1)) < last_alert)
-    name = (
-        F.when(F.col("score").isNull(), "data_unavailable")
-        .when(armed, "alerted")
-        .when(F.col(HOUR) < last_alert + policy.cooldown_h, "cooldown")
-        .otherwise("monitoring")
-    )
+    name = state_name(F.col("score"), F.col("fired@seen"), F.col("calm@seen"), policy)
     return state.select(KEY, HOUR, "score", name.alias("state"), F.coalesce("fired", F.lit(0)).alias("alert"))
 
 

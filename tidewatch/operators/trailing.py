@@ -35,14 +35,20 @@ def running_state(
     variables: tuple[str, ...],
     frames: dict[str, tuple[str, int]] | None = None,
     block_hours: int = BLOCK_HOURS,
+    past: DataFrame | None = None,
 ) -> DataFrame:
     """Per row and variable v: hour and value of the latest observation, the one before
     it, and the first one so far (columns ``v@seen``, ``v@cur``, ``v@prev``, ``v@first``),
     plus trailing ``frames`` {name: (SQL aggregate, rows)}.
+
+    ``past`` holds these columns per entity for what came before the panel; the panel then has a
+    column ``old`` that marks earlier rows which only feed the frames and are not returned.
     """
     frames = frames or {}
     back = max([rows - 1 for _, rows in frames.values()], default=0)
     rows = with_blocks(panel, block_hours, back=back)
+    if past is not None:
+        rows = rows.withColumn("halo", F.col("halo") | F.col("old"))
     so_far, before = _over("unbounded preceding"), _over("unbounded preceding", "1 preceding")
     # halo rows feed the trailing frames only; running values belong to the block itself
     own = {v: f"if(halo, null, `{v}`)" for v in variables}
@@ -57,20 +63,25 @@ def running_state(
             f"first({own[v]}, true) {so_far} as `{v}@first`",
         ]
     trailing = [f"{agg} {_over(f'{n - 1} preceding')} as `{name}`" for name, (agg, n) in frames.items()]
-    kept = [f"`{c}`" for c in panel.columns]
+    kept = [f"`{c}`" for c in panel.columns if c != "old" or past is None]
     closing = f"lead(1) over (partition by {KEY}, block order by {HOUR}) is null as closing"
     rows = rows.selectExpr(*kept, "block", "halo", closing, *running, *trailing)
-    return _carry_over(rows.filter("not halo").drop("halo"), kept, variables, list(frames))
+    return _carry_over(rows.filter("not halo").drop("halo"), kept, variables, list(frames), past)
+
+
+STATE_PARTS = ("seen", "cur", "prev", "first")
 
 
-def _carry_over(rows, kept, variables, frame_names) -> DataFrame:
+def _carry_over(rows, kept, variables, frame_names, past) -> DataFrame:
     """Add what earlier blocks of the same entity know to each block's own state.
 
     A block's last row, whatever its hour, holds the block's summary: hours may be missing.
     """
-    state = [f"`{v}@{part}`" for v in variables for part in ("seen", "cur", "prev", "first")]
+    state = [f"`{v}@{part}`" for v in variables for part in STATE_PARTS]
     before = f"over (partition by {KEY} order by block rows between unbounded preceding and 1 preceding)"
     tails = rows.filter("closing").selectExpr(KEY, "block", *state)
+    if past is not None:
+        tails = tails.unionByName(past.selectExpr(KEY, "bigint(-1) as block", *state))
     tails = tails.selectExpr("*", *[
         f"if(`{v}@seen` is not null, coalesce(`{v}@prev`, last(`{v}@cur`, true) {before}), null) as `{v}@full`"
         for v in variables
@@ -108,23 +119,42 @@ def trailing_features(
 
     Fails when it runs if a stay's hours are not contiguous: row frames count hours.
     """
+    return features_of(feature_state(panel, cfg, spec, block_hours, keep), cfg, spec, as_float32, keep)
+
+
+def static_inputs(cfg: FeatureConfig, spec: PanelSpec) -> list[str]:
+    names = set(feature_names(cfg, spec))
+    return [c for c in (*spec.demographics, *spec.administrative) if c in names]
+
+
+def feature_state(
+    panel: DataFrame, cfg: FeatureConfig, spec: PanelSpec = ICU, block_hours: int = BLOCK_HOURS, keep: tuple[str, ...] = (),
+    past: DataFrame | None = None,
+) -> DataFrame:
+    """The inputs with running state and trailing frames: all that ``features_of`` reads."""
     refuse_labels(panel)
-    names = feature_names(cfg, spec)
-    static = [c for c in (*spec.demographics, *spec.administrative) if c in names]
     values = panel.selectExpr(
-        KEY, HOUR, *[f"`{c}`" for c in keep], *[f"double(`{c}`) as `{c}`" for c in (*spec.clinical, *static)]
+        KEY, HOUR, *[f"`{c}`" for c in keep], *(["old"] if past is not None else []),
+        *[f"double(`{c}`) as `{c}`" for c in (*spec.clinical, *static_inputs(cfg, spec))],
     )
+    return running_state(values, spec.clinical, feature_frames(cfg, spec), block_hours, past)
+
+
+def feature_frames(cfg: FeatureConfig, spec: PanelSpec) -> dict[str, tuple[str, int]]:
     frames = {f"{v}__{s}_{w}h": (_STATS[s].format(v=v), w) for v in spec.vitals for w in cfg.windows for s in cfg.stats}
     if cfg.extended:
         for group, members in (("vitals", spec.vitals), ("labs", spec.labs)):
             observed = " + ".join(f"double(`{v}` is not null)" for v in members)
             frames[f"{group}__count_{cfg.count_window_h}h"] = (f"sum({observed})", cfg.count_window_h)
-    frames |= {"hour@low": (f"min({HOUR})", 2), "hour@rows": ("count(1)", 2)}
-    state = running_state(values, spec.clinical, frames, block_hours)
+    return frames | {"hour@low": (f"min({HOUR})", 2), "hour@rows": ("count(1)", 2)}
+
+
+def features_of(state: DataFrame, cfg: FeatureConfig, spec: PanelSpec = ICU, as_float32: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    names, frames = feature_names(cfg, spec), feature_frames(cfg, spec)
     hour = F.expr(
         f"if({HOUR} - `hour@low` = `hour@rows` - 1, {HOUR}, "
         "raise_error('hour_index must be contiguous within each stay'))"
-    ).cast(dict(panel.dtypes)[HOUR]).alias(HOUR)
+    ).cast(dict(state.dtypes)[HOUR]).alias(HOUR)
 
     latest = {v: valid_for(v, cfg.expiry(v, spec)) for v in spec.clinical}
     out: dict[str, Column] = {f"{v}__last": x for v, x in latest.items()}
@@ -142,7 +172,7 @@ def trailing_features(
             out[f"{v}__from_first"] = valid_for(v, cfg.expiry(v, spec), "`{v}@cur` - `{v}@first`")
     if cfg.organ_scores:
         out |= clinical.organ_scores(latest)
-    out |= {c: F.col(c) for c in static}
+    out |= {c: F.col(c) for c in static_inputs(cfg, spec)}
     width = "float" if as_float32 else "double"
     return state.select(KEY, hour, *keep, *[out[n].cast(width).alias(n) for n in names])
 

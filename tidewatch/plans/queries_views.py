@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.operators import labels, views
+from tidewatch.functions import scoring
+from tidewatch.operators import drift, labels, views
 from tidewatch.plans.catalog import register, rounded
 from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel
 from tidewatch.plans.panel_sql import with_info, with_panel, with_scored
 from tidewatch.plans.queries_alerts import POLICY, _one, fired, reviews, states, with_machine
 from tidewatch.session import work_folder
-from tidewatch.spec import HOUR, KEY
+from tidewatch.spec import HOUR, KEY, feature_version
 from tidewatch.streaming.replay import run_available
 
 CLOCK = 80
@@ -76,17 +77,19 @@ def alerts_list(spark, sf_dir):
     return views.alerts_until(reviewed(EventPanel(spark, sf_dir)), CLOCK)
 
 
-@register("audit_tail", with_machine(_one(POLICY), """
-, m AS (SELECT k.stay_id, k.hour_index, k.alert FROM machine k WHERE hour_index >= 0),
-e AS (SELECT hour_index, 'alert_emitted' AS kind, '{"stay_id":' || stay_id || ',"hour":' || hour_index || '}' AS payload
+_AUDIT_SQL = """
+, m AS (SELECT k.stay_id, k.hour_index, k.alert, s.score FROM machine k JOIN scored s USING (stay_id, hour_index)),
+e AS (SELECT hour_index, 'alert_emitted' AS kind, '{"stay_id":' || stay_id || ',"hour":' || hour_index || ',"score":' || score || '}' AS payload
       FROM m WHERE alert = 1
       UNION ALL SELECT hour_index, 'replay_step', '{"hour":' || hour_index || ',"scored":' || count(*) || ',"alerts":'
-      || sum(alert) || '}' FROM m GROUP BY 1)
-SELECT hour_index, kind, payload FROM e ORDER BY hour_index DESC, kind DESC, payload DESC LIMIT 200"""))
+      || sum(alert) || '}' FROM m GROUP BY 1) """
+_NEWEST = "SELECT hour_index, kind, payload FROM e ORDER BY hour_index DESC, kind DESC, payload DESC LIMIT 200"
+
+
+@register("audit_tail", with_machine(_one(POLICY), _AUDIT_SQL + _NEWEST))
 def audit_tail(spark, sf_dir):
     """The newest 200 audit events of a replay over all stays."""
-    s = steps(EventPanel(spark, sf_dir)).withColumn("replay_id", F.lit("replay")).drop("score").withColumn(
-        "score", F.lit(None).cast("double"))
+    s = steps(EventPanel(spark, sf_dir)).withColumn("replay_id", F.lit("replay"))
     return views.newest_first(views.audit_events(s), 200, HOUR, "kind", "payload").select(HOUR, "kind", "payload")
 
 
@@ -109,24 +112,43 @@ def dedupe_predictions(spark, sf_dir):
     return views.first_attempt(again, [KEY, HOUR], "attempt")
 
 
-def fixture_score(features: dict) -> float:
-    s = sum(features[f"{m}__last"] or 0.0 for m in ("view", "click", "purchase", "error"))
-    return round(s / (s + 200.0), 6)
+def fixture_score(features: DataFrame) -> DataFrame:
+    """The panel's score from features; contributions are the readings that it adds up."""
+    last = {m: F.coalesce(F.col(f"{m}__last").cast("double"), F.lit(0.0)) for m in ("view", "click", "purchase", "error")}
+    s = last["view"] + last["click"] + last["purchase"] + last["error"]
+    status = scoring.status([F.col(f"{v}__last") for v in SPEC.vitals])
+    top = drift.top_contributions({f"{m}__last": c for m, c in last.items()}, {f"{m}__last": F.col(f"{m}__last") for m in last})
+    return features.select(KEY, HOUR, F.when(status == "scored", F.round(s / (s + 200), 6)).alias("score"), status.alias("status"),
+                           F.to_json(top).alias("contributions"))
 
 
-@register("replay_stream", with_machine(
-    _one(POLICY), "SELECT k.stay_id, k.hour_index, s.score, s.status, k.state, k.alert FROM machine k "
-    "JOIN scored s USING (stay_id, hour_index)"))
-def replay_stream(spark, sf_dir):
-    """The panel replayed in three arrivals; each run goes on from the checkpoint of the last."""
+def replayed(spark, sf_dir) -> str:
+    """Replay the panel in three arrivals, each run going on from the checkpoint of the last; the sink's folder."""
     p = EventPanel(spark, sf_dir)
     root = work_folder(spark, "replay")
-    rows = p.inputs.select(KEY, HOUR, *MEASURES)
+    rows = p.inputs.select(KEY, HOUR, *MEASURES, "Age", "Gender")
     stays = labels.onset(p.panel).select(F.lit("replay").alias("replay_id"), KEY, "n_hours")
     arrivals = [f"{HOUR} < 30", f"{HOUR} >= 30 and {HOUR} < 70", f"{HOUR} >= 70"]
     for arrival in arrivals:
         rows.filter(arrival).write.mode("append").parquet(f"{root}/panel")
         run_available(spark, f"{root}/panel", rows.schema, stays, f"{root}/steps", f"{root}/checkpoint",
-                      fixture_score, POLICY, CONFIG, SPEC)
-    done = spark.read.parquet(f"{root}/steps").filter("kind = 'prediction'")
-    return done.select(KEY, HOUR, rounded("score"), "status", "state", "alert")
+                      fixture_score, POLICY, CONFIG, SPEC, model_version="fixture-1")
+    return f"{root}/steps"
+
+
+@register("replay_stream", with_machine(
+    _one(POLICY), "SELECT k.stay_id, k.hour_index, s.score, s.status, k.state, k.alert, 'fixture-1' AS model_version, "
+    f"'{POLICY.version}' AS policy_version, '{feature_version(CONFIG, SPEC)}' AS feature_schema_version, 64 AS hash_length, 4 AS n_contributions "
+    "FROM machine k JOIN scored s USING (stay_id, hour_index)"))
+def replay_stream(spark, sf_dir):
+    """Every hour as the stream wrote it, with versions, input hash and contributions."""
+    done = spark.read.parquet(replayed(spark, sf_dir)).filter("kind = 'prediction'")
+    parts = F.from_json("contributions", "array<struct<feature:string,contribution:double,value:double,missing:boolean>>")
+    return done.select(KEY, HOUR, rounded("score"), "status", "state", "alert", "model_version", "policy_version", "feature_schema_version",
+                       F.length("input_hash").alias("hash_length"), F.size(parts).alias("n_contributions"))
+
+
+@register("replay_audit", with_machine(_one(POLICY), _AUDIT_SQL + "SELECT hour_index, kind, payload FROM e"))
+def replay_audit(spark, sf_dir):
+    """All audit events that the stream wrote."""
+    return spark.read.parquet(replayed(spark, sf_dir) + "_audit").select(HOUR, "kind", "payload")
