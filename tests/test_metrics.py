@@ -77,13 +77,14 @@ def test_quantiles_equal_numpy(spark):
 def test_ordered_index_counts_from_zero(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("stay_id"))
     name = F.col("stay_id")
-    rows = ranking.ordered_index(df, [], ranking.hash_unit(name), [F.md5(name), name], "i").withColumn("h", F.md5(name)).collect()
+    rows = ranking.ordered_index(df, [], [F.md5(name), name], "i").withColumn("h", F.md5(name)).collect()
     assert [r["i"] for r in sorted(rows, key=lambda r: r["h"])] == list(range(500))
 
 
 def test_bootstrap_equals_naive_resampling(df, frame):
     n_boot = 8
-    weights = bootstrap.stay_weights(df, n_boot, seed=7).toPandas()
+    packed = bootstrap.stay_weights(df, n_boot, seed=7).toPandas()
+    weights = pd.DataFrame([(r, s, w) for s, x in zip(packed.stay_id, packed.w) for r, w in enumerate(np.frombuffer(x, "<u2"))], columns=["replicate", "stay_id", "weight"])
     assert (weights.groupby("replicate").weight.sum() == frame.stay_id.nunique()).all()
     cells = bootstrap.stay_cells(df)
     got = {r["replicate"]: r for r in bootstrap.ranked_replicates(cells, n_boot, seed=7).collect()}
@@ -147,15 +148,22 @@ def test_incident_labels(spark):
     assert got["early_end"][4][0] == 1
 
 
-def test_fine_buckets_equal_coarse_ones(df, frame, monkeypatch):
-    """Beyond SMALL rows every coarse bucket is split again; results must not move."""
-    monkeypatch.setattr(ranking, "SMALL", 10)
-    m = ranking.ranked_metrics(ranking.class_counts(df)).first()
-    y, p = frame.label.to_numpy(), frame.score.to_numpy()
-    assert m["auroc"] == pytest.approx(auroc(y, p), abs=1e-12)
-    assert m["auprc"] == pytest.approx(auprc(y, p), abs=1e-12)
+@pytest.mark.parametrize("kind", ["near a billion", "up to 2000"])
+def test_ranges_are_even_and_exact(spark, kind):
+    """Borders come from the data: no range holds more than a few times its share, and results stay exact."""
+    rng = np.random.default_rng(2)
+    values = np.unique(1e9 + rng.random(20_000) if kind == "near a billion" else rng.uniform(0, 2000, 20_000))
+    df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(values)], "v double, n long").repartition(8)
+    shares = [r["count"] for r in ranking.ranged(df, [], [F.col("v")], 16).groupBy("_range").count().collect()]
+    assert len(shares) == 16 and max(shares) < 3 * len(values) / 16
+    got = {r["v"]: r["before_n"] for r in ranking.prefix_totals(df, [], [F.col("v")], ["n"], parts=16).collect()}
+    before = np.concatenate([[0], np.cumsum(np.arange(len(values)) % 3)])
+    assert got == {float(v): int(b) for v, b in zip(values, before)}
     probs = [0.1, 0.5, 0.77]
-    got = {r["q"]: r["value"] for r in ranking.quantiles(df, "score", probs).collect()}
-    np.testing.assert_allclose([got[q] for q in probs], np.quantile(p, probs), rtol=1e-12)
-    keyed = ranking.ranked_metrics(ranking.class_counts(df.withColumn("k", F.lit("x")), ["k"]), ["k"]).first()
-    assert keyed["auroc"] == pytest.approx(m["auroc"], abs=1e-12)
+    found = {r["q"]: r["value"] for r in ranking.quantiles(df, "v", probs).collect()}
+    np.testing.assert_allclose([found[q] for q in probs], np.quantile(values, probs), rtol=1e-12)
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0)], "k string, v double").withColumn("n", F.lit(1).cast("long"))
+    assert {(r["k"], r["v"]): r["before_n"] for r in ranking.prefix_totals(df, ["k"], [F.col("v")], ["n"]).collect()} == {(None, 1.0): 0, (None, 2.0): 1, ("a", 5.0): 0}

@@ -1,77 +1,57 @@
-"""Exact ranks, quantiles and ranked metrics without a global sort.
-
-Values are first collapsed to one row each.  A value's position is then the
-total of all coarse buckets beyond its own plus its in-bucket prefix.  Buckets
-follow the values, so one bucket may hold most of them: beyond ``SMALL`` rows a
-second level splits every coarse bucket into ``FAN`` fine ones.  Window groups
-are thus at most ``FAN`` rows at the bucket levels, and at most ``SMALL`` rows or
-the distinct values of a very narrow range below them.
+"""Exact ranks, quantiles and ranked metrics without one task that sees all values.
+
+Values are first collapsed to one row each and range-partitioned once: the borders come from
+a sample of the values themselves, so ranges hold about equal numbers of rows whatever the
+scale of the values.  A value's position is the total of all ranges before its own
+plus the prefix within the range.  The borders decide about balance only; results are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.session import stored
 
 FAN = 4096
-SMALL = 2_000_000
 
 
-def unit_interval(value: Column) -> Column:
-    """Order-preserving map of any number into (0, 1)."""
-    v = value.cast("double")
-    return (1 + v / (1 + F.abs(v))) / 2
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Equality of key columns in which null equals null."""
+    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def hash_unit(text: Column) -> Column:
-    """The first 48 bits of md5 as a fraction; ordered like the md5 text."""
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(2**48)
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """The rows, stored, with ``_range``: numbers that rise with (keys, order), about equal shares of rows each."""
+    by = [*[F.col(k) for k in keys], *order]
+    dealt = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def prefix_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    unit: Column,
-    order: Sequence[Column],
-    totals: Sequence[str],
-    descending: bool = False,
-) -> DataFrame:
-    """Add ``before_<c>``: the total of ``c`` over rows that come strictly earlier.
+def prefix_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: Sequence[str], descending: bool = False,
+                  parts: int | None = None) -> DataFrame:
+    """Add ``before_<c>``: the total of ``c`` over rows of the same keys that come strictly earlier.
 
-    ``unit`` in [0, 1] must be monotone in ``order``; ``order`` must be unique per key.
-    The rows are written once, because the bucket totals and the rows themselves both read them.
+    ``order`` must be unique per key.  The rows are written once, because the range totals and the rows
+    themselves both read them.
     """
     keys = list(keys)
-    coarse = F.least(F.floor(unit * FAN), F.lit(FAN - 1)).cast("long")
-    fine = F.least(F.floor(unit * FAN * FAN), F.lit(FAN * FAN - 1)).cast("long")
-    if descending:
-        coarse, fine = -coarse, -fine
-        order = [o.desc() for o in order]
-    rows = stored(df.withColumn("_coarse", coarse).withColumn("_fine", fine), "ranks")
-    deep = rows.count() > SMALL  # from file footers
-
-    def ahead(frame, group, by, prefix):
+    order = [o.desc() for o in order] if descending else list(order)
+    rows = ranged(df, keys, order, parts)
+
+    def ahead(group, by, prefix):
         w = Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         return [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{prefix}{c}") for c in totals]
 
-    def summed(frame, by):
-        return frame.groupBy(*by).agg(*[F.sum(c).alias(c) for c in totals])
-
-    bucket = ["_coarse", "_fine"] if deep else ["_coarse"]
-    cells = summed(rows, [*keys, *bucket])
-    tops = summed(cells, [*keys, "_coarse"]) if deep else cells
-    offsets = tops.select(*keys, "_coarse", *ahead(tops, keys, ["_coarse"], "_off_"))
-    if deep:
-        inner = cells.select(*keys, *bucket, *ahead(cells, [*keys, "_coarse"], ["_fine"], "_cell_"))
-        offsets = inner.join(offsets, [*keys, "_coarse"]).select(
-            *keys, *bucket, *[(F.col(f"_cell_{c}") + F.col(f"_off_{c}")).alias(f"_off_{c}") for c in totals]
-        )
-    placed = rows.select("*", *ahead(rows, [*keys, *bucket], list(order), "_in_")).join(offsets, [*keys, *bucket])
-    return placed.select(
-        *[placed[c] for c in df.columns],
+    at = [*keys, "_range"]
+    cells = rows.groupBy(*at).agg(*[F.sum(c).alias(c) for c in totals])
+    offsets = cells.select(*at, *ahead(keys, ["_range"], "_off_"))  # a row per range
+    within = rows.select("*", *ahead(at, order, "_in_"))
+    return within.join(offsets, same_keys(within, offsets, at)).select(
+        *[within[c] for c in df.columns],
         *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"before_{c}") for c in totals],
     )
 
@@ -90,9 +70,7 @@ def class_counts(df: DataFrame, keys: Sequence[str] = (), score: str = "score",
 
 def roc_points(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Cumulative true and false positives at each distinct score, highest first."""
-    ranked = prefix_totals(
-        counts, keys, unit_interval(F.col("score")), [F.col("score")], ["pos", "neg"], descending=True
-    )
+    ranked = prefix_totals(counts, keys, [F.col("score")], ["pos", "neg"], descending=True)
     return ranked.select(
         *keys, "score", "pos", "neg",
         (F.col("before_pos") + F.col("pos")).alias("tp"),
@@ -132,7 +110,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
         .agg(F.count(F.lit(1)).alias("n"))
     )
     counts = stored(counts, "values")
-    ranked = prefix_totals(counts, keys, unit_interval(F.col("v")), [F.col("v")], ["n"])
+    ranked = prefix_totals(counts, keys, [F.col("v")], ["n"])
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("size"))
     # both sides carry the block of ranks they touch, FAN blocks per key
     span = F.greatest(F.ceil(F.col("size") / FAN), F.lit(1))
@@ -156,7 +134,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     return picked.select(*keys, "q", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value"))
 
 
-def ordered_index(df: DataFrame, keys: Sequence[str], unit: Column, order: Sequence[Column], name: str) -> DataFrame:
+def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """0-based position of each (unique) row in ``order`` within ``keys``."""
-    numbered = prefix_totals(df.withColumn("_one", F.lit(1).cast("long")), keys, unit, order, ["_one"])
+    numbered = prefix_totals(df.withColumn("_one", F.lit(1).cast("long")), keys, order, ["_one"])
     return numbered.select(*df.columns, F.col("before__one").alias(name))

@@ -7,7 +7,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.operators.ranking import hash_unit, ordered_index
+from tidewatch.operators.ranking import ordered_index
 from tidewatch.session import stored
 from tidewatch.spec import EXTERNAL_SPLIT, KEY, SPLIT_FRACTIONS
 
@@ -25,10 +25,13 @@ def make_splits(stays: DataFrame, seed: int = 2019, fractions: Mapping[str, floa
     """
     if abs(sum(fractions.values()) - 1.0) > 1e-9:
         raise ValueError("split fractions must sum to 1")
-    stays = stored(stays.select(KEY, "hospital", "ever_positive"), "stays")  # read three times
+    known = F.col("hospital").isNotNull() & F.col("ever_positive").isNotNull()
+    refuse = F.raise_error(F.lit("a stay without hospital or label has no split"))
+    stays = stays.select(F.when(known, F.col(KEY)).otherwise(refuse).alias(KEY), "hospital", "ever_positive")
+    stays = stored(stays, "stays")  # read three times
     home = stays.filter(F.col("hospital") == "A").select(KEY, "ever_positive")
     key = draw_key(seed)
-    shuffled = ordered_index(home, ["ever_positive"], hash_unit(key), [F.md5(key), F.col(KEY)], "position")
+    shuffled = ordered_index(home, ["ever_positive"], [F.md5(key), F.col(KEY)], "position")
     sizes = home.groupBy("ever_positive").agg(F.count(F.lit(1)).alias("size"))  # two rows
     placed = shuffled.join(F.broadcast(sizes), "ever_positive")
     names, cuts = list(fractions), list(accumulate(fractions.values()))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.scoring import ideal_alarm, reward
 from tidewatch.operators.labels import reward_times
-from tidewatch.operators.ranking import prefix_totals, quantiles, unit_interval
+from tidewatch.operators.ranking import prefix_totals, quantiles
+from tidewatch.session import stored
 from tidewatch.spec import HOUR, KEY
 
 
@@ -80,18 +81,16 @@ def utility_curve(rows: DataFrame, probs: Sequence[float] | None = None) -> Data
     reads the total from its own position upward.
     """
     grid = threshold_grid(rows, list(probs or even_probs(0.5, 0.999, 120)))
-    rewards = with_rewards(rows)
-    gains = rewards.filter(F.col("score").isNotNull()).groupBy(F.col("score").cast("double").alias("threshold")).agg(
-        F.sum(F.col("u_alarm") - F.col("u_silent")).alias("gain")
-    )
+    per_score = stored(with_rewards(rows).groupBy(F.col("score").cast("double").alias("threshold")).agg(
+        F.sum(F.col("u_alarm") - F.col("u_silent")).alias("gain"), F.sum("u_silent").alias("inaction"), F.sum("u_best").alias("best")
+    ), "gains")
+    gains = per_score.filter(F.col("threshold").isNotNull()).select("threshold", "gain")
     marks = gains.withColumn("asked", F.lit(0)).unionByName(
         grid.select("threshold", F.lit(0.0).alias("gain"), F.lit(1).alias("asked"))
     )
     points = marks.groupBy("threshold").agg(F.sum("gain").alias("gain"), F.max("asked").alias("asked"))
-    ranked = prefix_totals(
-        points, [], unit_interval(F.col("threshold")), [F.col("threshold")], ["gain"], descending=True
-    )
-    fixed = rewards.agg(F.struct(F.sum("u_silent").alias("inaction"), F.sum("u_best").alias("best"))).scalar()
+    ranked = prefix_totals(points, [], [F.col("threshold")], ["gain"], descending=True)
+    fixed = per_score.agg(F.struct(F.sum("inaction").alias("inaction"), F.sum("best").alias("best"))).scalar()
     asked = ranked.filter(F.col("asked") == 1).withColumn("fixed", fixed)
     inaction, best = F.col("fixed.inaction"), F.col("fixed.best")
     observed = F.col("before_gain") + F.col("gain") + inaction

@@ -15,7 +15,7 @@ from tidewatch.operators.trailing import trailing_features
 from tidewatch.spec import HOUR, KEY
 
 ALARM_AT = 0.5
-N_BOOT = 50
+N_BOOT, GROUP_BOOT = 200, 100
 
 
 def scored(spark, sf_dir):
@@ -289,7 +289,7 @@ def bag_score(spark, sf_dir):
 
 # --- bootstrap ---------------------------------------------------------------------
 
-def _weights_sql(source, keys=""):
+def _weights_sql(source, keys="", n=N_BOOT):
     k = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys} " if keys else ""
     on = f"d.{keys} = p.{keys} AND " if keys else ""
@@ -297,7 +297,7 @@ def _weights_sql(source, keys=""):
             f"pos AS (SELECT {k}stay_id, row_number() OVER ({part}ORDER BY md5(stay_id::VARCHAR), stay_id) - 1 AS i, "
             f"count(*) OVER ({part.strip()}) AS size FROM members), "
             f"draws AS (SELECT {k}r, ('0x' || substr(md5('0|' || r || '|' || i), 1, 15))::BIGINT % size AS i "
-            f"FROM pos, range({N_BOOT}) t(r)), "
+            f"FROM pos, range({n}) t(r)), "
             f"w AS (SELECT {'d.' + k if keys else ''}d.r, p.stay_id, count(*)::DOUBLE AS weight FROM draws d JOIN pos p "
             f"ON {on}d.i = p.i GROUP BY ALL) ")
 
@@ -338,7 +338,7 @@ def utility_ci(spark, sf_dir):
 
 
 @register("subgroup_ci", with_scored(
-    _GROUPS.rstrip() + _weights_sql("r", "subgroup")
+    _GROUPS.rstrip() + _weights_sql("r", "subgroup", GROUP_BOOT)
     + ", g2 AS (SELECT w.subgroup, w.r, r.score AS sc, sum(label * weight) AS pos, sum((1 - label) * weight) AS neg "
     "FROM r JOIN w USING (subgroup, stay_id) GROUP BY ALL), "
     "c2 AS (SELECT *, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER (PARTITION BY subgroup, r) AS p, "
@@ -350,5 +350,5 @@ def utility_ci(spark, sf_dir):
 def subgroup_ci(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
     demo = p.scored_table.groupBy(KEY).agg(first_known("Age").alias("Age"), first_known("Gender").alias("Gender"))
-    out = metrics.subgroup_metrics(p.scored_table, demo, n_boot=N_BOOT)
+    out = metrics.subgroup_metrics(p.scored_table, demo, n_boot=GROUP_BOOT)
     return out.select("subgroup", *[rounded(c) for c in ("auroc_lo", "auroc_hi", "auprc_lo", "auprc_hi")])

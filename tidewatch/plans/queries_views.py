@@ -99,7 +99,7 @@ def audit_tail(spark, sf_dir):
     "count(*) AS n FROM t WHERE score IS NOT NULL GROUP BY stay_id, island"))
 def score_segments(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
-    return views.score_segments(p.scored, p.long)
+    return views.score_segments(p.scored)
 
 
 @register("dedupe_predictions", with_scored("SELECT stay_id, hour_index, score, 0 AS attempt FROM scored"))

@@ -44,8 +44,6 @@ def prior_looks(log: DataFrame) -> DataFrame:
 
     at = F.unix_micros(F.col("at").cast("timestamp"))
     moments = log.groupBy("split", at.alias("us")).agg(F.count(F.lit(1)).alias("n"))
-    lo, hi = log.agg(F.min(at)).scalar(), log.agg(F.max(at)).scalar()
-    unit = (F.col("us") - lo) / F.greatest(hi - lo, F.lit(1))
-    ranked = prefix_totals(moments, ["split"], unit, [F.col("us")], ["n"])
+    ranked = prefix_totals(moments, ["split"], [F.col("us")], ["n"])
     firsts = log.groupBy("run", "split").agg(F.min(at).alias("us"))
     return firsts.join(ranked, ["split", "us"]).select("run", "split", F.col("before_n").alias("prior_looks"))
