@@ -9,11 +9,11 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_text_operators import SPACES, lower, repeats, slow_fingerprint, slow_tiles, words  # noqa: E402
+from test_text_operators import SPACES, lower, repeats, slow_tiles, words  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from tidewatch.llm import byte_bpe, string_tiling  # noqa: E402
+from tidewatch.llm import byte_bpe, simhash_similar, string_tiling  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -52,11 +52,10 @@ def slowly(docs, items):
             seen[lower(s.strip(SPACES))].add(i)
     often = {k for k, ids in seen.items() if k and len(ids) >= 10}
     kept = [(i, "\n".join(s for s in t.split("\n") if lower(s.strip(SPACES)) not in often)) for i, t in kept]
-    fps = [slow_fingerprint(t) for _, t in kept]
     root = list(range(len(kept)))
     for a in range(len(kept)):
         for b in range(a):
-            if bin(fps[a] ^ fps[b]).count("1") <= 2:
+            if simhash_similar.similarity(kept[a][1].encode(), kept[b][1].encode()) >= 0.8:
                 low, high = sorted((root[a], root[b]))
                 root = [low if r == high else r for r in root]
     low = defaultdict(list)

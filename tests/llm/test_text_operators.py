@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, extendible_shards, line_dedup, ppm_scoring, quality_cascade, secret_forest, simhash_anchors, string_tiling
+from tidewatch.llm import byte_bpe, extendible_shards, line_dedup, ppm_scoring, quality_cascade, secret_forest, simhash_anchors, simhash_similar, string_tiling
 
 SPACES = " \t\n\x0b\f\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, h string, `value` double, label string, `block` long"
@@ -148,6 +148,50 @@ def test_anchor_links_equal_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
 
 
+def test_similar_groups_against_all_pairs(spark, docs):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, i = [], 1000
+    for _ in range(60):
+        base = rng.choice(vocabulary, int(rng.integers(60, 400))).tolist()
+        for rate in (0.0, 0.004, 0.01, 0.02, 0.03):
+            rows.append((i, " ".join(w if rng.random() > rate else rng.choice(vocabulary) for w in base)))
+            i += 1
+    both = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_similar.similar_groups(both).collect()}
+    texts = [(d, t.encode()) for d, t in rows]
+    near = [(a, b) for k, (a, x) in enumerate(texts) for b, y in texts[:k] if a // 5 == b // 5 and simhash_similar.similarity(x, y) >= 0.8]
+    assert len(near) > 200 and sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+    assert all(got[a] // 5 == a // 5 for a, _ in texts)  # nothing joins texts of different bases
+    assert {r["doc_id"] for r in both.where("doc_id is not null").collect()} == set(got)
+    kept = simhash_similar.keep_one_similar(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(
+        r["component_id"] for r in simhash_similar.similar_groups(docs).select("component_id").distinct().collect())
+    assert simhash_similar.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_forest_keeps_what_pairs_connect():
+    rng = np.random.default_rng(6)
+    f = rng.integers(0, 2**63, (4, 2), dtype=np.uint64)[rng.integers(0, 4, 80)]
+    for k in range(len(f)):
+        for bit in rng.choice(64, rng.integers(0, 9), replace=False):
+            f[k, rng.integers(2)] ^= np.uint64(1) << np.uint64(bit)
+    d = np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]).astype(int) + np.bitwise_count(f[:, None, 1] ^ f[None, :, 1])
+
+    def parts(edges):
+        root = list(range(len(f)))
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    edges = simhash_similar.forest(f, np.ones(len(f), dtype=bool), 20)
+    assert len(edges) < len(f)
+    for limit in (2, 8, 14, 20):
+        assert parts([e for e in edges if d[e] <= limit]) == parts([(a, b) for a in range(len(f)) for b in range(a) if d[a, b] <= limit])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(0, i) for i in range(1, 40)]
