@@ -263,7 +263,7 @@ def feature_cache(spark, sf_dir):
     p = EventPanel(spark, sf_dir)
     root = work_folder(spark, "store")
     for _ in range(2):
-        f = tables.cached_features(spark, root, p.inputs, CONFIG, SPEC, p.long)
+        f = tables.cached_features(spark, root, p.inputs, CONFIG, SPEC)
     return f.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct(KEY).alias("stays"),
         F.sum("signup__observed").cast("long").alias("observed_signup"),
