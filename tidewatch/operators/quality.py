@@ -57,10 +57,10 @@ def panel_rules(rows: DataFrame, clock: str = "ICULOS", label: str = "label") ->
 def rule_error(bad_labels: Column, missing_clock: Column, not_hourly: Column, reverts: Column) -> Column:
     """The first broken rule as a message, or null."""
     return (
-        F.when(bad_labels > 0, "label must be 0/1 with no missing values")
-        .when(missing_clock > 0, "missing ICULOS")
-        .when(not_hourly, "ICULOS is not strictly hourly")
-        .when(reverts, "label reverts to 0 after onset")
+        F.when(bad_labels > 0, "label takes values other than 0 and 1")
+        .when(missing_clock > 0, "ICULOS without a value")
+        .when(not_hourly, "ICULOS skips or repeats an hour")
+        .when(reverts, "label falls back to 0")
     )
 
 

@@ -17,7 +17,7 @@ class BeyondClock(ValueError):
 
 def limit_hour(clock: int, until: int | None = None) -> int:
     if until is not None and until > clock:
-        raise BeyondClock(f"hour {until} is beyond the replay clock ({clock})")
+        raise BeyondClock(f"hour {until} lies after the clock, which reads {clock}")
     return clock if until is None else until
 
 

@@ -62,11 +62,11 @@ def scan_psv(spark, sf_dir):
 
 _DAMAGE_SQL = with_info(
     f", f AS (SELECT stay_id, {_NAME_SQL} AS record, n_hours, label_start FROM info), "
-    "e AS (SELECT record, CASE stay_id % 10 WHEN 1 THEN 'malformed rows' WHEN 2 THEN 'malformed rows' "
-    "WHEN 3 THEN 'unexpected header (2 columns)' WHEN 4 THEN 'SepsisLabel must be 0/1 with no missing values' "
-    "WHEN 5 THEN 'HTML payload, not a PSV file' "
-    "WHEN 6 THEN (CASE WHEN n_hours > 1 THEN 'ICULOS is not strictly hourly' END) "
-    "WHEN 7 THEN 'no data rows' END AS error FROM f) ")
+    "e AS (SELECT record, CASE stay_id % 10 WHEN 1 THEN 'lines that do not parse' WHEN 2 THEN 'lines that do not parse' "
+    "WHEN 3 THEN 'another header (2 columns)' WHEN 4 THEN 'SepsisLabel takes values other than 0 and 1' "
+    "WHEN 5 THEN 'a web page instead of a table' "
+    "WHEN 6 THEN (CASE WHEN n_hours > 1 THEN 'ICULOS skips or repeats an hour' END) "
+    "WHEN 7 THEN 'a header and nothing else' END AS error FROM f) ")
 
 
 @register("psv_checks", _DAMAGE_SQL + "SELECT error, count(*) AS files FROM e GROUP BY 1")

@@ -12,7 +12,7 @@ from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel, tabl
 from tidewatch.plans.panel_sql import with_info, with_latest, with_panel, with_scored
 from tidewatch.plans.queries_features import _CLINICAL, _RULE_SQL, stand_ins
 from tidewatch.operators.trailing import trailing_features
-from tidewatch.spec import HOUR, KEY
+from tidewatch.spec import HOUR, KEY, AlertPolicy
 
 ALARM_AT = 0.5
 N_BOOT, GROUP_BOOT = 200, 100
@@ -352,3 +352,38 @@ def subgroup_ci(spark, sf_dir):
     demo = p.scored_table.groupBy(KEY).agg(first_known("Age").alias("Age"), first_known("Gender").alias("Gender"))
     out = metrics.subgroup_metrics(p.scored_table, demo, n_boot=GROUP_BOOT)
     return out.select("subgroup", *[rounded(c) for c in ("auroc_lo", "auroc_hi", "auprc_lo", "auprc_hi")])
+
+
+# --- the evaluation document -------------------------------------------------------
+
+_DOCUMENT_POLICY = AlertPolicy(0.5, consecutive=2, cooldown_h=6)
+_DOC = (_COUNTS + f", doc AS (SELECT 'hourly' AS part, 'rows_scored' AS metric, sum(pos + neg)::DOUBLE AS value FROM c "
+        f"UNION ALL SELECT 'hourly', 'auroc', {_AUROC} FROM c UNION ALL SELECT 'hourly', 'auprc', {_AUPRC} FROM c "
+        "UNION ALL SELECT 'counts', 'records', count(DISTINCT stay_id) FROM scored "
+        "UNION ALL SELECT 'counts', 'fallback_rows', count(*) FILTER (WHERE status <> 'scored') FROM scored "
+        "UNION ALL SELECT 'coverage', 'scheduled_hours', count(*) FROM scored UNION ALL SELECT 'coverage', 'scored_hours', count(score) FROM scored "
+        "UNION ALL SELECT 'coverage', 'coverage', count(score)::DOUBLE / count(*) FROM scored "
+        "UNION ALL SELECT 'unavailable ' || status, 'hours', count(*) FROM scored WHERE status <> 'scored' GROUP BY status "
+        f"UNION ALL SELECT 'confusion', 'tp', count(*) FILTER (WHERE label = 1 AND score >= {ALARM_AT}) FROM scored "
+        f"UNION ALL SELECT 'confusion', 'fp', count(*) FILTER (WHERE label = 0 AND score >= {ALARM_AT}) FROM scored "
+        "UNION ALL SELECT 'look', 'number', 2 "
+        f"UNION ALL SELECT 'reliability from ' || (ln // 10) || '.' || (ln % 10), 'n', n FROM (SELECT ({_BIN}) AS ln, count(*) AS n FROM scored "
+        "WHERE score IS NOT NULL GROUP BY 1)) SELECT part, metric, round(value::DOUBLE, 6) AS value FROM doc")
+
+
+@register("evaluation_document", with_scored(_DOC))
+def evaluation_document(spark, sf_dir):
+    """The second evaluation of a run on all stays: the parts that have a short SQL form."""
+    from tidewatch.plans.jobs import evaluate
+    from tidewatch.session import work_folder
+
+    p = EventPanel(spark, sf_dir)
+    demo = p.scored_table.groupBy(KEY).agg(first_known("Age").alias("Age"), first_known("Gender").alias("Gender"))
+    root = work_folder(spark, "evaluation")
+    for _ in range(2):
+        document = evaluate(p.scored_table, demo, _DOCUMENT_POLICY, ALARM_AT, "run-1", "all", n_boot=0, log=f"{root}/looks", out=root)
+    whole = {"counts": None, "coverage": None, "look": None, "hourly": ("rows_scored", "auroc", "auprc"), "confusion": ("tp", "fp")}
+    keep = F.col("part").startswith("unavailable ") | (F.col("part").startswith("reliability ") & (F.col("metric") == "n"))
+    for part, names in whole.items():
+        keep = keep | ((F.col("part") == part) & (F.lit(True) if names is None else F.col("metric").isin(*names)))
+    return document.filter(keep).select("part", "metric", rounded("value"))

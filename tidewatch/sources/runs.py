@@ -29,6 +29,11 @@ def promote(candidates: DataFrame) -> DataFrame:
     return candidates.agg(best.alias("selected"), F.max("val_auprc").alias("val_auprc"), F.count(F.lit(1)).alias("candidates"))
 
 
+def append_look(spark: SparkSession, path: str, run: str, split: str) -> None:
+    """Add one row (run, split, now) to the look log."""
+    spark.range(1).select(F.lit(run).alias("run"), F.lit(split).alias("split"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
 def looks(log: DataFrame) -> DataFrame:
     """How often each run has looked at each split, and when first."""
     return log.groupBy("run", "split").agg(F.count(F.lit(1)).alias("looks"), F.min("at").alias("first_at"))
