@@ -9,9 +9,10 @@ Below depth 0 all symbols not yet excluded are equal.
 Counting, building and scoring are Spark jobs whose tables grow with the corpus; nothing of
 the model is broadcast or collected (three totals apart).  Texts are cut at white space into
 segments that carry the bytes before them, so scores of segments add up and a very long
-text is spread.  Segments are packed into blocks of bounded bytes; each block
-asks once for every distinct gram and word that it holds, gets their costs back through two
-shuffles, and scores its own segments with array lookups.
+text is spread.  Segments are packed into blocks of bounded bytes.  A block asks
+once for every distinct gram and word that it holds; the keys travel packed, dealt by hash
+to buckets, where those of all blocks meet, are summed, and go back with counts and costs.
+Then each block scores its own segments with array lookups.
 
 The training texts are those with ``held_out`` false.  Null texts are empty: one end, no
 word.  Rows that share id and text are scored once and come back as many times.  Null ids
@@ -20,6 +21,7 @@ are ids of their own.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +33,8 @@ from tidewatch.session import work_folder
 
 SEGMENT_BYTES = 65_536
 BLOCK_BYTES = 32 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+BUCKET_KEYS = 4_000_000
 SYMBOL_BITS = 9
 END = 256
 GRAM, WORD, ENDS = 0, 1, 2
@@ -108,25 +111,65 @@ def _compact(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _requests(segments: DataFrame, order: int) -> DataFrame:
-    """Stored rows (block, kind, key, n): distinct grams and words of a block with their training counts."""
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(raw: bytes, dtype: str = "<i8") -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return pack(np.diff(keys, prepend=np.int64(0)))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    u = keys.view(np.uint64)
+    return ((u ^ u >> np.uint64(9) ^ u >> np.uint64(17)) & np.uint64(0x7FFFFFFF)).astype(np.int64) % buckets
+
+
+def bucket_column(key: Column, buckets: int) -> Column:
+    mixed = key.bitwiseXOR(F.shiftrightunsigned(key, 9)).bitwiseXOR(F.shiftrightunsigned(key, 17))
+    return (mixed.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")) % buckets).cast("long")
+
+
+REQUEST = "bucket long, block long, g_keys binary, g_n binary, w_keys binary, w_n binary, ends long"
+
+
+def _requests(segments: DataFrame, order: int, buckets: int) -> DataFrame:
+    """Stored rows (bucket, block, packed grams and counts, packed words and counts, ends): what a block
+    holds, each distinct gram and word once with its count in training texts, dealt to buckets by the key."""
 
     def counted(block: int, parts: list, words: Counter, others: set, ends: int) -> pa.RecordBatch:
-        import pandas as pd
         import xxhash
 
-        keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        codes, unique = pd.factorize(keys)
-        n = np.bincount(codes, weights=n, minlength=len(unique)).astype(np.int64)
-        names = [*words, *(others - words.keys())]
-        hashed = np.array([xxhash.xxh64_intdigest(w) for w in names], dtype="<u8").view("<i8")
-        held = np.zeros(len(names) - len(words), dtype=np.int64)
-        key = np.concatenate([unique, hashed, [0]]).astype(np.int64)
-        kind = np.repeat(np.array([GRAM, WORD, ENDS], dtype=np.int8), [len(unique), len(names), 1])
-        total = np.concatenate([n, np.fromiter(words.values(), np.int64, len(words)), held, [ends]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(key), block, np.int64)), pa.array(kind), pa.array(key), pa.array(total)], names=["block", "kind", "key", "n"])
+        grams_, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        grams_n = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+        names = [*words, *(w for w in others if w not in words)]
+        hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names)).view(np.int64)
+        words_n = np.zeros(len(names), dtype=np.int64)
+        words_n[: len(words)] = np.fromiter(words.values(), np.int64, len(words))
+        split = []
+        for keys, n in ((grams_, grams_n), (hashed, words_n)):
+            home = bucket_of(keys, buckets)
+            by = np.lexsort((keys, home))
+            keys, n, at = keys[by], n[by], np.searchsorted(home[by], np.arange(buckets + 1))
+            split.append([(pack_keys(keys[i:j]), pack(n[i:j])) for i, j in zip(at, at[1:])])
+        return pa.RecordBatch.from_pydict({
+            "bucket": np.arange(buckets), "block": np.full(buckets, block), "g_keys": [x[0] for x in split[0]], "g_n": [x[1] for x in split[0]],
+            "w_keys": [x[0] for x in split[1]], "w_n": [x[1] for x in split[1]], "ends": np.where(np.arange(buckets) == 0, ends, 0),
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
@@ -143,10 +186,11 @@ def _requests(segments: DataFrame, order: int) -> DataFrame:
                     parts, words, others, ends = [], Counter(), set(), 0
                 block = int(blocks[a])
                 held, last, context, data = (batch.column(c).slice(a, b - a).to_pylist() for c in ("held", "last", "context", "data"))
-                numbers, lengths = grams(context, data, last, order)
-                weights = np.repeat(1 - np.array(held, dtype=np.int64), lengths)
-                codes, unique = pd.factorize(numbers)
-                parts.append((unique, np.bincount(codes, weights=weights, minlength=len(unique)).astype(np.int64)))
+                for i, j in _chunks(data):
+                    numbers, lengths = grams(context[i:j], data[i:j], last[i:j], order)
+                    codes, unique = pd.factorize(numbers)
+                    weights = np.repeat(1.0 - np.array(held[i:j], dtype=np.float64), lengths)
+                    parts.append((unique, np.bincount(codes, weights=weights, minlength=len(unique))))
                 for out, is_last, text in zip(held, last, data):
                     if out:
                         others.update(text.split())
@@ -156,8 +200,62 @@ def _requests(segments: DataFrame, order: int) -> DataFrame:
         if block is not None:
             yield counted(block, parts, words, others, ends)
 
-    asked = segments.select("block", "held", "last", "context", "data").mapInArrow(run, "block long, kind byte, key long, n long")
-    return _compact(asked.repartition("kind", "key").sortWithinPartitions("kind", "key"), "requests")
+    return _compact(segments.select("block", "held", "last", "context", "data").mapInArrow(run, REQUEST), "requests")
+
+
+def _chunks(data: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of segments of about CHUNK_BYTES together."""
+    start = size = 0
+    for i, text in enumerate(data):
+        size += len(text)
+        if size >= CHUNK_BYTES or i + 1 == len(data):
+            yield start, i + 1
+            start, size = i + 1, 0
+
+
+TOTAL = "kind byte, block long, key long, n long, keys binary, vals binary"
+
+
+def _totals(requests: DataFrame) -> DataFrame:
+    """Stored rows per bucket: GRAM (key, n: count in all training texts), WORD (block, keys, vals: the
+    counts of the block's words), ENDS (key: distinct training words, n: their uses)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        def together(keys_of: str, n_of: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+            keys = [unpack_keys(x) for x in table.column(keys_of).to_pylist()]
+            n = np.concatenate([unpack(x) for x in table.column(n_of).to_pylist()])
+            unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            return unique, np.bincount(inverse, weights=n, minlength=len(unique)).astype(np.int64), inverse, np.cumsum([len(k) for k in keys])[:-1]
+
+        grams_, grams_n, _, _ = together("g_keys", "g_n")
+        words, words_n, inverse, ends = together("w_keys", "w_n")
+        replies = [pack(x) for x in np.split(words_n[inverse], ends)]
+        m, k = len(grams_), len(replies)
+        none = np.zeros(k + 1, dtype=np.int64)
+        return pa.table({
+            "kind": pa.array(np.repeat(np.array([GRAM, WORD, ENDS], dtype=np.int8), [m, k, 1])),
+            "block": pa.chunked_array([np.zeros(m, np.int64), table.column("block").combine_chunks(), [0]], pa.int64()),
+            "key": np.concatenate([grams_, none[:k], [(words_n > 0).sum()]]), "n": np.concatenate([grams_n, none[:k], [words_n.sum()]]),
+            "keys": pa.array([None] * m + table.column("w_keys").to_pylist() + [None], pa.binary()),
+            "vals": pa.array([None] * m + replies + [None], pa.binary()),
+        })
+
+    return _compact(requests.groupBy("bucket").applyInArrow(run, TOTAL), "totals")
+
+
+def _replies(requests: DataFrame, costs: DataFrame, buckets: int) -> DataFrame:
+    """Rows (block, kind, keys, vals): the costs of a block's grams, bucket by bucket."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        by = np.argsort(key)
+        key, value = key[by], value[by]
+        vals = [pack(value[np.searchsorted(key, unpack_keys(x))]) for x in left.column("g_keys").to_pylist()]
+        return pa.table({"block": left.column("block"), "kind": pa.array(np.full(len(vals), GRAM, np.int8)), "keys": left.column("g_keys"), "vals": pa.array(vals, pa.binary())})
+
+    asked = requests.select("bucket", "block", "g_keys").groupBy("bucket")
+    given = costs.select(bucket_column(F.col("key"), buckets).alias("bucket"), "key", "value").groupBy("bucket")
+    return asked.cogroup(given).applyInArrow(run, "block long, kind byte, keys binary, vals binary")
 
 
 def gram_costs(counts: DataFrame, order: int) -> DataFrame:
@@ -197,32 +295,32 @@ def _scored(segments: DataFrame, costs: DataFrame, order: int, n_all: int, n_dis
         import xxhash
 
         left = left.combine_chunks()
-        which = right.column("kind").to_numpy()
-        key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
-        index = pd.Index(key[which == GRAM])
-        cost = value[which == GRAM]
-        count = dict(zip(key[which == WORD].tolist(), value[which == WORD].tolist()))
+        keys: dict[int, list] = {GRAM: [np.zeros(0, np.int64)], WORD: [np.zeros(0, np.int64)]}
+        vals: dict[int, list] = {GRAM: [np.zeros(0)], WORD: [np.zeros(0, np.int64)]}
+        for kind_, k, v in zip(*(right.column(c).to_pylist() for c in ("kind", "keys", "vals"))):
+            keys[kind_].append(unpack_keys(k))
+            vals[kind_].append(unpack(v, "<f8" if kind_ == GRAM else "<i8"))
+        index, cost = pd.Index(np.concatenate(keys[GRAM])), np.concatenate(vals[GRAM])
+        hashes = np.concatenate(keys[WORD])
+        by = np.argsort(hashes)
+        hashes, counts = hashes[by], np.concatenate(vals[WORD])[by]
         cost_of_all = np.log10(n_all + n_distinct + 1.0)
 
         class Logs(dict):
             def __missing__(self, word: bytes) -> float:
-                c = count[int(np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64))]
-                out = self[word] = np.log10(c + 1.0) if c else -1.0
+                c = counts[np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64))]
+                out = self[word] = math.log10(c + 1.0) if c else -1.0
                 return out
 
         logs, rest = Logs(), n_ends
         scores, bases, tokens, knowns = [], [], [], []
         last, context, data = (left.column(c).to_pylist() for c in ("last", "context", "data"))
-        size = at = 0
-        for i in range(len(data)):
-            size += len(data[i])
-            if size < CHUNK_BYTES and i + 1 < len(data):
-                continue
-            numbers, lengths = grams(context[at : i + 1], data[at : i + 1], last[at : i + 1], order)
-            sums = np.concatenate([[0.0], np.cumsum(cost[index.get_indexer(numbers)])])
-            ends = np.cumsum(lengths)
-            scores.append(sums[ends] - sums[ends - lengths])
-            at, size = i + 1, 0
+        for i, j in _chunks(data):
+            numbers, lengths = grams(context[i:j], data[i:j], last[i:j], order)
+            of_all, filled = cost[index.get_indexer(numbers)], lengths > 0
+            sums = np.zeros(j - i)
+            sums[filled] = np.add.reduceat(of_all, (np.cumsum(lengths) - lengths)[filled]) if len(of_all) else 0.0
+            scores.append(sums)
         for is_last, text in zip(last, data):
             words = text.split()
             got = np.fromiter(map(logs.__getitem__, words), np.float64, len(words))
@@ -248,16 +346,17 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     if not 0 <= order <= 6:
         raise ValueError("a gram of more than six bytes and a symbol does not fit one number")
     segments = _segments(docs, held_out, id_col, text_col, order)
-    asked = _requests(segments, order)
-    counts = asked.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    words = counts.where(F.col("kind") != GRAM)
-    n_all, n_distinct, n_ends = words.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum(F.when(F.col("kind") == ENDS, F.col("n")))).first()
-    n_all, n_distinct, n_ends = n_all or 0, n_distinct or 0, n_ends or 0
-    grams_n = counts.where(F.col("kind") == GRAM).select("key", "n")
-    costs = gram_costs(grams_n, order).select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value")
-    costs = costs.unionByName(words.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
-    answers = asked.where(F.col("kind") != ENDS).select("block", "kind", "key").join(costs, ["kind", "key"])
-    parts = _scored(segments, answers.select("block", "kind", "key", "value"), order, n_all, n_distinct, n_ends)
+    blocks = segments.select("block").distinct().count()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, blocks * 1_000_000 // BUCKET_KEYS)  # a block of 32 MB has about a million distinct keys
+    asked = _requests(segments, order, buckets)
+    totals = _totals(asked)
+    n_distinct, n_words = totals.where(F.col("kind") == ENDS).agg(F.sum("key"), F.sum("n")).first()
+    n_ends = asked.agg(F.sum("ends")).first()[0] or 0
+    n_all, n_distinct = (n_words or 0) + n_ends, (n_distinct or 0) + (n_ends > 0)
+    costs = gram_costs(totals.where(F.col("kind") == GRAM).select("key", "n"), order)
+    answers = _replies(asked, costs, buckets).unionByName(totals.where(F.col("kind") == WORD).select("block", "kind", "keys", "vals"))
+    parts = _scored(segments, answers, order, n_all, n_distinct, n_ends)
     whole = parts.groupBy("id", "sig", "held", "n_seg").agg(
         (F.count(F.lit(1)) / F.col("n_seg")).cast("int").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.sum("base").alias("base"), F.sum("score").alias("score"),
