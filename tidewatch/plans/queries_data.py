@@ -222,9 +222,11 @@ def count_gate(spark, sf_dir):
     return quality.count_gate(stays_of(EventPanel(spark, sf_dir)), {"A": 100, "B": 60, "C": 1})
 
 
-@register("output_digests")
+@register("output_digests", with_panel(
+    "SELECT 'hourly' AS table_name, count(*) AS rows, 0::BIGINT AS changed FROM panel UNION ALL SELECT 'outcomes', count(*), 0 FROM panel "
+    "UNION ALL SELECT 'encounters', count(DISTINCT stay_id), 0 FROM panel"))
 def output_digests(spark, sf_dir):
-    """Digest of each written table, and the part files that differ on a second look (none)."""
+    """Rows of each written table, and how many of its part files differ from their digest on a second look."""
     p = EventPanel(spark, sf_dir)
     hourly, outcomes = quality.split_tables(p.panel, SPEC, ids=("hospital",))
     root = work_folder(spark, "store")
@@ -232,9 +234,12 @@ def output_digests(spark, sf_dir):
         tables.write_table(df, root, name)
     now = tables.file_digests(spark, root)
     changed = tables.changed_outputs(tables.file_digests(spark, root), now)
-    return now.groupBy("table_name").agg(F.count(F.lit(1)).alias("files")).join(
-        changed.groupBy("table_name").agg(F.count(F.lit(1)).alias("changed")), "table_name", "left"
-    ).select("table_name", "files", F.coalesce("changed", F.lit(0)).alias("changed"))
+    sizes = None
+    for name in ("hourly", "outcomes", "encounters"):
+        size = tables.read_table(spark, root, name).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+        sizes = size if sizes is None else sizes.unionByName(size)
+    return sizes.join(changed.groupBy("table_name").agg(F.count(F.lit(1)).alias("changed")), "table_name", "left").select(
+        "table_name", "rows", F.coalesce("changed", F.lit(0).cast("long")).alias("changed"))
 
 
 @register("metrics_long", with_panel(

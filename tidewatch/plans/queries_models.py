@@ -9,14 +9,14 @@ from tidewatch.operators.labels import state_label
 from tidewatch.operators.trailing import trailing_features
 from tidewatch.plans import models
 from tidewatch.plans.catalog import register, rounded
-from tidewatch.plans.event_panel import CONFIG, SPEC, EventPanel
+from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel
 from tidewatch.plans.jobs import labelled
 from tidewatch.plans.panel_sql import with_info, with_latest, with_panel
 from tidewatch.plans.queries_data import _SPLIT_SQL, panel_splits
 from tidewatch.session import stored
 from tidewatch.spec import HOUR, KEY, FeatureConfig, feature_names
 
-LASTS = ("view", "click", "purchase", "error")
+LASTS = MEASURES
 # a small configuration keeps the fits quick; the statistics queries use it too
 SMALL = FeatureConfig(feature_set="basic", windows=(6,), stats=("mean", "max"))
 NAMES = feature_names(SMALL, SPEC)
