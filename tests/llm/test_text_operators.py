@@ -213,6 +213,8 @@ def test_bpe_is_that_of_the_library(spark, docs):
     for chunk, overlap in ((65_536, 2_048), (200, 40), (64, 16)):
         got = byte_bpe.encode_documents(both, vocabulary, P.PATTERN, chunk_chars=chunk, overlap_chars=overlap)
         assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    whole = byte_bpe.encode_documents(both.where("doc_id = 7"), vocabulary, P.PATTERN, ids=True).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in whole] == [enc.encode_ordinary(r["text"]) for r in whole] and len(whole) == 1
     pieces = byte_bpe.encode_documents(both.where("doc_id = 100"), vocabulary, P.PATTERN, chunk_chars=200, overlap_chars=40, ids=True).orderBy("gid").collect()
     assert len(pieces) > 5 and b"".join(r["ids"] for r in pieces) == np.array(enc.encode_ordinary(extra.first()["text"]), "<u4").tobytes()
 

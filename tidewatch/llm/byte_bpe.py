@@ -91,8 +91,13 @@ def encode_documents(
 
     pieces = _pieces(_seams(_chunks(long, kind, chunk_chars, overlap_chars), kind, pattern, chunk_chars, overlap_chars), kind, vocabulary, pattern)
     if ids:
-        one = F.udf(lambda t: encode_text(t, vocabulary, pattern).tobytes(), "binary")
-        whole = short.select("id", F.xxhash64("text").alias("sig"), F.lit(0).cast("long").alias("gid"), "text", one("text").alias("ids"))
+        def encode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = [encode_text(text.as_py(), vocabulary, pattern).tobytes() for text in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "ids"])
+
+        whole = short.select("id", F.xxhash64("text").alias("sig"), F.lit(0).cast("long").alias("gid"), "text")
+        whole = whole.mapInArrow(encode_whole, f"id {kind}, sig long, gid long, text string, ids binary")
         return whole.unionByName(pieces.select("id", "sig", "gid", "text", "ids"))
     done = short.mapInArrow(encode_rows, DIGEST.format(id="id", type=kind)).unionByName(_digests(pieces, kind, vocabulary, pattern))
     return done.withColumnRenamed("id", id_col)
