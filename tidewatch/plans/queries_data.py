@@ -403,13 +403,18 @@ def _drift_sql(m):
     missing = {h: f"avg(CASE WHEN l_{m} IS NULL THEN 1.0 ELSE 0 END) FILTER (WHERE hospital = '{h}')" for h in "AB"}
     return (f"SELECT '{m}__last' AS feature, round({agg('avg', 'A')}, 6) AS mean_a, round({agg('avg', 'B')}, 6) AS mean_b, "
             f"round(({agg('avg', 'B')} - {agg('avg', 'A')}) / sqrt(({agg('stddev_pop', 'A')} ** 2 + {agg('stddev_pop', 'B')} ** 2) / 2), 6) "
-            f"AS smd_b_vs_a, round({missing['A']}, 6) AS missing_a, round({missing['B']}, 6) AS missing_b FROM latest")
+            f"AS smd_b_vs_a, round({missing['A']}, 6) AS missing_a, round({missing['B']}, 6) AS missing_b FROM compared")
 
 
-@register("feature_drift", with_latest(" UNION ALL ".join(_drift_sql(m) for m in MEASURES)))
+@register("feature_drift", with_info(
+    _SPLIT_SQL + ", compared AS (SELECT l.* FROM latest l JOIN sp USING (stay_id) WHERE split IN ('a_train', 'b_external')) "
+    + " UNION ALL ".join(_drift_sql(m) for m in MEASURES)))
 def feature_drift(spark, sf_dir):
+    """Training stays of A against the external hospital."""
     p = EventPanel(spark, sf_dir)
     f = trailing_features(p.inputs, CONFIG, SPEC, as_float32=False, keep=("hospital",))
+    compared = panel_splits(p).filter(F.col("split").isin("a_train", "b_external")).select(KEY)
+    f = f.join(compared, KEY, "left_semi")
     d = drift.feature_drift(f, _LASTS)
     return d.select("feature", *[rounded(c) for c in d.columns if c != "feature"])
 
