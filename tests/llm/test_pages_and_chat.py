@@ -74,3 +74,40 @@ def test_links_order_and_schemas(spark):
     assert order.index("a") < order.index("b") < order.index("d")
     assert tool_calls.link(got.limit(0).select("conv_id", "call_id", "position", "name", tool_calls.F.lit("").alias("arguments"), tool_calls.F.array().cast("array<string>").alias("needs")),
                            spark.createDataFrame([], "conv_id string, call_id string, position long, content string"), schemas).count() == 0
+
+
+def test_levels_equal_longest_paths(spark):
+    import random
+
+    rng = random.Random(4)
+    edges, calls = [], [("chain", f"n{i}") for i in range(70)]
+    edges += [("chain", f"n{i}", f"n{i - 1}") for i in range(1, 70)]
+    for c in range(6):
+        names = [f"m{i}" for i in range(25)]
+        calls += [(f"g{c}", n) for n in names]
+        for i in range(1, 25):
+            edges += [(f"g{c}", names[i], names[j]) for j in rng.sample(range(i), min(i, rng.choice((0, 1, 1, 1, 2, 3))))]
+    calls += [("loop", x) for x in "abcde"]
+    edges += [("loop", "a", "b"), ("loop", "b", "c"), ("loop", "c", "a"), ("loop", "d", "a"), ("loop", "e", "d"), ("loop", "e", "e")]
+    want = {}
+
+    def level(conv, call, seen=()):
+        if call in seen:
+            return None
+        up = [level(conv, n, (*seen, call)) for c, x, n in edges if c == conv and x == call]
+        return None if None in up else 1 + max(up, default=-1)
+
+    memo = {}
+    for conv, call in calls:
+        if conv == "chain":
+            memo[conv, call] = int(call[1:])
+        elif conv == "loop":
+            memo[conv, call] = None
+        else:
+            ups = [memo[conv, n] for c, x, n in edges if c == conv and x == call]
+            memo[conv, call] = 1 + max(ups, default=-1)
+    want = {k: v for k, v in memo.items() if v is not None}
+    assert all(level("loop", x) is None for x in "abcde")
+    got = tool_calls.levels(spark.createDataFrame(calls, "conv_id string, call_id string"), spark.createDataFrame(edges, "conv_id string, call_id string, needs string"))
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["conv_id"], r["call_id"]): r["level"] for r in rows} == want

@@ -2,8 +2,8 @@
 
 Calls and results meet in a hash join on (conversation, call id).  Calls are put in
 topological order by levels: level 0 waits for nothing, a call's level is one more than that
-of the last call that it waits for; each round is a join over the edges still open, as many
-rounds as the longest chain of calls.  Arguments are parsed as JSON and every member is
+of the last call that it waits for.  Chains of calls that wait for one call each are passed by
+pointer doubling, the others are levelled by rounds of joins.  Arguments are parsed as JSON and every member is
 checked against the tool's schema.  The canonical form has sorted keys and no white
 space.
 
@@ -25,24 +25,56 @@ KEY = ["conv_id", "call_id"]
 SCHEMA_COLUMNS = "name string, property string, type string, required boolean"
 
 
+def _chains(calls: DataFrame, edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """(conv_id, call_id, stop, dist): for calls that need exactly one call, the nearest stop up the chain.
+
+    Pointers double their reach each round, so a chain of n calls takes log2(n) rounds; what
+    has met no stop by then lies on or behind a cycle and is left out.
+    """
+    met = stops.select("conv_id", F.col("call_id").alias("at"), F.lit(True).alias("done"))
+    first = edges.join(stops, KEY, "left_anti").select(*KEY, F.col("needs").alias("at"), F.lit(1).alias("dist"))
+    now = stored(first.join(met, ["conv_id", "at"], "left").withColumn("done", F.coalesce("done", F.lit(False))), "chains")
+    for _ in range(max(1, calls.count()).bit_length() + 1):
+        going = now.where(~F.col("done"))
+        if going.isEmpty():
+            break
+        far = now.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("at2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        moved = going.join(far, ["conv_id", "at"]).select(*KEY, F.col("at2").alias("at"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"))
+        now = stored(now.where("done").select(*KEY, "at", "dist", "done").unionByName(moved), "chains")
+    return now.where("done").select(*KEY, F.col("at").alias("stop"), "dist")
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) for every call that no cycle holds up; edges are (conv_id, call_id, needs)."""
-    rest = stored(edges.distinct(), "edges")
-    waiting = rest.select(*KEY).distinct()
-    now = stored(calls.select(*KEY).join(waiting, KEY, "left_anti").withColumn("level", F.lit(0)), "level")
-    done, level = [now], 0
+    """(conv_id, call_id, level) for every call that no cycle holds up; edges are (conv_id, call_id, needs).
+
+    Calls that need exactly one call are passed over by pointer doubling.  What is left, calls that
+    need several or none (stops), is levelled round by round: as many rounds as several-need calls in one chain.
+    """
+    edges = stored(edges.distinct(), "edges")
+    degree = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    stops = stored(calls.select(*KEY).join(degree.where("n = 1"), KEY, "left_anti"), "stops")
+    chains = stored(_chains(calls, edges, stops), "chains")
+    several = edges.join(degree.where("n > 1"), KEY).select(*KEY, "needs")
+    over = chains.withColumnsRenamed({"call_id": "needs"})
+    rest = several.join(over, ["conv_id", "needs"], "left").select(
+        *KEY, F.coalesce("stop", "needs").alias("stop"), F.coalesce("dist", F.lit(0)).alias("dist"), F.lit(None).cast("int").alias("level"))
+    rest = stored(rest, "waiting")
+    now = stored(stops.join(degree, KEY, "left_anti").withColumn("level", F.lit(0)), "level")
+    done = [now]
     while not rest.isEmpty() and not now.isEmpty():
-        level += 1
-        met = now.select("conv_id", F.col("call_id").alias("needs"))
-        touched = rest.join(met, ["conv_id", "needs"], "left_semi").select(*KEY).distinct()
-        rest_next = stored(rest.join(met, ["conv_id", "needs"], "left_anti").select(*KEY, "needs"), "edges")
-        now = stored(touched.join(rest_next.select(*KEY).distinct(), KEY, "left_anti").withColumn("level", F.lit(level)), "level")
-        rest = rest_next
+        up = now.select("conv_id", F.col("call_id").alias("stop"), F.col("level").alias("up"))
+        rest = rest.join(up, ["conv_id", "stop"], "left").select(*KEY, "stop", "dist", F.coalesce("level", F.col("up") + F.col("dist") + 1).alias("level"))
+        rest = stored(rest, "waiting")
+        open_ = rest.where("level is null").select(*KEY).distinct()
+        now = stored(rest.join(open_, KEY, "left_anti").groupBy(*KEY).agg(F.max("level").alias("level")), "level")
+        rest = stored(rest.join(now.select(*KEY), KEY, "left_anti"), "waiting")
         done.append(now)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    up = out.select("conv_id", F.col("call_id").alias("stop"), "level")
+    passed = chains.join(up, ["conv_id", "stop"]).select(*KEY, (F.col("level") + F.col("dist")).alias("level"))
+    return out.unionByName(passed)
 
 
 def kind_of(value: Column) -> Column:
