@@ -192,6 +192,33 @@ def test_forest_keeps_what_pairs_connect():
         assert parts([e for e in edges if d[e] <= limit]) == parts([(a, b) for a in range(len(f)) for b in range(a) if d[a, b] <= limit])
 
 
+def test_families_around_the_limit_end_in_the_components_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    said = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    rows = []
+    for _ in range(12):
+        base = said(300)
+        for _ in range(25):  # one replaced block each: many pairs lie a little above or below 0.8
+            at, n = int(rng.integers(0, 270)), int(rng.integers(9, 19))
+            rows.append((len(rows), " ".join(base[:at] + said(n) + base[at + n :])))
+    passage = said(12)
+    rows += [(len(rows) + i, " ".join(said(40) + passage + said(40))) for i in range(40)]  # a common passage in texts that are not similar
+    sets = [simhash_similar.grams(t.encode()) for _, t in rows]
+    root, near = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                near += 1
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert near > 300 and len(set(root)) > 52
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for growth in (16, 4):
+        monkeypatch.setattr(simhash_similar, "GROWTH", growth)
+        monkeypatch.setattr(simhash_similar, "FEW", 4 if growth == 16 else 1)
+        assert {r["doc_id"]: r["component_id"] for r in simhash_similar.similar_groups(frame).collect()} == dict(enumerate(root))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(0, i) for i in range(1, 40)]
