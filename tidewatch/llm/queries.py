@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.llm import byte_bpe, extendible_shards, host_paths, line_dedup, ppm_scoring, quality_cascade, secret_forest, simhash_anchors, string_tiling, tool_calls
 from tidewatch.llm.common import table
@@ -114,14 +114,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_paths.main_texts(table(spark, sf_dir, "pages"))
 
 
+def finding_label(value: Column, hint: Column) -> Column:
+    """1 for 40 hexadecimal digits of either case, whatever punctuation is attached; 0 for words, numbers and mail
+    addresses that no hint precedes; null for anything else, about which nothing is known."""
+    bare, part = F.regexp_replace(value, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""), "(?:[A-Z]?[a-z]+|[A-Z]+)"
+    plain = bare.rlike(f"^{part}(?:[._/-]+{part})*$") | bare.rlike("^[0-9]+(?:[._/+-][0-9]+)*$") | bare.rlike("^[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+$")
+    return F.when(bare.rlike("^[0-9A-Fa-f]{40}$"), 1.0).when(plain & (hint == 0), 0.0)
+
+
 @register("op1_secret_forest")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled findings: candidates of the documents that ``labels`` covers.  A 40-digit hexadecimal
-    value counts as a secret, any other candidate as none."""
+    """Labelled findings: candidates of the documents that ``labels`` covers, by ``finding_label``."""
     reviewed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
 
     def label(rows: DataFrame) -> DataFrame:
-        return rows.join(reviewed, "id", "left_semi").withColumn("label", F.col("value").rlike("^[0-9a-f]{40}$").cast("double"))
+        return rows.join(reviewed, "id", "left_semi").withColumn("label", finding_label(F.col("value"), F.col("hint")))
 
     found = secret_forest.scan(table(spark, sf_dir, "documents"), path_col="source", label=label)
     return found.drop("value")
