@@ -1,6 +1,8 @@
 """Secret scan with a random forest that removes false positives; JVM expressions and MLlib only.
 
-A candidate is a run of at least ``min_length`` key-like characters in a word.  Its features are
+A candidate is a run of at least ``min_length`` key-like characters in a word, or of ``SHORT`` where
+the words or names before give a hint and the run is assigned or holds a digit.  ``=`` and ``:`` end a name, every run
+of a word counts, and ``run`` numbers them.  Its features are
 length, share of digits, capitals and symbols, switches between character classes, mean
 log-probability of its character transitions under the corpus, coverage by dictionary words
 (words that at least ``min_count`` places of the corpus use), what the two words before and
@@ -8,7 +10,7 @@ the word after say, and the path (``path_col``) that the text comes from, hashed
 and transitions are counted over all texts, words first, so that each shuffled row
 stands for all uses of a word in a task.
 
-The forest learns from labelled findings (id, pos, label), at most ``max_labelled`` of
+The forest learns from labelled findings (id, pos, label, and run where it is given), at most ``max_labelled`` of
 them, the first by a hash.  Where these don't hold both labels there is nothing to learn:
 probability is null and every candidate stays a finding.
 
@@ -29,23 +31,34 @@ from tidewatch.session import stored
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 SIDE = len(ALPHABET) + 1
 HINTS = "(?i)(token|secret|key|passw|pwd|auth|api|credential|bearer|private)"
+SHORT = 4
+ASSIGNED = "[=:]>?\\s*[\"'`]*$"
 NAMES = ("length", "digits", "capitals", "symbols", "switches", "transitions", "dictionary", "hint", "assigned", "quoted", "before", "after", "path")
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None, min_length: int) -> DataFrame:
-    """Rows (id, sig, pos, value, word, w1, w2, next, path): one per word that holds a key-like run."""
-    run = f"[A-Za-z0-9+/_.@-]{{{min_length},}}={{0,2}}"
+    """Rows (id, sig, pos, run, value, word, before, w1, next, path): one per key-like run; before is what stands before it."""
+    least, key = min(SHORT, min_length), "[A-Za-z0-9+/_.@-]"
+    run = f"(?s)\\G(.*?)({key}{{{least},}}(?:={{1,2}}(?!{key}|=))?)"  # what lies between, and the run
 
     def near(w: Column) -> Column:
-        long = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("pos"))), lambda s: F.length(s["word"]) >= min_length)
+        hinted = lambda i: F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1), F.get(w, i)).rlike(HINTS)
+        long = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("pos"))),
+                        lambda s: (F.length(s["word"]) >= min_length) | ((F.length(s["word"]) >= least) & hinted(s["pos"])))
         return F.transform(long, lambda s: F.struct(
             s["word"].alias("word"), s["pos"].cast("long").alias("pos"), F.get(w, s["pos"] - 1).alias("w1"), F.get(w, s["pos"] - 2).alias("w2"),
             F.get(w, s["pos"] + 1).alias("next")))
 
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("sig"), path.alias("path"), F.explode(let(words_of(F.col(text_col)), near)).alias("c"))
-    found = found.select("id", "sig", "path", "c.*").withColumn("value", F.regexp_extract("word", run, 0))
-    return found.where(F.col("value") != "")
+    found = found.select("id", "sig", "path", "c.*")
+    runs = F.arrays_zip(F.regexp_extract_all("word", F.lit(run), 1).alias("gap"), F.regexp_extract_all("word", F.lit(run), 2).alias("value"))
+    said = let(runs, lambda r: F.transform(r, lambda x, i: F.struct(
+        i.cast("long").alias("run"), x["value"].alias("value"), F.concat(F.coalesce(F.get(r, i - 1)["value"], F.lit("")), x["gap"]).alias("lead"))))
+    found = found.withColumn("r", F.explode(said)).select("id", "sig", "pos", "r.run", "r.value", "word", "w1", "next", "path",
+        F.concat_ws(" ", F.coalesce("w2", F.lit("")), F.coalesce("w1", F.lit("")), F.col("r.lead")).alias("before"))
+    short = F.col("before").rlike(HINTS) & (F.col("before").rlike(ASSIGNED) | F.col("value").rlike("[0-9]"))
+    return found.where((F.length("value") >= min_length) | short)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -90,41 +103,43 @@ def _dictionary(found: DataFrame, words: DataFrame, min_count: int) -> DataFrame
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, min_length: int = 16, min_count: int = 5) -> DataFrame:
-    """One row per candidate: id, sig, pos, value and the columns NAMES (doubles)."""
+    """One row per candidate: id, sig, pos, run, value and the columns NAMES (doubles)."""
     found = stored(candidates(docs, id_col, text_col, path_col, min_length), "candidates")
     words = stored(word_counts(docs, text_col), "words")
     table = transition_table(words)
     v = F.col("value")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "l"), "[A-Z]+", "L"), "[0-9]+", "d"), "[^lLd]+", "s")
     bucket = lambda c, n: F.pmod(F.xxhash64(F.lower(F.coalesce(c, F.lit("")))), F.lit(n))
-    before = F.concat_ws(" ", F.coalesce("w2", F.lit("")), F.coalesce("w1", F.lit("")), F.regexp_extract("word", "^[^=:]*[=:]", 0))
+    before = F.col("before")
     made = found.select(
-        "id", "sig", "pos", "value", F.length(v).alias("length"), _share(v, "0-9").alias("digits"), _share(v, "A-Z").alias("capitals"),
+        "id", "sig", "pos", "run", "value", F.length(v).alias("length"), _share(v, "0-9").alias("digits"), _share(v, "A-Z").alias("capitals"),
         (1 - _share(v, "A-Za-z0-9")).alias("symbols"), ((F.length(kinds) - 1) / F.length(v)).alias("switches"), _transitions(v, table).alias("transitions"),
-        before.rlike(HINTS).alias("hint"), before.rlike("[=:]\\s*$").alias("assigned"), F.col("word").rlike("[\"'`]").alias("quoted"),
+        before.rlike(HINTS).alias("hint"), before.rlike(ASSIGNED).alias("assigned"), F.col("word").rlike("[\"'`]").alias("quoted"),
         bucket(F.col("w1"), 16).alias("before"), bucket(F.col("next"), 16).alias("after"), bucket(F.col("path"), 32).alias("path"),
     )
     share = _dictionary(found, words, min_count)
     made = made.join(share, "value", "left").withColumn("dictionary", F.coalesce("dictionary", F.lit(0.0)))
-    return made.select("id", "sig", "pos", "value", *[F.col(n).cast("double").alias(n) for n in NAMES])
+    return made.select("id", "sig", "pos", "run", "value", *[F.col(n).cast("double").alias(n) for n in NAMES])
 
 
 def scan(
     docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, min_length: int = 16,
     min_count: int = 5, max_labelled: int = 20_000, trees: int = 20, depth: int = 6, threshold: float = 0.5, label=None,
 ) -> DataFrame:
-    """One row per candidate: id, pos, value, value_sha256, the features, probability, is_secret.
+    """One row per candidate: id, pos, run, value, value_sha256, the features, probability, is_secret.
 
-    ``labelled`` has (id, pos, label); or ``label`` gives the label (0, 1 or null for none) of a row of ``features``.
+    ``labelled`` has (id, pos, label), with run to name one of a word's runs; or ``label`` gives the label (0, 1 or null for none) of a row of ``features``.
     """
     rows = stored(features(docs, id_col, text_col, path_col, min_length, min_count), "features")
     if label is not None:
         known = label(rows)
     else:
-        marks = labelled.select(F.col("id").alias("__id"), F.col("pos").alias("__pos"), F.col("label").cast("double").alias("label")).distinct()
-        known = rows.join(marks, rows["id"].eqNullSafe(marks["__id"]) & (rows["pos"] == marks["__pos"])).drop("__id", "__pos")
-    known = stored(known.where("label is not null").orderBy(F.xxhash64("id", "pos", "value")).limit(max_labelled), "labelled")
-    out = ["id", "pos", "value", F.sha2("value", 256).alias("value_sha256"), *NAMES]
+        run = F.col("run").cast("long") if "run" in labelled.columns else F.lit(None).cast("long")
+        marks = labelled.select(F.col("id").alias("__id"), F.col("pos").alias("__pos"), run.alias("__run"), F.col("label").cast("double").alias("label")).distinct()
+        same = rows["id"].eqNullSafe(marks["__id"]) & (rows["pos"] == marks["__pos"]) & (marks["__run"].isNull() | (rows["run"] == marks["__run"]))
+        known = rows.join(marks, same).drop("__id", "__pos", "__run")
+    known = stored(known.where("label is not null").orderBy(F.xxhash64("id", "pos", "run", "value")).limit(max_labelled), "labelled")
+    out = ["id", "pos", "run", "value", F.sha2("value", 256).alias("value_sha256"), *NAMES]
     if known.select("label").distinct().count() < 2:
         scored = rows.select(*out, F.lit(None).cast("double").alias("probability"), F.lit(True).alias("is_secret"))
     else:
