@@ -42,6 +42,21 @@ def test_main_texts(pages):
     assert host_paths.main_texts(pages.limit(0)).count() == 0
 
 
+def test_the_whole_article_is_kept(spark):
+    body, more = "<p>" + "body words " * 40 + "</p>", "<p>" + "more words " * 15 + "</p>"
+    want = "Headline " + ("body words " * 40 + "more words " * 15).strip()
+    menu = '<div class="links"><p><a href="/x">' + "another story " * 60 + "</a></p></div>"
+    kinds = {
+        "a": f"<main><article><h1>Headline</h1><div class=entry>{body}{more}</div></article>{menu}</main>",
+        "b": f"<article><h1>Headline</h1><section class=a>{body}</section><section class=b>{more}</section></article>",
+        "c": f"<div class=wrap><div class=post><h1>Headline</h1><div class=entry><section>{body}</section><section>{more}</section></div></div>{menu}</div>",
+        "d": f"<main><h1>Headline</h1><div class=entry>{body}</div><div class=rest>{more}</div></main>",
+    }
+    rows = [(i, f"https://{k}.example.org/{i}", SHELL.format(main=m, noise="short")) for k, m in kinds.items() for i in range(5)]
+    got = host_paths.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 20 and {r["url"]: r["text"] for r in got} == {u: want for _, u, _ in rows}
+
+
 def test_winning_paths_are_those_of_the_host(pages):
     paths = {r["host"]: r["paths"] for r in host_paths.winning_paths(pages).collect()}
     assert paths["a.example.org"][0] == "body.has-sidebar>div.post.post-#"

@@ -1,8 +1,9 @@
 """Main-text extraction by consensus of host paths.
 
 First pass: every page's containers are scored by the running text of their blocks
-(characters outside links), and the best one votes for its generalised path: tags and
-classes from the body down, digits replaced, positions left out.  Votes are summed in Spark
+(characters outside links); from the best one the page climbs to the whole article around it
+(``whole``), which votes for its generalised path: tags and classes from the body down,
+digits replaced, positions left out.  Votes are summed in Spark
 per (host, path) before the shuffle, and a host's winning paths are those with at least
 ``share`` of its pages (so at most 1/share paths per host).  Second pass: each page is
 read again with the most-voted winning path that it has; a page that has none uses its own
@@ -147,7 +148,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
 
 
 def best_container(nodes: list[Node], flow: list[tuple[Node, str | None]]) -> Node | None:
-    """The container whose blocks hold most running text; the earlier one of a tie."""
+    """The whole article around the container whose blocks hold most running text; the earlier one of a tie."""
     for node, text in flow:
         if text is None or not (n := len("".join(text.split()))):
             continue
@@ -164,7 +165,41 @@ def best_container(nodes: list[Node], flow: list[tuple[Node, str | None]]) -> No
                 weight /= 2
             up = up.parent
     found = [x for x in nodes if x.score > 0 and not x.skip]
-    return max(found, key=lambda x: (x.score, -x.order)) if found else None
+    return whole(max(found, key=lambda x: (x.score, -x.order)), flow) if found else None
+
+
+def whole(best: Node, flow: list[tuple[Node, str | None]]) -> Node:
+    """The nearest article around a container, or else main; where there is neither, the highest container
+    below the body such that none on the way adds mostly links."""
+    chain, node = [], best
+    while node is not None and node.tag not in ("", "html", "body"):
+        chain.append(node)
+        node = node.parent
+    for tag in ("article", "main"):
+        for node in chain:
+            if node.tag == tag:
+                node.score = max(node.score, best.score)
+                return node
+    place = {x.order: i for i, x in enumerate(chain)}
+    added, links = [0] * len(chain), [0] * len(chain)
+    for node, text in flow:
+        if text is None or not (n := len("".join(text.split()))):
+            continue
+        link = False
+        while node is not None and node.order not in place:
+            link = link or node.tag == "a"
+            node = node.parent
+        if node is not None:
+            added[place[node.order]] += n
+            links[place[node.order]] += n * link
+    top = best
+    for k, node in enumerate(chain[1:], 1):
+        if 2 * links[k] > added[k]:
+            break
+        if node.tag in CONTAINERS and any(added[place[top.order] + 1 : k + 1]):
+            top = node
+    top.score = max(top.score, best.score)
+    return top
 
 
 def text_of(flow: list[tuple[Node, str | None]], path: str | None) -> str:
