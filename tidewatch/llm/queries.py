@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import byte_bpe, extendible_shards, host_paths, line_dedup, ppm_scoring, quality_cascade, secret_forest, simhash_anchors, string_tiling, tool_calls
+from tidewatch.llm import byte_bpe, extendible_shards, host_paths, line_dedup, phrase_tries, ppm_scoring, quality_cascade, secret_forest, simhash_anchors, spelling_variants, string_tiling, tier_packing, tool_calls
 from tidewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,46 @@ FROM e
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
     return tool_calls.link(calls, results, tool_calls.chat_schemas(spark))
+
+
+@register("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.vocabulary(table(spark, sf_dir, "documents"), damage=97, shortest=5, least=3)
+    return spelling_variants.group_variants(words, factor=2)
+
+
+@register("op12_tier_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = tier_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return tier_packing.balance_steps(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id")
+
+
+@register("op13_phrase_tries", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({lower}, '[.,;:!?
+-
+]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+f AS (
+  SELECT lang, list_extract(w, i) AS a1, CASE WHEN k > 1 THEN list_extract(w, i + 1) END AS a2, CASE WHEN k > 2 THEN list_extract(w, i + 2) END AS a3, k, count(*) AS c
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 4) r(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+u AS (SELECT * FROM f WHERE k = 1 AND c >= 10), b AS (SELECT * FROM f WHERE k = 2 AND c >= 10), t AS (SELECT * FROM f WHERE k = 3 AND c >= 10),
+cuts AS (
+  SELECT b.lang, b.a1, b.a2, NULL AS a3, 2 AS k, b.c AS a, 1 AS cut, x.c AS l, y.c AS r FROM b JOIN u x ON x.lang = b.lang AND x.a1 = b.a1 JOIN u y ON y.lang = b.lang AND y.a1 = b.a2
+  UNION ALL
+  SELECT t.lang, t.a1, t.a2, t.a3, 3, t.c, 1, x.c, y.c FROM t JOIN u x ON x.lang = t.lang AND x.a1 = t.a1 JOIN b y ON y.lang = t.lang AND y.a1 = t.a2 AND y.a2 = t.a3
+  UNION ALL
+  SELECT t.lang, t.a1, t.a2, t.a3, 3, t.c, 2, x.c, y.c FROM t JOIN b x ON x.lang = t.lang AND x.a1 = t.a1 AND x.a2 = t.a2 JOIN u y ON y.lang = t.lang AND y.a1 = t.a3),
+s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, k, a1, a2, a3 ORDER BY score, cut) = 1),
+longer AS (SELECT lang, p, q, max(c) AS c FROM (SELECT lang, a1 AS p, a2 AS q, c FROM t UNION ALL SELECT lang, a2, a3, c FROM t) GROUP BY 1, 2, 3),
+kept AS (SELECT best.* FROM best LEFT JOIN longer o ON best.k = 2 AND o.lang = best.lang AND o.p = best.a1 AND o.q = best.a2 WHERE o.c IS NULL OR 100 * o.c < 50 * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, concat_ws(' ', a1, a2, a3)) AS rank, concat_ws(' ', a1, a2, a3) AS phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+""".replace("{lower}", _LOWER.format("coalesce(text, '')")))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_tries.collocations(table(spark, sf_dir, "documents"), least=10, longest=3, share=50, top=2000)
