@@ -19,7 +19,7 @@ name one.  Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,14 +123,14 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return home.join(rest, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stored: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Rows (node, root): root is the smallest node of the component, for every node with an edge.
 
     Large-star and small-star steps in turn until nothing changes (logarithmically many
     rounds).  Minima are aggregated before the shuffle, so a node with very many
     neighbours is no group of its own; every round is stored.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
@@ -142,7 +142,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u != v").distinct(), "edges")
+        now = stored(small.where("u != v").distinct())
         after = state(now)
         if after == before:
             break
