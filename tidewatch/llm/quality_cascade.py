@@ -27,8 +27,11 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rule:
+    """``rejects`` judges a text; ``counted``, where given, says the same about columns that ``counts`` has already made."""
+
     name: str
     rejects: Callable[[Column], Column]
+    counted: Callable[[dict[str, Column]], Column] | None = None
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -79,7 +82,7 @@ def word_stats(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.array_size(words_of(text)).cast("long")
+    return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
 def word_chars(text: Column) -> Column:
@@ -94,16 +97,30 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(SPACES)) != "")
 
 
-def n_dup_lines(text: Column) -> Column:
-    return let(_lines(text), lambda a: F.array_size(a) - F.array_size(F.array_distinct(a))).cast("long")
+def line_stats(text: Column) -> Column:
+    """struct(n_lines, n_dup_lines) of the lines that have a word."""
+    size = lambda a: F.array_size(a).cast("long")
+    return let(_lines(text), lambda a: F.struct(size(a).alias("n_lines"), (size(a) - size(F.array_distinct(a))).alias("n_dup_lines")))
+
+
+def counts(text: Column) -> dict[str, Column]:
+    """What the report shows and rules share, each counted once: name -> column."""
+    return {"w": word_stats(text), "word_chars": word_chars(text), "n_symbols": n_of(text, SYMBOLS), "lines": line_stats(text)}
+
+
+#: The counts as the rules name them, over columns made by ``counts``.
+COUNTED = {"n_words": "w.n_words", "n_repeat_words": "w.n_repeat_words", "word_chars": "word_chars", "n_symbols": "n_symbols",
+           "n_lines": "lines.n_lines", "n_dup_lines": "lines.n_dup_lines"}
 
 
 RULES = (
-    Rule("few_words", lambda t: n_words(t) < 20),
-    Rule("repeats", lambda t: let(word_stats(t), lambda s: 100 * s["n_repeat_words"] > 30 * s["n_words"])),
-    Rule("symbols", lambda t: 10 * n_of(t, SYMBOLS) > n_words(t)),
-    Rule("word_length", lambda t: let(n_words(t), lambda n: (word_chars(t) > 10 * n) | (word_chars(t) < 2 * n))),
-    Rule("duplicate_lines", lambda t: let(_lines(t), lambda a: 2 * F.array_size(F.array_distinct(a)) < F.array_size(a))),
+    Rule("few_words", lambda t: n_words(t) < 20, lambda c: c["n_words"] < 20),
+    Rule("repeats", lambda t: let(word_stats(t), lambda s: 100 * s["n_repeat_words"] > 30 * s["n_words"]), lambda c: 100 * c["n_repeat_words"] > 30 * c["n_words"]),
+    Rule("symbols", lambda t: 10 * n_of(t, SYMBOLS) > n_words(t), lambda c: 10 * c["n_symbols"] > c["n_words"]),
+    Rule("word_length", lambda t: let(n_words(t), lambda n: (word_chars(t) > 10 * n) | (word_chars(t) < 2 * n)),
+         lambda c: (c["word_chars"] > 10 * c["n_words"]) | (c["word_chars"] < 2 * c["n_words"])),
+    Rule("duplicate_lines", lambda t: let(line_stats(t), lambda s: 2 * (s["n_lines"] - s["n_dup_lines"]) < s["n_lines"]),
+         lambda c: 2 * (c["n_lines"] - c["n_dup_lines"]) < c["n_lines"]),
     Rule("shouting", lambda t: n_of(t, UPPER) > n_of(t, LOWER)),
     Rule("few_letters", lambda t: 2 * F.length(F.regexp_replace(t, "[^\\p{L}]+", "")) < word_chars(t)),
 )
@@ -130,13 +147,17 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return sorted(found, key=lambda r: -r["rejected"] / r["seconds"])
 
 
-def passes(text: Column, rules: list[Rule]) -> Column:
-    """True if no rule rejects; the first that does ends the row's evaluation."""
+def passes(text: Column, rules: list[Rule], counted: dict[str, Column] | None = None) -> Column:
+    """True if no rule rejects; the first that does ends the row's evaluation.
+
+    With ``counted``, rules on counts cost nothing more and come first.
+    """
     text = F.coalesce(text, F.lit(""))
-    out = F.when(rules[0].rejects(text), F.lit(False))
-    for rule in rules[1:]:
-        out = out.when(rule.rejects(text), F.lit(False))
-    return out.otherwise(F.lit(True))
+    free = [r.counted(counted) for r in rules if counted and r.counted]
+    out = F
+    for reject in [*free, *(r.rejects(text) for r in rules if not (counted and r.counted))]:
+        out = out.when(reject, F.lit(False))
+    return F.lit(True) if out is F else out.otherwise(F.lit(True))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
@@ -146,16 +167,18 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "d
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """Per document: id, the counts, base_failed and kept."""
-    order = [r["rule"] for r in order_rules(docs, rules, id_col, text_col, sample_rows)]
-    text = F.col("text")
-    counted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
-        "id", "text", word_stats(text).alias("w"), word_chars(text).alias("word_chars"), n_of(text, SYMBOLS).alias("n_symbols"),
-        n_dup_lines(text).alias("n_dup_lines"),
-    )
-    failed = (F.col("w.n_words") < 20) | (100 * F.col("w.n_repeat_words") > 30 * F.col("w.n_words"))
-    return counted.select(
-        F.col("id").alias(id_col), F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        F.col("w.n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"),
-        F.when(failed, F.lit(False)).otherwise(passes(text, order)).alias("kept"),
+    """Per document: id, the counts, base_failed and kept.
+
+    The cascade runs over what the counts have not decided: only texts that pass those rules meet the others.
+    """
+    open_rules = tuple(r for r in rules if r.counted is None)
+    order = [r["rule"] for r in order_rules(docs, open_rules, id_col, text_col, sample_rows)] if open_rules else []
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    made = texts.select("id", "text", *[c.alias(n) for n, c in counts(F.col("text")).items()])
+    named = {n: F.col(c) for n, c in COUNTED.items()}
+    failed = (named["n_words"] < 20) | (100 * named["n_repeat_words"] > 30 * named["n_words"])
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return made.select(
+        F.col("id").alias(id_col), *[named[n].alias(n) for n in shown], failed.alias("base_failed"),
+        F.when(failed, F.lit(False)).otherwise(passes(F.col("text"), [r for r in rules if r.counted] + order, named)).alias("kept"),
     )
