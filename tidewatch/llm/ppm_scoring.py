@@ -9,7 +9,7 @@ Below depth 0 all symbols not yet excluded are equal.
 Counting, building and scoring are Spark jobs whose tables grow with the corpus; nothing of
 the model is broadcast or collected (three totals apart).  Texts are cut at white space into
 segments that carry the bytes before them, so scores of segments add up and a very long
-text is spread.  Segments are packed into blocks of bounded bytes.  A block asks
+text is spread.  Segments are packed into blocks of bounded bytes.  A block (or each part of it, if tasks share it) asks
 once for every distinct gram and word that it holds; the keys travel packed, dealt by hash
 to buckets, where those of all blocks meet, are summed, and go back with counts and costs.
 Then each block scores its own segments with array lookups.
@@ -148,8 +148,9 @@ REQUEST = "bucket long, block long, g_keys binary, g_n binary, w_keys binary, w_
 
 
 def _requests(segments: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Stored rows (bucket, block, packed grams and counts, packed words and counts, ends): what a block
-    holds, each distinct gram and word once with its count in training texts, dealt to buckets by the key."""
+    """Stored rows (bucket, block, packed grams and counts, packed words and counts, ends): what a block, or the part of it that
+    a task reads, holds: each distinct gram and word once with its count in training texts, dealt to buckets by the
+    key.  Buckets without a key get no row, so there are never more rows than keys."""
 
     def counted(block: int, parts: list, words: Counter, others: set, ends: int) -> pa.RecordBatch:
         import xxhash
@@ -160,15 +161,17 @@ def _requests(segments: DataFrame, order: int, buckets: int) -> DataFrame:
         hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names)).view(np.int64)
         words_n = np.zeros(len(names), dtype=np.int64)
         words_n[: len(words)] = np.fromiter(words.values(), np.int64, len(words))
+        homes = [bucket_of(keys, buckets) for keys in (grams_, hashed)]
+        used = np.unique(np.concatenate([*homes, np.zeros(int(ends > 0), dtype=np.int64)]))
         split = []
-        for keys, n in ((grams_, grams_n), (hashed, words_n)):
-            home = bucket_of(keys, buckets)
+        for keys, n, home in ((grams_, grams_n, homes[0]), (hashed, words_n, homes[1])):
             by = np.lexsort((keys, home))
-            keys, n, at = keys[by], n[by], np.searchsorted(home[by], np.arange(buckets + 1))
-            split.append([(pack_keys(keys[i:j]), pack(n[i:j])) for i, j in zip(at, at[1:])])
+            keys, n, home = keys[by], n[by], home[by]
+            first, after = np.searchsorted(home, used), np.searchsorted(home, used, side="right")
+            split.append([(pack_keys(keys[i:j]), pack(n[i:j])) for i, j in zip(first, after)])
         return pa.RecordBatch.from_pydict({
-            "bucket": np.arange(buckets), "block": np.full(buckets, block), "g_keys": [x[0] for x in split[0]], "g_n": [x[1] for x in split[0]],
-            "w_keys": [x[0] for x in split[1]], "w_n": [x[1] for x in split[1]], "ends": np.where(np.arange(buckets) == 0, ends, 0),
+            "bucket": used, "block": np.full(len(used), block), "g_keys": [x[0] for x in split[0]], "g_n": [x[1] for x in split[0]],
+            "w_keys": [x[0] for x in split[1]], "w_n": [x[1] for x in split[1]], "ends": np.where(used == 0, ends, 0),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,7 @@ def _chunks(data: list[bytes]) -> Iterator[tuple[int, int]]:
 TOTAL = "kind byte, block long, key long, n long, keys binary, vals binary"
 
 
-def _totals(requests: DataFrame) -> DataFrame:
+def _totals(requests: DataFrame, tasks: int) -> DataFrame:
     """Stored rows per bucket: GRAM (key, n: count in all training texts), WORD (block, keys, vals: the
     counts of the block's words), ENDS (key: distinct training words, n: their uses)."""
 
@@ -240,10 +243,10 @@ def _totals(requests: DataFrame) -> DataFrame:
             "vals": pa.array([None] * m + replies + [None], pa.binary()),
         })
 
-    return _compact(requests.groupBy("bucket").applyInArrow(run, TOTAL), "totals")
+    return _compact(requests.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, TOTAL), "totals")
 
 
-def _replies(requests: DataFrame, costs: DataFrame, buckets: int) -> DataFrame:
+def _replies(requests: DataFrame, costs: DataFrame, buckets: int, tasks: int) -> DataFrame:
     """Rows (block, kind, keys, vals): the costs of a block's grams, bucket by bucket."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -253,8 +256,8 @@ def _replies(requests: DataFrame, costs: DataFrame, buckets: int) -> DataFrame:
         vals = [pack(value[np.searchsorted(key, unpack_keys(x))]) for x in left.column("g_keys").to_pylist()]
         return pa.table({"block": left.column("block"), "kind": pa.array(np.full(len(vals), GRAM, np.int8)), "keys": left.column("g_keys"), "vals": pa.array(vals, pa.binary())})
 
-    asked = requests.select("bucket", "block", "g_keys").groupBy("bucket")
-    given = costs.select(bucket_column(F.col("key"), buckets).alias("bucket"), "key", "value").groupBy("bucket")
+    asked = requests.select("bucket", "block", "g_keys").repartition(tasks, "bucket").groupBy("bucket")
+    given = costs.select(bucket_column(F.col("key"), buckets).alias("bucket"), "key", "value").repartition(tasks, "bucket").groupBy("bucket")
     return asked.cogroup(given).applyInArrow(run, "block long, kind byte, keys binary, vals binary")
 
 
@@ -286,7 +289,7 @@ def gram_costs(counts: DataFrame, order: int) -> DataFrame:
     return here.select(F.col("g").alias("key"), value.alias("value"))
 
 
-def _scored(segments: DataFrame, costs: DataFrame, order: int, n_all: int, n_distinct: int, n_ends: int) -> DataFrame:
+def _scored(segments: DataFrame, costs: DataFrame, order: int, n_all: int, n_distinct: int, n_ends: int, tasks: int) -> DataFrame:
     """Per segment: tokens, known tokens, word score and model score."""
     kind = segments.schema["id"].dataType.simpleString()
 
@@ -300,7 +303,8 @@ def _scored(segments: DataFrame, costs: DataFrame, order: int, n_all: int, n_dis
         for kind_, k, v in zip(*(right.column(c).to_pylist() for c in ("kind", "keys", "vals"))):
             keys[kind_].append(unpack_keys(k))
             vals[kind_].append(unpack(v, "<f8" if kind_ == GRAM else "<i8"))
-        index, cost = pd.Index(np.concatenate(keys[GRAM])), np.concatenate(vals[GRAM])
+        numbers, first = np.unique(np.concatenate(keys[GRAM]), return_index=True)  # parts of a block may ask for the same
+        index, cost = pd.Index(numbers), np.concatenate(vals[GRAM])[first]
         hashes = np.concatenate(keys[WORD])
         by = np.argsort(hashes)
         hashes, counts = hashes[by], np.concatenate(vals[WORD])[by]
@@ -337,7 +341,8 @@ def _scored(segments: DataFrame, costs: DataFrame, order: int, n_all: int, n_dis
             "base": pa.array(bases, pa.float64()), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
         })
 
-    return segments.select("block", "id", "sig", "held", "n_seg", "last", "context", "data").groupBy("block").cogroup(costs.groupBy("block")).applyInArrow(
+    texts = segments.select("block", "id", "sig", "held", "n_seg", "last", "context", "data").repartition(tasks, "block").groupBy("block")
+    return texts.cogroup(costs.repartition(tasks, "block").groupBy("block")).applyInArrow(
         run, f"id {kind}, sig long, held boolean, n_seg long, n_tokens long, n_known long, base double, score double")
 
 
@@ -349,14 +354,15 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     blocks = segments.select("block").distinct().count()
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, blocks * 1_000_000 // BUCKET_KEYS)  # a block of 32 MB has about a million distinct keys
+    few, many = max(least, blocks), max(least, buckets)  # about one group a task, however large the corpus
     asked = _requests(segments, order, buckets)
-    totals = _totals(asked)
+    totals = _totals(asked, many)
     n_distinct, n_words = totals.where(F.col("kind") == ENDS).agg(F.sum("key"), F.sum("n")).first()
     n_ends = asked.agg(F.sum("ends")).first()[0] or 0
     n_all, n_distinct = (n_words or 0) + n_ends, (n_distinct or 0) + (n_ends > 0)
     costs = gram_costs(totals.where(F.col("kind") == GRAM).select("key", "n"), order)
-    answers = _replies(asked, costs, buckets).unionByName(totals.where(F.col("kind") == WORD).select("block", "kind", "keys", "vals"))
-    parts = _scored(segments, answers, order, n_all, n_distinct, n_ends)
+    answers = _replies(asked, costs, buckets, many).unionByName(totals.where(F.col("kind") == WORD).select("block", "kind", "keys", "vals"))
+    parts = _scored(segments, answers, order, n_all, n_distinct, n_ends, few)
     whole = parts.groupBy("id", "sig", "held", "n_seg").agg(
         (F.count(F.lit(1)) / F.col("n_seg")).cast("int").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.sum("base").alias("base"), F.sum("score").alias("score"),
