@@ -10,7 +10,9 @@ read again with the most-voted winning path that it has; a page that has none us
 best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-left out wherever they lie.  Character references are decoded, white space becomes one
+left out wherever they lie.  A name or a form alone decides nothing about what is around the article: such an element
+stays if a main or article element below it holds a quarter of the page's running text, or if it holds half of it itself
+(reader comments never do by length).  Within an article, what is named like a link list but is running text stays.  Character references are decoded, white space becomes one
 space, blocks are joined in page order by one space; nothing else is dropped or cut.
 
 Null and empty pages give an empty text.  A null or odd url counts as one host without a
@@ -40,25 +42,39 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt td th figcaption caption summary".split())
 CONTAINERS = frozenset("article main section div td body center".split())
-UNWANTED = frozenset("nav footer aside form button select dialog menu head fieldset".split())
+UNWANTED = frozenset("nav footer aside button select dialog menu head label legend".split())
 #: An open element of the first kind ends where one of the second kind starts.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe"
-    r"|sidebar|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|breadcrumbs?|menus?|nav|navbar|navigation|footer|comments?|disqus|responses"
-    r"|login|signup|search|pagination|pager|toolbar|skip)(?:$|[\s_-])"
-)
-HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])")
+def _names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])")
+
+
+#: Class and id names of boilerplate, by what their text looks like.
+COMMENTS = _names("comments?|disqus|responses")
+ASIDES = _names("ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|widgets?|login|signup")
+LISTS = _names("related|recommend(?:ed|ations)?|share|sharing|social|breadcrumbs?|menus?|nav|navbar|navigation|footer|search|pagination|pager|toolbar|skip")
+HEADERS = _names("header|masthead|topbar")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 
 
+#: Doubts about an element, from none to certain.
+NONE, LIST, ASIDE, COMMENT, GONE = range(5)
+#: An article element that holds this share of the page's running text clears what is around it, as does a list within an
+#: article if it has so much of the article's.
+SHARE, PART = 0.25, 0.1
+
+
 class Node:
-    __slots__ = ("tag", "path", "parent", "skip", "article", "score", "order")
+    __slots__ = ("tag", "path", "parent", "doubt", "skip", "article", "score", "order", "plain", "linked")
+
+    def __init__(self, tag: str, path: str, parent: Node | None, doubt: int, article: bool):
+        self.tag, self.path, self.parent, self.doubt, self.article = tag, path, parent, doubt, article
+        self.skip, self.score, self.order, self.plain, self.linked = False, 0.0, 0, 0, 0
+
 
-    def __init__(self, tag: str, path: str, parent: Node | None, skip: bool, article: bool):
-        self.tag, self.path, self.parent, self.skip, self.article = tag, path, parent, skip, article
-        self.score, self.order = 0.0, 0
+#: A run of text in an element: (element, text, its characters other than white space); a text of None ends a block or line.
+Run = tuple[Node, str | None, int]
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -71,23 +87,66 @@ def _attributes(rest: str) -> dict[str, str]:
     return out
 
 
-def _unwanted(tag: str, a: dict[str, str], in_article: bool) -> bool:
-    if tag in ("html", "body", "article", "main"):
-        return False
+def _doubt(tag: str, a: dict[str, str], in_article: bool) -> int:
+    if tag in ("html", "body", "main"):
+        return NONE
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower() if a else ""
+    if tag == "article":
+        return COMMENT if COMMENTS.search(names) else NONE
     if tag in UNWANTED or (tag == "header" and not in_article):
-        return True
-    if not a:
-        return False
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return (
-        bool(NAMED.search(names)) or (not in_article and bool(HEADERS.search(names))) or a.get("role", "").lower() in ROLES
-        or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    )
-
-
-def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
-    """Elements, and the wanted text in page order: (element, text), with None where a block or line ends."""
-    root = Node("", "", None, False, False)
+        return GONE
+    if a and (
+        a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+        or "display:none" in a.get("style", "").replace(" ", "").lower()
+    ):
+        return GONE
+    if COMMENTS.search(names):
+        return COMMENT
+    if tag in ("form", "fieldset") or ASIDES.search(names) or (not in_article and HEADERS.search(names)):
+        return ASIDE
+    return LIST if LISTS.search(names) else NONE
+
+
+def settle(nodes: list[Node], flow: list[Run]) -> list[Run]:
+    """Decide about doubtful elements by their text; the wanted runs."""
+    for node, _, n in flow:
+        if n:
+            up = node
+            while up.tag in INLINE and up.tag != "a":
+                up = up.parent
+            if up.tag == "a":
+                node.linked += n
+            else:
+                node.plain += n
+    cleared: set[int] = set()
+    for node in reversed(nodes[1:]):  # children come after their parents
+        up = node.parent
+        if node.doubt not in (COMMENT, GONE):
+            up.plain += node.plain
+            up.linked += node.linked + (node.plain if node.tag == "a" else 0)
+    page = nodes[0].plain
+    for node in nodes:
+        if node.tag in ("article", "main") and node.doubt == NONE and node.plain and node.plain >= SHARE * page:
+            up = node.parent
+            while up is not None and up.order not in cleared:
+                cleared.add(up.order)
+                up = up.parent
+    inside: dict[int, int] = {}  # running text of the enclosing article
+    for node in nodes[1:]:
+        up = node.parent
+        inside[node.order] = node.plain if node.tag in ("article", "main") else inside.get(up.order, 0)
+        own = node.doubt == GONE
+        if node.doubt in (LIST, ASIDE, COMMENT) and node.order not in cleared:
+            most = node.doubt != COMMENT and 2 * node.plain > page
+            running = node.doubt == LIST and up.article and node.plain > node.linked and node.plain >= PART * inside[node.order]
+            own = not (most or running)
+        node.skip = up.skip or own
+    return [r for r in flow if not r[0].skip]
+
+
+def parse(page: str) -> tuple[list[Node], list[Run]]:
+    """Elements, and the wanted runs of text in page order."""
+    root = Node("", "", None, NONE, False)
     stack, nodes, flow = [root], [root], []
 
     def close(until: int) -> None:
@@ -98,18 +157,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
         m = TOKEN.search(page, at)
         top = stack[-1]
         piece = page[at : m.start()] if m else page[at:]
-        if piece and not top.skip:
-            flow.append((top, entities.unescape(piece)))
+        if piece and top.doubt != GONE:
+            text = entities.unescape(piece)
+            flow.append((top, text, len("".join(text.split()))))
         if m is None:
             break
         at = m.end()
-        if m["raw"] is not None and not top.skip:
-            flow.append((top, m["raw"]))
+        if m["raw"] is not None and top.doubt != GONE:
+            flow.append((top, m["raw"], len("".join(m["raw"].split()))))
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
         if tag not in INLINE:
-            flow.append((top, None))
+            flow.append((top, None, 0))
         if m["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -140,17 +200,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
         a = _attributes(m["rest"]) if m["rest"].strip(" /") else {}
         step = tag + "".join(f".{c}" for c in sorted(set(re.sub(r"\d+", "#", a.get("class", "")).split())))
         path = step if tag in ("html", "body") else f"{top.path}>{step}"
-        node = Node(tag, path, top, top.skip or _unwanted(tag, a, top.article), top.article or tag in ("article", "main"))
+        doubt = GONE if top.doubt == GONE else _doubt(tag, a, top.article)
+        node = Node(tag, path, top, doubt, top.article or tag in ("article", "main"))
         node.order = len(nodes)
         nodes.append(node)
         stack.append(node)
-    return nodes, flow
+    return nodes, settle(nodes, flow)
 
 
-def best_container(nodes: list[Node], flow: list[tuple[Node, str | None]]) -> Node | None:
+def best_container(nodes: list[Node], flow: list[Run]) -> Node | None:
     """The whole article around the container whose blocks hold most running text; the earlier one of a tie."""
-    for node, text in flow:
-        if text is None or not (n := len("".join(text.split()))):
+    for node, _, n in flow:
+        if not n:
             continue
         link, block = False, node
         while block.parent is not None and block.tag in INLINE:
@@ -168,7 +229,7 @@ def best_container(nodes: list[Node], flow: list[tuple[Node, str | None]]) -> No
     return whole(max(found, key=lambda x: (x.score, -x.order)), flow) if found else None
 
 
-def whole(best: Node, flow: list[tuple[Node, str | None]]) -> Node:
+def whole(best: Node, flow: list[Run]) -> Node:
     """The nearest article around a container, or else main; where there is neither, the highest container
     below the body such that none on the way adds mostly links."""
     chain, node = [], best
@@ -182,8 +243,8 @@ def whole(best: Node, flow: list[tuple[Node, str | None]]) -> Node:
                 return node
     place = {x.order: i for i, x in enumerate(chain)}
     added, links = [0] * len(chain), [0] * len(chain)
-    for node, text in flow:
-        if text is None or not (n := len("".join(text.split()))):
+    for node, _, n in flow:
+        if not n:
             continue
         link = False
         while node is not None and node.order not in place:
@@ -202,7 +263,7 @@ def whole(best: Node, flow: list[tuple[Node, str | None]]) -> Node:
     return top
 
 
-def text_of(flow: list[tuple[Node, str | None]], path: str | None) -> str:
+def text_of(flow: list[Run], path: str | None) -> str:
     """Text below the elements of that path (of all elements where it is None)."""
     inside: dict[int, bool] = {}
 
@@ -219,7 +280,7 @@ def text_of(flow: list[tuple[Node, str | None]], path: str | None) -> str:
             inside[x.order] = found
         return found
 
-    return " ".join("".join(" " if text is None else text for node, text in flow if within(node)).split())
+    return " ".join("".join(" " if text is None else text for node, text, _ in flow if within(node)).split())
 
 
 def extract(page: str, winners: list[str]) -> str:
