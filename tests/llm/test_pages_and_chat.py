@@ -57,6 +57,31 @@ def test_the_whole_article_is_kept(spark):
     assert len(got) == 20 and {r["url"]: r["text"] for r in got} == {u: want for _, u, _ in rows}
 
 
+ARTICLE = "<h1>Head</h1>" + "<p>" + "running words here " * 30 + "</p>"
+CLEAN = "Head " + ("running words here " * 30).strip()
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content-sidebar-wrap"><main><article>{ARTICLE}</article></main><div class="sidebar"><p>{"side " * 40}</p></div></div>',
+    f'<div class="layout has-sidebar"><article>{ARTICLE}</article></div><div class="sidebar">{"side " * 90}</div>',
+    f'<div id="page" class="site with-nav"><article>{ARTICLE}</article></div>',
+    f'<form action="/"><div><input name=q><label>Search here</label><button>Go</button></div><article>{ARTICLE}</article><div class="newsletter"><p>Your mail</p></div></form>',
+    f'<form><div class="entry">{ARTICLE}</div></form><div class="promo">Buy this</div>',
+    f'<div class="page nav-open">{ARTICLE}<div id="comments"><p>{"reader says " * 300}</p></div></div>',
+    f'<article>{ARTICLE}<div class="share"><a href=x>Post</a> <a href=y>Mail</a></div></article><div id=comments><article class="comment-body"><p>{"reader says " * 200}</p></article></div>',
+    f'<div class="related"><article class="teaser"><p>Another story</p></article></div><main>{ARTICLE}</main>',
+    f'<article>{ARTICLE}<aside class="ad">Buy</aside><div class="newsletter"><p>{"subscribe now " * 10}</p></div></article>',
+])
+def test_articles_below_doubtful_containers(page):
+    assert host_paths.extract(f"<html><body>{page}</body></html>", []) == CLEAN
+
+
+def test_running_text_with_the_name_of_a_list():
+    more = "<section class='market share'><p>" + "numbers grew again " * 10 + "</p></section>"
+    got = host_paths.extract(f"<article>{ARTICLE}{more}<p>End.</p></article>", [])
+    assert got == f"{CLEAN} {('numbers grew again ' * 10).strip()} End."
+
+
 def test_winning_paths_are_those_of_the_host(pages):
     paths = {r["host"]: r["paths"] for r in host_paths.winning_paths(pages).collect()}
     assert paths["a.example.org"][0] == "body.has-sidebar>div.post.post-#"

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.session import Scratch
 from tidewatch.llm import byte_bpe, extendible_shards, line_dedup, ppm_scoring, quality_cascade, queries, secret_forest, simhash_anchors, simhash_similar, string_tiling
 
 SPACES = " \t\n\x0b\f\r"
@@ -171,27 +172,6 @@ def test_similar_groups_against_all_pairs(spark, docs):
     assert simhash_similar.similar_groups(docs.limit(0)).count() == 0
 
 
-def test_forest_keeps_what_pairs_connect():
-    rng = np.random.default_rng(6)
-    f = rng.integers(0, 2**63, (4, 2), dtype=np.uint64)[rng.integers(0, 4, 80)]
-    for k in range(len(f)):
-        for bit in rng.choice(64, rng.integers(0, 9), replace=False):
-            f[k, rng.integers(2)] ^= np.uint64(1) << np.uint64(bit)
-    d = np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]).astype(int) + np.bitwise_count(f[:, None, 1] ^ f[None, :, 1])
-
-    def parts(edges):
-        root = list(range(len(f)))
-        for a, b in edges:
-            low, high = sorted((root[a], root[b]))
-            root = [low if r == high else r for r in root]
-        return root
-
-    edges = simhash_similar.forest(f, np.ones(len(f), dtype=bool), 20)
-    assert len(edges) < len(f)
-    for limit in (2, 8, 14, 20):
-        assert parts([e for e in edges if d[e] <= limit]) == parts([(a, b) for a in range(len(f)) for b in range(a) if d[a, b] <= limit])
-
-
 def test_families_around_the_limit_end_in_the_components_of_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(21)
     said = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
@@ -213,12 +193,35 @@ def test_families_around_the_limit_end_in_the_components_of_all_pairs(spark, mon
                 root = [low if r == high else r for r in root]
     assert near > 300 and len(set(root)) > 52
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for growth in (16, 4):
+    for growth, frequent in ((16, 1 << 20), (3, 40)):  # with and without ranks
         monkeypatch.setattr(simhash_similar, "GROWTH", growth)
-        monkeypatch.setattr(simhash_similar, "FEW", 4 if growth == 16 else 1)
+        monkeypatch.setattr(simhash_similar, "FREQUENT", frequent)
         assert {r["doc_id"]: r["component_id"] for r in simhash_similar.similar_groups(frame).collect()} == dict(enumerate(root))
 
 
+def test_common_passages_come_last_in_the_prefix(spark):
+    rng = np.random.default_rng(2)
+    said = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 4000, n))
+    passage = said(60)
+    rows = [(i, f"{said(20)} {passage} {said(20)}") for i in range(30)]
+    texts = simhash_similar._texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    with Scratch(spark, "test") as scratch:
+        heads = simhash_similar.prefixes(texts, 0.8, 5, scratch.stored)
+        assert simhash_similar.postings(heads, scratch.stored).count() < 10  # but for chance, no token is shared
+        ranked = simhash_similar.ranks(texts, 5, scratch.stored)
+    common = {int(h) for h in simhash_similar.shingles(passage.encode())}
+    assert common <= set(ranked[:, 0].tolist())
+
+
+def test_rows_that_share_an_id_lose_no_text(spark):
+    words = " ".join(f"a{i}" for i in range(40))
+    other = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, words, "x"), (1, other, "y"), (1, other, "y"), (2, words, "z"), (3, other + " b", "z")]
+    kept = simhash_similar.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string, __keep string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "__keep"]
+    assert sorted(map(tuple, kept.collect())) == [(1, words, "x"), (1, other, "y")]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(0, i) for i in range(1, 40)]
@@ -299,6 +302,23 @@ def test_ppm_scores(docs, order, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_ppm_blocks_that_several_tasks_read(spark, docs, monkeypatch):
+    """Small row groups and splits: parts of a block ask for the same grams."""
+    text = lambda i: f"the cat {i % 7} sat on the mat and looked at number {i}"
+    frame = spark.createDataFrame([(i, text(i)) for i in range(4000)], "doc_id long, text string").repartition(2)
+    out = {}
+    for split, group in (("134217728", str(128 << 20)), ("16384", "2048")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", group)
+        try:
+            rows = ppm_scoring.score_documents(frame, F.col("doc_id") % 7 == 2, order=2).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+        out[split] = sorted((r["doc_id"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows)
+    assert out["134217728"] == out["16384"] and len(out["16384"]) == 4000
+
+
 def test_ppm_cuts_anywhere_and_empty(docs):
     text = b"ab cd  ef\n" * 9 + b"x" * 40 + b" y"
     for size in (1, 3, 7, 1000):
