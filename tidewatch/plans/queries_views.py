@@ -152,3 +152,34 @@ def replay_stream(spark, sf_dir):
 def replay_audit(spark, sf_dir):
     """All audit events that the stream wrote."""
     return spark.read.parquet(replayed(spark, sf_dir) + "_audit").select(HOUR, "kind", "payload")
+
+
+#: Event times (6-hour bins of a replay) that end the first two arrivals; rows of some stays between 40 and 50 come with the third.
+_FIRST, _SECOND, _LATENESS = 50, 100, 24
+
+
+@register("replay_late", with_panel(f"""
+SELECT * FROM (
+  WITH ev AS (SELECT stay_id, hour_index, 24 * (stay_id % 4) + hour_index AS e FROM panel),
+  d AS (SELECT *, stay_id % 5 = 0 AND e BETWEEN 40 AND 49 AS delayed FROM ev),
+  g AS (SELECT *, max(delayed) OVER (PARTITION BY stay_id) AS holed FROM d),
+  b AS (SELECT max(e) - {_LATENESS} AS w FROM d WHERE e < {_FIRST} AND NOT delayed),
+  c AS (SELECT max(e) - {_LATENESS} AS w FROM d WHERE e < {_SECOND} AND NOT delayed)
+  SELECT stay_id, hour_index, CASE WHEN holed AND e >= {_FIRST} THEN 'gap' ELSE 'prediction' END AS kind, NULL::BIGINT AS watermark FROM g WHERE NOT delayed
+  UNION ALL SELECT stay_id, hour_index, 'late', w::BIGINT FROM d, b WHERE e < 20 AND e < w
+  UNION ALL SELECT stay_id, hour_index, 'late', w::BIGINT FROM d, c WHERE delayed AND e < w)"""))
+def replay_late(spark, sf_dir):
+    """A replay of staggered stays with a watermark: early rows come again, and some rows too late, which leaves gaps."""
+    p = EventPanel(spark, sf_dir)
+    root = work_folder(spark, "replay")
+    starts = 24 * (F.col(KEY) % 4)
+    rows = p.inputs.select(KEY, HOUR, *MEASURES, "Age", "Gender").withColumn("e", starts + F.col(HOUR))
+    delayed = (F.col(KEY) % 5 == 0) & F.col("e").between(40, 49)
+    stays = labels.onset(p.panel).select(F.lit("replay").alias("replay_id"), KEY, "n_hours", starts.alias("starts"))
+    arrivals = [(F.col("e") < _FIRST) & ~delayed, (F.col("e") < 20) | F.col("e").between(_FIRST, _SECOND - 1), (F.col("e") >= _SECOND) | delayed]
+    for arrival in arrivals:
+        rows.filter(arrival).drop("e").write.mode("append").parquet(f"{root}/panel")
+        run_available(spark, f"{root}/panel", rows.drop("e").schema, stays, f"{root}/steps", f"{root}/checkpoint",
+                      fixture_score, POLICY, CONFIG, SPEC, lateness=_LATENESS)
+    done = spark.read.parquet(f"{root}/steps").select(KEY, HOUR, "kind", F.lit(None).cast("long").alias("watermark"))
+    return done.unionByName(spark.read.parquet(f"{root}/steps_late").select(KEY, HOUR, F.lit("late").alias("kind"), "watermark"))

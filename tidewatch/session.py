@@ -50,3 +50,44 @@ def stored(df: DataFrame, purpose: str = "stage") -> DataFrame:
     path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def subfolders(spark: SparkSession, path: str, finished: bool = True) -> list[str]:
+    """Names of the folders below ``path`` (that a job has finished writing); none if it does not exist."""
+    at, files = _hadoop(spark, path)
+    if not files.exists(at):
+        return []
+    found = [s.getPath() for s in files.listStatus(at) if s.isDirectory()]
+    names = [(p.getName(), p) for p in found if not p.getName().startswith("_")]
+    return sorted(n for n, p in names if not finished or files.exists(_hadoop(spark, f"{p}/_SUCCESS")[0]))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package has written."""
+    at, files = _hadoop(spark, path)
+    files.delete(at, True)
+
+
+class Scratch:
+    """Stored results of one step; removed when the step has written what it returns."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.root, self.n = spark, work_folder(spark, purpose), 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        remove(self.spark, self.root)
