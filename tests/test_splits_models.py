@@ -111,12 +111,6 @@ def test_platt_and_persistence(spark, rows, tmp_path):
         models.score_frame(features.select("stay_id", "hour_index", *reversed(NAMES)), model, platt, CFG, SPEC)
 
 
-def test_trees_learn(rows):
-    held = F.pmod(F.hash("stay_id"), F.lit(4)) == 0
-    bag = models.fit_trees(rows.filter(~held), rows.filter(held), NAMES, seeds=(1, 2), rounds=5, depth=3)
-    assert models.validation_auprc(bag.score(rows.filter(held), ["label"])) > 0.6
-
-
 def test_label_join_is_one_to_one(spark, rows):
     f = rows.drop("label")
     outcomes = rows.select("stay_id", "hour_index", "label")

@@ -8,15 +8,19 @@ plus the prefix within the range.  The borders decide about balance only; result
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.session import stored
 
 FAN = 4096
+#: Ranks of the sketches in ``wide_quantiles`` are off by at most a share of 1 / ACCURACY.
+ACCURACY = 2000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -138,3 +142,52 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     """0-based position of each (unique) row in ``order`` within ``keys``."""
     numbered = prefix_totals(df.withColumn("_one", F.lit(1).cast("long")), keys, order, ["_one"])
     return numbered.select(*df.columns, F.col("before__one").alias(name))
+
+
+def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of many columns, in two passes over the rows: ``feature, q, value``.
+
+    The first pass keeps a mergeable sketch per column, which brackets every wanted rank.  The second counts
+    the values below each bracket and extracts those inside, a small share of the rows, each distinct value once per task.  Only
+    these are ranked.  Columns without a value are absent.
+    """
+    columns, probs = list(columns), [float(q) for q in probs]
+    margin = 2.0 / ACCURACY
+    ends = F.array(*[F.lit(min(max(q + side * margin, 0.0), 1.0)) for q in probs for side in (-1, 1)])
+    values = [F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(columns)]
+    wide = df.select(*values)
+    names = [v for v in wide.columns]
+    row = wide.agg(*[
+        F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, ends, F.lit(ACCURACY)).alias("ends")).alias(v) for v in names
+    ]).first()  # a few numbers per column
+    brackets = []
+    for i, v in enumerate(names):
+        if row[v]["n"]:
+            few = row[v]["n"] <= 4 * ACCURACY  # the margin would be under one rank
+            for k, q in enumerate(probs):
+                low = row[v]["low"] if few or q <= margin else row[v]["ends"][2 * k]
+                high = row[v]["high"] if few or q >= 1 - margin else row[v]["ends"][2 * k + 1]
+                brackets.append((i, k, low, high, q * (row[v]["n"] - 1)))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = np.zeros(len(brackets), dtype=np.int64)
+        for batch in batches:
+            parts = []
+            for b, (i, _, low, high, _) in enumerate(brackets):
+                x = batch.column(i)
+                x = x.drop_null().to_numpy(zero_copy_only=False)
+                below[b] += int((x < low).sum())
+                v, n = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
+                parts.append((np.full(len(v), b, np.int32), v, n))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["bracket", "v", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(brackets), dtype=np.int32)), pa.array([None] * len(brackets), pa.float64()), pa.array(below)], names=["bracket", "v", "n"])
+
+    found = stored(wide.mapInArrow(inside, "bracket int, v double, n long").groupBy("bracket", "v").agg(F.sum("n").alias("n")), "brackets")
+    ranked = prefix_totals(found.filter(F.col("v").isNotNull()), ["bracket"], [F.col("v")], ["n"])
+    below = found.filter(F.col("v").isNull()).select("bracket", F.col("n").alias("below"))
+    wanted = df.sparkSession.createDataFrame([(b, columns[i], probs[k], at) for b, (i, k, _, _, at) in enumerate(brackets)], "bracket int, feature string, q double, at double")
+    near = ranked.join(below, "bracket").join(wanted, "bracket").withColumn("first", F.col("below") + F.col("before_n")).withColumn("last", F.col("first") + F.col("n") - 1)
+    holds = lambda rank: F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("v")))
+    picked = near.groupBy("feature", "q", "at").agg(holds(F.floor("at")).alias("lo"), holds(F.ceil("at")).alias("hi"))
+    return picked.select("feature", "q", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value"))

@@ -6,10 +6,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.operators import alerts, bootstrap, labels, metrics, quality, ranking, utility
+from tidewatch.functions.naming import feature_family
+from tidewatch.operators import alerts, bootstrap, labels, metrics, quality, ranking, splits, utility
+from tidewatch.plans import models
 from tidewatch.session import stored
 from tidewatch.sources import records, runs, tables
-from tidewatch.spec import EXPECTED_STAYS, HOUR, ICU, KEY, LABEL, AlertPolicy
+from tidewatch.spec import EXPECTED_STAYS, HOUR, ICU, KEY, LABEL, AlertPolicy, PanelSpec
 
 
 def labelled(features: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -111,3 +113,18 @@ def evaluate(scored: DataFrame, demographics: DataFrame, policy: AlertPolicy, th
         long_rows = tables.metrics_long(frame, *ids, part.alias("part"))
         document = long_rows if document is None else document.unionByName(long_rows)
     return document
+
+
+def explain(validation: DataFrame, model, n_stays: int, seed: int = 0, spec: PanelSpec = ICU, out: str | None = None) -> DataFrame:
+    """``feature, importance, share, family, stays`` of a linear model on a fixed sample of validation stays, largest first.
+
+    With ``out`` the document is written there as JSON and read back.
+    """
+    sampled = splits.sample(validation.select(KEY).distinct(), n_stays, seed)
+    rows = stored(validation.join(sampled.select(KEY), KEY, "left_semi"), "explained")
+    stays = rows.select(KEY).distinct().count()
+    found = models.explain(rows, model).withColumns({"family": feature_family(F.col("feature"), spec), "stays": F.lit(stays)})
+    if out is None:
+        return found
+    found.coalesce(1).write.mode("overwrite").json(out)
+    return found.sparkSession.read.schema(found.schema).json(out)
