@@ -80,7 +80,48 @@ def stay_cells(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return stored(rows.groupBy(*keys, KEY, "score").agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")), "cells")
 
 
-def ranked_replicates(cells: DataFrame, n_boot: int, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+def tied_sums(drawn: DataFrame, n_boot: int, keys: Sequence[str], heavy: int = CHUNK) -> DataFrame:
+    """Adds ``sums``: rows of a score that has more than ``heavy`` cells become one row with the weighted positives and
+    negatives of every replicate; on other rows it is null.
+
+    Each task adds up its rows of such scores first, so a score that most rows share is no group of its own.
+    """
+    keys = list(keys)
+    types = dict(drawn.dtypes)
+    common = drawn.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("cells")).filter(F.col("cells") > heavy)
+    common = common.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "score"]], F.lit(True).alias("common"))
+    marked = stored(drawn.join(common, same_renamed([*keys, "score"]), "left").select(*drawn.columns, F.coalesce("common", F.lit(False)).alias("common")), "marked")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        kinds = None
+        for batch in batches:
+            kinds = [batch.column(c).type for c in (*keys, "score")]
+            names = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "score"))))
+            for i in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(i, CHUNK)
+                w = weights_of(part.column("w"), n_boot).astype(np.float64)
+                p, n = (part.column(c).to_numpy() for c in ("p", "n"))
+                place: dict[tuple, list[int]] = {}
+                for j, name in enumerate(names[i : i + CHUNK]):
+                    place.setdefault(name, []).append(j)
+                for name, at in place.items():
+                    both = np.stack([p[at] @ w[at], n[at] @ w[at]])
+                    totals[name] = totals[name] + both if name in totals else both
+        if totals:
+            columns = [pa.array([k[i] for k in totals], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=[*keys, "score", "sums"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())  # whole numbers: the order does not matter
+        return table.slice(0, 1).set_column(table.schema.get_field_index("sums"), "sums", pa.array([total.tobytes()], pa.binary()))
+
+    schema = ", ".join([f"`{c}` {types[c]}" for c in (*keys, "score")] + ["sums binary"])
+    sums = marked.filter("common").select(*keys, "score", "p", "n", "w").mapInArrow(add, schema).groupBy(*keys, "score").applyInArrow(merge, schema)
+    return marked.filter("not common").drop("common").unionByName(sums, allowMissingColumns=True)
+
+
+def ranked_replicates(cells: DataFrame, n_boot: int, seed: int = 0, keys: Sequence[str] = (), heavy: int = CHUNK) -> DataFrame:
     """AUROC and AUPRC of every replicate of ``stay_cells``: ``*keys, replicate, auroc, auprc``.
 
     The cells are range-partitioned by score once, each with its stay's weights; a range
@@ -92,7 +133,7 @@ def ranked_replicates(cells: DataFrame, n_boot: int, seed: int = 0, keys: Sequen
     types = dict(cells.dtypes)
     w = stay_weights(cells, n_boot, seed, keys).withColumnsRenamed({k: f"_{k}" for k in (*keys, KEY)})
     drawn = cells.join(w, same_renamed([*keys, KEY])).select(*keys, F.col("score").cast("double").alias("score"), "p", "n", "w")
-    rows = ranged(drawn, keys, [F.col("score").desc()])
+    rows = ranged(tied_sums(drawn, n_boot, keys, heavy), keys, [F.col("score").desc()])
     at = [*keys, "_range"]
     key_schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_range int"])
 
@@ -103,13 +144,18 @@ def ranked_replicates(cells: DataFrame, n_boot: int, seed: int = 0, keys: Sequen
         area, precision = np.zeros(n_boot), np.zeros(n_boot)
         ends = np.flatnonzero(np.append(np.diff(score[by]) != 0, True)) + 1  # ties stay together
         start, pos, neg = 0, np.zeros(n_boot), np.zeros(n_boot)
-        p, n, raw = table.column("p").to_numpy()[by], table.column("n").to_numpy()[by], table.column("w").combine_chunks().take(pa.array(by))
+        p, n = (table.column(c).fill_null(0).to_numpy()[by] for c in ("p", "n"))
+        raw, sums = (table.column(c).combine_chunks().take(pa.array(by)) for c in ("w", "sums"))
+        nothing = bytes(2 * n_boot)
         for end_at in range(0, len(ends), CHUNK):
             cut = ends[end_at : end_at + CHUNK]
             for a in range(start, cut[-1], CHUNK):
                 b = min(a + CHUNK, cut[-1])
-                w_ = weights_of(raw.slice(a, b - a), n_boot).astype(np.float64)
+                w_ = weights_of(raw.slice(a, b - a).fill_null(nothing), n_boot).astype(np.float64)
                 wp, wn = w_ * p[a:b, None], w_ * n[a:b, None]
+                for k, both in enumerate(sums.slice(a, b - a).to_pylist()):
+                    if both is not None:
+                        wp[k], wn[k] = np.frombuffer(both).reshape(2, n_boot)
                 inside = cut[(cut > a) & (cut <= b)] - a
                 edges = np.concatenate([[0], inside])
                 for i, j in zip(edges, edges[1:]) if len(inside) < b - a else ():
