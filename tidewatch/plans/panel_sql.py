@@ -6,6 +6,9 @@ plain per-entity windows, so that it checks the DataFrame code independently.
 
 from __future__ import annotations
 
+from tidewatch.plans.event_panel import CONFIG, SPEC
+from tidewatch.spec import feature_names
+
 MEASURES = ("view", "click", "purchase", "signup", "error")
 VITALS, LABS = MEASURES[:3], MEASURES[3:]
 EXPIRY = {"view": 6, "click": 6, "purchase": 6, "signup": 48, "error": 48}
@@ -53,6 +56,50 @@ info AS (SELECT stay_id, n_hours, label_start, label_start IS NOT NULL AS septic
          FROM stays)"""
 
 
+# --- every declared feature, from the definitions ---
+
+FEATURES = feature_names(CONFIG, SPEC)
+
+
+def _trailing_sql(name):
+    """A declared feature of the panel as SQL, from the definitions."""
+    v, _, what = name.partition("__")
+    if name in ("Age", "Gender"):
+        return f'p."{name}"'
+    if name.endswith("__count_24h"):
+        members = {"vitals": SPEC.vitals, "labs": SPEC.labs}[v]
+        return f"sum({' + '.join(f'(CASE WHEN p.{m} IS NULL THEN 0 ELSE 1 END)' for m in members)}) OVER w24"
+    if what == "last":
+        return f"l.l_{v}"
+    if what == "observed":
+        return f"CASE WHEN p.{v} IS NULL THEN 0.0 ELSE 1.0 END"
+    if what == "hours_since":
+        return f"p.hour_index - max(CASE WHEN p.{v} IS NOT NULL THEN p.hour_index END) OVER w"
+    if what == "from_first":
+        return f"l.l_{v} - first_value(p.{v} IGNORE NULLS) OVER w"
+    if what == "delta":
+        return f"l.l_{v} - l.prev_{v}"
+    stat, window = what.split("_")
+    fn = {"mean": "avg(p.{v})", "min": "min(p.{v})", "max": "max(p.{v})", "std": "stddev_samp(p.{v})", "slope": "regr_slope(p.{v}, p.hour_index)"}[stat]
+    over = f"OVER w{window.removesuffix('h')}"
+    value = f"{fn.format(v=v)} {over}"
+    return f"CASE WHEN count(p.{v}) {over} > 1 THEN {value} END" if stat == "slope" else value
+
+
+_WINDOWS = ", ".join(
+    [f"w{n} AS (PARTITION BY p.stay_id ORDER BY p.hour_index ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in CONFIG.windows]
+    + ["w AS (PARTITION BY p.stay_id ORDER BY p.hour_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"])
+ALL_FEATURES_SQL = (
+    ", ranks AS (SELECT *, " + ", ".join(f"count({m}) OVER (PARTITION BY stay_id ORDER BY hour_index) AS c_{m}" for m in SPEC.labs) + " FROM panel)"
+    ", seen AS (SELECT stay_id, " + ", ".join(f"c_{m}" for m in SPEC.labs) + ", " + ", ".join(SPEC.labs) + " FROM ranks)"
+    + "".join(f", o_{m} AS (SELECT stay_id, c_{m} AS k, {m} AS value FROM seen WHERE {m} IS NOT NULL)" for m in SPEC.labs)
+    + ", lp AS (SELECT l.*, " + ", ".join(f"o_{m}.value AS prev_{m}" for m in SPEC.labs) + " FROM latest l JOIN ranks r USING (stay_id, hour_index) "
+    + " ".join(f"LEFT JOIN o_{m} ON o_{m}.stay_id = l.stay_id AND o_{m}.k = r.c_{m} - 1" for m in SPEC.labs) + ")"
+    ", features AS (SELECT p.stay_id, p.hour_index, p.hospital, "
+    + ", ".join(f'({_trailing_sql(c)})::DOUBLE AS "{c}"' for c in FEATURES)
+    + f" FROM panel p JOIN lp l USING (stay_id, hour_index) WINDOW {_WINDOWS})")
+
+
 def with_panel(body: str) -> str:
     return f"WITH {PANEL} {body}"
 

@@ -10,9 +10,9 @@ from tidewatch.operators import drift, labels, metrics, quality, ranking, splits
 from tidewatch.operators.trailing import trailing_features
 from tidewatch.plans.catalog import register, rounded
 from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel, table
-from tidewatch.plans.panel_sql import with_info, with_latest, with_panel, with_scored
+from tidewatch.plans.panel_sql import ALL_FEATURES_SQL, FEATURES, with_info, with_latest, with_panel, with_scored
 from tidewatch.session import work_folder
-from tidewatch.sources import records, runs, tables
+from tidewatch.sources import ledger, records, runs, tables
 from tidewatch.spec import DATASET, HOUR, KEY
 
 # the event panel as record files: record column = panel column
@@ -29,27 +29,43 @@ def record_rows(p: EventPanel):
     )
 
 
+#: Damages dealt by the stay's number, and the size limit that the padded files break.
+KINDS, SMALL_LIMIT = 13, 200_000
+
+
 def exported(p: EventPanel, damage: bool = False) -> str:
-    """The panel written as record files; with ``damage`` one in ten stays breaks each rule."""
+    """The panel written as record files; with ``damage`` one stay in thirteen breaks each rule, in one of twelve ways."""
     path = work_folder(p.spark, "records")
     lines = records.record_lines(record_rows(p))
     if damage:
-        kind, v = F.substring("record", -1, 1), F.col("value")
-        data = F.col(HOUR) >= 0
-        late = F.col(HOUR) > 0
+        kind, v = F.regexp_extract("record", "([0-9]+)", 1).cast("int") % KINDS, F.col("value")
+        data, late = F.col(HOUR) >= 0, F.col(HOUR) > 0
+        label = lambda x: F.regexp_replace(v, "[^|]+$", x)
         broken = (
-            F.when(data & (kind == "1"), F.lit("1|2|3"))
-            .when(data & (kind == "2"), F.regexp_replace(v, "^[^|]*", "high"))
-            .when(~data & (kind == "3"), F.lit("HR|O2Sat"))
-            .when(data & (kind == "4"), F.regexp_replace(v, "[^|]+$", "2.0"))
-            .when(~data & (kind == "5"), F.concat(F.lit("<html>"), v))
-            .when(late & (kind == "6"), F.regexp_replace(v, "[^|]*[|]([^|]*)$", "7.0|$1"))
+            F.when(data & (kind == 1), F.lit("1|2|3"))
+            .when(data & (kind == 2), F.regexp_replace(v, "^[^|]*", "high"))
+            .when(~data & (kind == 3), F.lit("HR|O2Sat"))
+            .when(data & (kind == 4), label("2.0"))
+            .when(~data & (kind == 5), F.concat(F.lit("<html>"), v))
+            .when(late & (kind == 6), F.regexp_replace(v, "[^|]*[|]([^|]*)$", "7.0|$1"))
+            .when(data & (kind == 8), F.regexp_replace(v, "[^|]*[|]([^|]*)$", "NaN|$1"))
+            .when((F.col(HOUR) == 0) & (kind == 9), label("1.0"))
+            .when(late & (kind == 9), label("0.0"))
+            .when(data & (kind == 10), F.concat(v, F.lit("\u00e9")))
+            .when(~data & (kind == 11), F.concat(v, F.repeat(F.lit(" "), SMALL_LIMIT)))
         )
-        lines = lines.withColumn("value", F.coalesce(broken, v)).filter(~((kind == "7") & data))
+        lines = lines.withColumn("value", F.coalesce(broken, v)).filter(~((kind == 7) & data) & (kind != 12))
     records.write_lines(lines, path)
     return path
 
 
+def damaged_checks(p: EventPanel):
+    """The damaged corpus through the checks; its manifest names the empty files too."""
+    manifest = record_rows(p).select("hospital", F.concat("record", F.lit(".psv")).alias("file")).distinct()
+    checked = records.check_files(records.list_exported(p.spark, exported(p, damage=True), manifest), SMALL_LIMIT)
+    return checked.withColumn("error", F.regexp_replace("error", r"\([0-9]+ bytes\)$", "(n bytes)"))
+
+
 @register("scan_psv", with_panel(
     f"SELECT '{DATASET}:' || hospital || ':' || {_NAME_SQL} AS stay_id, hour_index, {_RECORD_SQL}, \"Age\", "
     "(hour_index + 1)::DOUBLE AS \"ICULOS\", label::DOUBLE AS \"SepsisLabel\" FROM panel"))
@@ -62,37 +78,62 @@ def scan_psv(spark, sf_dir):
 
 _DAMAGE_SQL = with_info(
     f", f AS (SELECT stay_id, {_NAME_SQL} AS record, n_hours, label_start FROM info), "
-    "e AS (SELECT record, CASE stay_id % 10 WHEN 1 THEN 'lines that do not parse' WHEN 2 THEN 'lines that do not parse' "
+    f"e AS (SELECT record, CASE stay_id % {KINDS} WHEN 1 THEN 'lines that do not parse' WHEN 2 THEN 'lines that do not parse' "
     "WHEN 3 THEN 'another header (2 columns)' WHEN 4 THEN 'SepsisLabel takes values other than 0 and 1' "
     "WHEN 5 THEN 'a web page instead of a table' "
     "WHEN 6 THEN (CASE WHEN n_hours > 1 THEN 'ICULOS skips or repeats an hour' END) "
-    "WHEN 7 THEN 'a header and nothing else' END AS error FROM f) ")
+    "WHEN 7 THEN 'a header and nothing else' WHEN 8 THEN 'ICULOS without a value' "
+    "WHEN 9 THEN (CASE WHEN n_hours > 1 THEN 'SepsisLabel falls back to 0' END) WHEN 10 THEN 'characters beyond ASCII' "
+    "WHEN 11 THEN 'larger than the limit (n bytes)' WHEN 12 THEN 'nothing in it' END AS error FROM f) ")
 
 
 @register("psv_checks", _DAMAGE_SQL + "SELECT error, count(*) AS files FROM e GROUP BY 1")
 def psv_checks(spark, sf_dir):
-    """Files per broken rule in a corpus where one stay in ten breaks each rule."""
-    checked = records.check_files(records.list_exported(spark, exported(EventPanel(spark, sf_dir), damage=True)))
-    return checked.groupBy("error").agg(F.count(F.lit(1)).alias("files"))
+    """Files per broken rule in a corpus in which every rule is broken."""
+    return damaged_checks(EventPanel(spark, sf_dir)).groupBy("error").agg(F.count(F.lit(1)).alias("files"))
 
 
 @register("quarantine", _DAMAGE_SQL + "SELECT record, record || ': ' || error AS error FROM e WHERE error IS NOT NULL")
 def quarantine(spark, sf_dir):
-    checked = records.check_files(records.list_exported(spark, exported(EventPanel(spark, sf_dir), damage=True)))
-    return records.quarantine(checked).select("record", "error")
+    return records.quarantine(damaged_checks(EventPanel(spark, sf_dir))).select("record", "error")
 
 
 @register("manifest_check", with_panel(
-    f", s AS (SELECT DISTINCT hospital, stay_id, {_NAME_SQL} || '.psv' AS file FROM panel) "
-    "SELECT hospital, file, CASE stay_id % 4 WHEN 1 THEN 'differs' WHEN 2 THEN 'unexpected' ELSE 'ok' END AS state FROM s"))
+    f", s AS (SELECT DISTINCT hospital, stay_id, {_NAME_SQL} AS record FROM panel) "
+    "SELECT hospital, record || '.psv' AS file, CASE stay_id % 4 WHEN 1 THEN 'differs' WHEN 2 THEN 'unexpected' ELSE 'ok' END AS state FROM s "
+    "UNION ALL SELECT hospital, 'lost-' || record || '.psv', 'missing' FROM s WHERE stay_id % 4 = 3"))
 def manifest_check(spark, sf_dir):
-    """Checksums against a manifest with some changed and some absent entries."""
+    """Checksums against a manifest with some changed and absent entries, and some of files that are gone."""
     files = records.list_exported(spark, exported(EventPanel(spark, sf_dir)))
     kind = F.regexp_extract("file", "([0-9]+)", 1).cast("int") % 4
-    manifest = records.build_manifest(files).filter(kind != 2).withColumn(
-        "sha256", F.when(kind == 1, F.reverse("sha256")).otherwise(F.col("sha256"))
-    )
-    return records.manifest_check(files, manifest)
+    manifest = records.build_manifest(files)
+    lost = manifest.filter(kind == 3).withColumn("file", F.concat(F.lit("lost-"), "file"))
+    manifest = manifest.filter(kind != 2).withColumn("sha256", F.when(kind == 1, F.reverse("sha256")).otherwise(F.col("sha256")))
+    return records.manifest_check(files, manifest.unionByName(lost))
+
+
+@register("ingest_again", with_panel(
+    ", s AS (SELECT stay_id, hospital, count(*) AS hours, sum(label) AS positives FROM panel GROUP BY 1, 2) "
+    f"SELECT hospital, {_NAME_SQL} AS record, CASE stay_id % 4 WHEN 1 THEN 'changed' WHEN 2 THEN 'new' WHEN 3 THEN 'touched' ELSE 'unchanged' END AS state, "
+    "hours, positives::DOUBLE AS positives, NULL AS error FROM s WHERE stay_id % 8 <> 2 "
+    f"UNION ALL SELECT hospital, {_NAME_SQL}, 'new', NULL, NULL, 'a header and nothing else' FROM s WHERE stay_id % 8 = 2"))
+def ingest_again(spark, sf_dir):
+    """A second ingest after files were added (some of them bad), corrected and written again alike; tables after both."""
+    p = EventPanel(spark, sf_dir)
+    root, out = work_folder(spark, "records"), work_folder(spark, "store")
+    lines = records.record_lines(record_rows(p))
+    number = F.regexp_extract("record", "([0-9]+)", 1).cast("int")
+    first = lines.filter(number % 4 != 2)  # the files to be corrected have a wrong first column
+    records.write_lines(first.withColumn("value", F.when((number % 4 == 1) & (F.col(HOUR) >= 0), F.regexp_replace("value", "^[^|]*", "1.5")).otherwise(F.col("value"))), root)
+    ledger.ingest(spark, records.list_exported(spark, root), out)
+    records.write_lines(lines.filter((number % 4 != 0) & ((number % 8 != 2) | (F.col(HOUR) < 0))), root, add=True)
+    states = ledger.ingest(spark, records.list_exported(spark, root), out)
+    hourly, outcomes = (spark.read.parquet(f"{out}/{name}") for name in ("hourly", "outcomes"))
+    stays = hourly.filter(~F.col("HR").eqNullSafe(F.lit(1.5))).join(outcomes.select(KEY, HOUR, "label"), [KEY, HOUR]).groupBy("hospital", "record").agg(
+        F.count(F.lit(1)).alias("hours"), F.sum("label").cast("double").alias("positives"))
+    bad = ledger.quarantined(spark, out).select("hospital", "record", "error")
+    named = states.select("hospital", F.regexp_replace("file", "[.]psv$", "").alias("record"), "state")
+    return named.join(stays, ["hospital", "record"], "left").join(bad, ["hospital", "record"], "left")
 
 
 @register("upload_report", with_panel(
@@ -262,34 +303,38 @@ def metrics_long(spark, sf_dir):
 
 
 @register("feature_cache", with_panel(
-    "SELECT count(*) AS n_rows, count(DISTINCT stay_id) AS stays, count(signup) AS observed_signup FROM panel"))
+    "SELECT count(*) AS n_rows, count(DISTINCT stay_id) AS stays, count(signup) AS observed_signup, round(avg(\"Age\"), 6) AS age FROM panel"))
 def feature_cache(spark, sf_dir):
-    """Features written once per schema version; the second call reads the table."""
+    """Features of a table that grows and is corrected: parts that changed are computed again, the last call reads."""
     p = EventPanel(spark, sf_dir)
     root = work_folder(spark, "store")
-    for _ in range(2):
-        f = tables.cached_features(spark, root, p.inputs, CONFIG, SPEC)
+    wrong = p.inputs.withColumn("Age", F.when(F.col(KEY) % 50 == 7, F.lit(0.0)).otherwise(F.col("Age")))
+    for hourly in (wrong.filter(F.col(HOUR) < 60), wrong, p.inputs, p.inputs):
+        f = tables.cached_features(spark, root, hourly, CONFIG, SPEC)
     return f.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct(KEY).alias("stays"),
-        F.sum("signup__observed").cast("long").alias("observed_signup"),
+        F.sum("signup__observed").cast("long").alias("observed_signup"), rounded(F.avg(F.col("Age").cast("double")), name="age"),
     )
 
 
+_EXPORT_LINES = """
+, lines AS (
+  SELECT stay_id, 'label' AS kind, hour_index AS i, label::VARCHAR AS value FROM scored
+  UNION ALL SELECT DISTINCT stay_id, 'label', -1, 'SepsisLabel' FROM scored
+  UNION ALL SELECT stay_id, 'prediction', hour_index, printf('%.6f', coalesce(score, 0)) || '|' || CASE WHEN score >= 0.5 THEN 1 ELSE 0 END FROM scored
+  UNION ALL SELECT DISTINCT stay_id, 'prediction', -1, 'PredictedProbability|PredictedLabel' FROM scored)
+"""
+
+
 @register("psv_export", with_scored(
-    "SELECT stay_id, 'label' AS kind, label::VARCHAR AS value, count(*) AS n FROM scored GROUP BY ALL "
-    "UNION ALL SELECT DISTINCT stay_id, 'label', 'SepsisLabel', 1 FROM scored "
-    "UNION ALL SELECT stay_id, 'prediction', printf('%.6f', coalesce(score, 0)) || '|' || CASE WHEN score >= 0.5 THEN 1 ELSE 0 END, "
-    "count(*) FROM scored GROUP BY ALL "
-    "UNION ALL SELECT DISTINCT stay_id, 'prediction', 'PredictedProbability|PredictedLabel', 1 FROM scored"))
+    _EXPORT_LINES + "SELECT stay_id, kind, stay_id || '.psv' AS file, md5(string_agg(value, chr(10) ORDER BY i) || chr(10)) AS content FROM lines GROUP BY 1, 2"))
 def psv_export(spark, sf_dir):
-    """Label and prediction text files per stay, written and read back as line counts."""
+    """Label and prediction text files per stay, with the names that they go by and digests of what was written."""
     root = work_folder(spark, "official")
-    rows = metrics.predictions(EventPanel(spark, sf_dir).scored, 0.5)
-    for name, lines in zip(("label", "prediction"), records.export_lines(rows)):
-        records.write_lines(lines, f"{root}/kind={name}", by=(KEY,))
-    return spark.read.text(root).groupBy(F.col(KEY).cast("long").alias(KEY), "kind", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    names = records.write_exports(metrics.predictions(EventPanel(spark, sf_dir).scored, 0.5), root)
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(root)
+    found = written.select(F.col(KEY).cast("long").alias(KEY), "kind", F.md5("content").alias("content"))
+    return found.join(names, [KEY, "kind"]).select(KEY, "kind", "file", "content")
 
 
 @register("predictions_sink", with_scored(
@@ -393,30 +438,27 @@ def feature_label_join(spark, sf_dir):
 
 # --- drift and importance ------------------------------------------------------------
 
-_LASTS = [f"{m}__last" for m in MEASURES]
-
-
-def _drift_sql(m):
+def _drift_sql(c):
     def agg(fn, h):
-        return f"{fn}(l_{m}) FILTER (WHERE hospital = '{h}')"
+        return f"{fn}(\"{c}\") FILTER (WHERE hospital = '{h}')"
 
-    missing = {h: f"avg(CASE WHEN l_{m} IS NULL THEN 1.0 ELSE 0 END) FILTER (WHERE hospital = '{h}')" for h in "AB"}
-    return (f"SELECT '{m}__last' AS feature, round({agg('avg', 'A')}, 6) AS mean_a, round({agg('avg', 'B')}, 6) AS mean_b, "
-            f"round(({agg('avg', 'B')} - {agg('avg', 'A')}) / sqrt(({agg('stddev_pop', 'A')} ** 2 + {agg('stddev_pop', 'B')} ** 2) / 2), 6) "
-            f"AS smd_b_vs_a, round({missing['A']}, 6) AS missing_a, round({missing['B']}, 6) AS missing_b FROM compared")
+    spread = f"sqrt(({agg('stddev_pop', 'A')} ** 2 + {agg('stddev_pop', 'B')} ** 2) / 2)"
+    missing = {h: f"avg(CASE WHEN \"{c}\" IS NULL THEN 1.0 ELSE 0 END) FILTER (WHERE hospital = '{h}')" for h in "AB"}
+    return (f"SELECT '{c}' AS feature, round({agg('avg', 'A')}, 5) AS mean_a, round({agg('avg', 'B')}, 5) AS mean_b, "
+            f"round(({agg('avg', 'B')} - {agg('avg', 'A')}) / nullif({spread}, 0), 5) AS smd_b_vs_a, "
+            f"round({missing['A']}, 5) AS missing_a, round({missing['B']}, 5) AS missing_b FROM compared")
 
 
 @register("feature_drift", with_info(
-    _SPLIT_SQL + ", compared AS (SELECT l.* FROM latest l JOIN sp USING (stay_id) WHERE split IN ('a_train', 'b_external')) "
-    + " UNION ALL ".join(_drift_sql(m) for m in MEASURES)))
+    _SPLIT_SQL + ALL_FEATURES_SQL + ", compared AS (SELECT f.* FROM features f JOIN sp USING (stay_id) WHERE split IN ('a_train', 'b_external')) "
+    + " UNION ALL ".join(_drift_sql(c) for c in FEATURES)))
 def feature_drift(spark, sf_dir):
-    """Training stays of A against the external hospital."""
+    """Training stays of A against the external hospital, every declared feature."""
     p = EventPanel(spark, sf_dir)
     f = trailing_features(p.inputs, CONFIG, SPEC, as_float32=False, keep=("hospital",))
     compared = panel_splits(p).filter(F.col("split").isin("a_train", "b_external")).select(KEY)
-    f = f.join(compared, KEY, "left_semi")
-    d = drift.feature_drift(f, _LASTS)
-    return d.select("feature", *[rounded(c) for c in d.columns if c != "feature"])
+    d = drift.feature_drift(f.join(compared, KEY, "left_semi"), FEATURES)
+    return d.select("feature", *[rounded(c, 5) for c in d.columns if c != "feature"])
 
 
 @register("all_missing", with_panel(" UNION ALL ".join(

@@ -10,7 +10,7 @@ from tidewatch.operators.labels import incident_labels, onset, reward_times, sta
 from tidewatch.operators.trailing import latest_features, trailing_features
 from tidewatch.plans.catalog import register, rounded
 from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel
-from tidewatch.plans.panel_sql import EXPIRY, LABS, VITALS, with_info, with_latest, with_panel
+from tidewatch.plans.panel_sql import ALL_FEATURES_SQL, EXPIRY, FEATURES, LABS, VITALS, with_info, with_latest, with_panel
 from tidewatch.spec import HOUR, KEY, feature_names
 
 WINDOWS = CONFIG.windows
@@ -126,19 +126,13 @@ def from_first(spark, sf_dir):
     return _features(spark, sf_dir, *[f"{m}__from_first" for m in MEASURES])
 
 
-@register("feature_frame", with_panel(
-    f"SELECT count(*) AS n_rows, {len(feature_names(CONFIG, SPEC))}::BIGINT AS n_features, "
-    "round(avg(\"view\"::FLOAT::DOUBLE), 4) AS mean_view, "
-    "sum(CASE WHEN error IS NULL THEN 0 ELSE 1 END)::DOUBLE AS n_error FROM panel"))
+@register("feature_frame", with_latest(ALL_FEATURES_SQL + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS n_rows, count(\"{c}\") AS known, round(avg(\"{c}\"::FLOAT::DOUBLE), 4) AS mean FROM features" for c in FEATURES)))
 def feature_frame(spark, sf_dir):
-    """The whole declared feature frame in float32, summarised."""
-    p = EventPanel(spark, sf_dir)
-    f = trailing_features(p.inputs, CONFIG, SPEC)
-    now = F.when(F.col("view__observed") == 1, F.col("view__last").cast("double"))
-    return f.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.lit(len(f.columns) - 2).cast("long").alias("n_features"),
-        rounded(F.avg(now), 4, "mean_view"), F.sum("error__observed").alias("n_error"),
-    )
+    """The whole declared feature frame in float32: known values and mean of every feature."""
+    f = trailing_features(EventPanel(spark, sf_dir).inputs, CONFIG, SPEC)
+    wide = f.agg(*[F.struct(F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("known"), F.avg(F.col(c).cast("double")).alias("mean")).alias(c) for c in FEATURES])
+    return wide.unpivot([], FEATURES, "feature", "s").select("feature", "s.n_rows", "s.known", rounded("s.mean", 4, "mean"))
 
 
 @register("derived", with_latest(
@@ -247,12 +241,16 @@ def visible_history(spark, sf_dir):
     return p.inputs.filter(F.col(HOUR) <= CLOCK).select(KEY, HOUR, *[rounded(m) for m in MEASURES])
 
 
-@register("input_hash")
+#: Features whose text form both engines share: whole numbers and readings as they came.
+_HASHED = [c for c in FEATURES if c.endswith(("__last", "__observed", "__hours_since")) or c in ("Age", "Gender")]
+
+
+@register("input_hash", with_latest(ALL_FEATURES_SQL + "SELECT stay_id, hour_index, sha256('{' || concat_ws(',', "
+    + ", ".join(f"'\"{c}\":' || \"{c}\"::VARCHAR" for c in _HASHED) + ") || '}') AS input_hash FROM features"))
 def input_hash(spark, sf_dir):
-    """Fingerprint of each feature row (engine-specific text form, so no SQL twin)."""
-    p = EventPanel(spark, sf_dir)
-    f = trailing_features(p.inputs, CONFIG, SPEC)
-    return f.select(KEY, HOUR, input_fingerprint(feature_names(CONFIG, SPEC)).alias("input_hash"))
+    """Fingerprint of each feature row, over the features that have one text form in both engines."""
+    f = trailing_features(EventPanel(spark, sf_dir).inputs, CONFIG, SPEC, as_float32=False)
+    return f.select(KEY, HOUR, input_fingerprint(_HASHED).alias("input_hash"))
 
 
 @register("onset", with_info(

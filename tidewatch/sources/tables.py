@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.scoring import finite
 from tidewatch.operators.trailing import trailing_features
-from tidewatch.spec import ICU, FeatureConfig, PanelSpec, feature_version
+from tidewatch.session import remove, stored, subfolders
+from tidewatch.spec import ICU, KEY, FeatureConfig, PanelSpec, feature_version
 
 TABLES = ("hourly", "outcomes", "encounters")
 
@@ -35,13 +36,47 @@ def is_complete(spark: SparkSession, path: str) -> bool:
         return False
 
 
+#: Parts of a feature cache, by a hash of the stay.
+CACHE_PARTS = 64
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64(KEY), F.lit(parts)).cast("int")
+
+
+def part_digests(hourly: DataFrame, parts: int = CACHE_PARTS) -> DataFrame:
+    """``part, rows, digest``: what each part of the stays holds, whatever the order of its rows."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(hourly.columns)])
+    total = F.sum(row.cast("decimal(38,0)")).cast("string")
+    return hourly.groupBy(_part(parts).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", F.bit_xor(row).cast("string"), total).alias("digest"))
+
+
 def cached_features(spark: SparkSession, root: str, hourly: DataFrame, cfg: FeatureConfig,
-                    spec: PanelSpec = ICU) -> DataFrame:
-    """Features of ``cfg``, computed once per feature version."""
-    name = f"features/schema_version={feature_version(cfg, spec)}"
-    if not is_complete(spark, f"{root}/{name}"):
-        write_table(trailing_features(hourly, cfg, spec), root, name)
-    return spark.read.parquet(f"{root}/{name}")
+                    spec: PanelSpec = ICU, parts: int = CACHE_PARTS) -> DataFrame:
+    """Features of ``cfg``, a table per feature version that follows its input.
+
+    The stays are dealt to ``parts``; parts whose rows have changed since they were written are computed
+    again, the others are read.  The digests are written last, so a call that fails is made good by the next.
+    """
+    base = f"{root}/features/schema_version={feature_version(cfg, spec)}-parts={parts}"
+    now = stored(part_digests(hourly, parts), "digests")
+    same = spark.createDataFrame([], now.schema)
+    if is_complete(spark, f"{base}/digests"):
+        same = now.join(spark.read.schema(now.schema).parquet(f"{base}/digests"), now.columns, "left_semi")
+    changed = [r["part"] for r in now.join(same, "part", "left_anti").select("part").collect()]  # at most ``parts``
+    held = {int(n.split("=")[1]) for n in subfolders(spark, f"{base}/data", finished=False)}
+    gone = held - {r["part"] for r in now.select("part").collect()}
+    if not changed and not gone:
+        return spark.read.parquet(f"{base}/data").drop("part")
+    remove(spark, f"{base}/digests")
+    for part in gone:
+        remove(spark, f"{base}/data/part={part}")
+    if changed:
+        fresh = trailing_features(hourly.filter(_part(parts).isin(changed)), cfg, spec).withColumn("part", _part(parts))
+        writer = fresh.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("part").parquet(f"{base}/data")
+    now.write.parquet(f"{base}/digests")
+    return spark.read.parquet(f"{base}/data").drop("part")
 
 
 def file_digests(spark: SparkSession, root: str, names: tuple[str, ...] = TABLES) -> DataFrame:
