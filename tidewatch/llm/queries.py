@@ -164,7 +164,38 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(calls, results, tool_calls.chat_schemas(spark))
 
 
-@register("op11_spelling_variants")
+def _crc32_sql(text: str) -> str:
+    """crc32 of a string's UTF-8 bytes, four bits at a time; the table follows from the polynomial."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [x >> 1 ^ 0xEDB88320 if x & 1 else x >> 1 for x in table]
+    at = f"[{', '.join(map(str, table))}]"
+    half = lambda c: f"xor(({c}) >> 4, {at}[(({c}) & 15) + 1])"
+    data = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295)"
+
+
+@register("op11_spelling_variants", rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT doc_id, {_LOWER.format('run')} AS run, count(*) AS c FROM runs GROUP BY 1, 2),
+h AS (SELECT run, c, {_crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM each),
+hurt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM hurt WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+cuts AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS s FROM (SELECT *, unnest(range(0, length(word))) AS p FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM cuts a JOIN cuts b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON b.word = a.s
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON b.word = a.s),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM near GROUP BY 1),
+forms AS MATERIALIZED (
+  SELECT w.word, CASE WHEN m >= 2 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling_variants.vocabulary(table(spark, sf_dir, "documents"), damage=97, shortest=5, least=3)
     return spelling_variants.group_variants(words, factor=2)

@@ -224,7 +224,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         a, b = np.r_[q, w[more]], np.r_[w, q[more]]
         return pa.table({"word": pa.array(text[a], pa.string()), "near": pa.array(text[b], pa.string()), "n": pa.array(n[b], pa.int64())})
 
-    return dealt.groupBy("block", "seat").applyInArrow(run, "word string, near string, n long")
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 16)  # a task has few blocks, however many words there are
+    return dealt.repartition(tasks, "block", "seat").groupBy("block", "seat").applyInArrow(run, "word string, near string, n long")
 
 
 def roots_of(links: DataFrame) -> DataFrame:
