@@ -167,3 +167,33 @@ def test_ranges_are_even_and_exact(spark, kind):
 def test_null_keys_keep_their_rows(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0)], "k string, v double").withColumn("n", F.lit(1).cast("long"))
     assert {(r["k"], r["v"]): r["before_n"] for r in ranking.prefix_totals(df, ["k"], [F.col("v")], ["n"]).collect()} == {(None, 1.0): 0, (None, 2.0): 1, ("a", 5.0): 0}
+
+
+def test_tied_scores_are_added_up_first(spark):
+    """Four scores for all rows, one of them in nearly all: the same replicates whether they are summed before the ranges or in them."""
+    rng = np.random.default_rng(17)
+    rows = [(f"s{i // 4}", i % 4, float(rng.choice([0.1, 0.1, 0.1, 0.4, 0.7, 0.9])), int(rng.random() < 0.3)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "stay_id string, hour_index int, score double, label int").repartition(5)
+    cells = bootstrap.stay_cells(df)
+    want, got = ({r["replicate"]: (r["auroc"], r["auprc"]) for r in bootstrap.ranked_replicates(cells, 6, seed=3, heavy=h).collect()} for h in (10**6, 20))
+    assert want.keys() == got.keys() and len(got) == 6
+    for r, pair in want.items():
+        assert got[r] == pytest.approx(pair, abs=1e-12)
+    marked = bootstrap.tied_sums(cells.withColumn("w", F.lit(bytes(4))), 2, [], heavy=20)
+    assert marked.filter("sums is not null").count() == marked.count() == 4
+
+
+@pytest.mark.parametrize("n", [1, 7, 300, 20000])
+def test_wide_quantiles_are_exact(spark, n, monkeypatch):
+    monkeypatch.setattr(ranking, "ACCURACY", 50)
+    rng = np.random.default_rng(n)
+    data = {"a": rng.normal(0, 1, n), "b": np.round(rng.exponential(3, n)), "c": np.where(rng.random(n) < 0.6, np.nan, rng.normal(5, 1, n)), "d": np.full(n, np.nan), "e f": np.full(n, 2.5)}
+    frame = pd.DataFrame(data)
+    df = spark.createDataFrame([tuple(None if x != x else float(x) for x in r) for r in frame.itertuples(index=False)], "a double, b double, c double, d double, `e f` double").repartition(3)
+    probs = [0.0, 0.005, 0.3, 0.5, 0.95, 1.0]
+    got = {(r["feature"], r["q"]): r["value"] for r in ranking.wide_quantiles(df, list(frame), probs).collect()}
+    known = [c for c in frame if frame[c].notna().any()]
+    assert set(got) == {(c, q) for c in known for q in probs}
+    for c in known:
+        for q in probs:
+            assert got[c, q] == pytest.approx(np.quantile(frame[c].dropna(), q), rel=1e-12), (c, q)

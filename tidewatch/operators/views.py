@@ -92,6 +92,22 @@ def alerts_until(alerts: DataFrame, clock: int) -> DataFrame:
     return alerts.filter(F.col("alert_hour") <= clock).orderBy("alert_hour", KEY)
 
 
+def alert_list(steps: DataFrame, reviews: DataFrame, clock: int, until: int | None = None) -> DataFrame:
+    """Every alert up to the clock with its score, versions and review, oldest first.
+
+    ``steps``: stay_id, hour_index, score, state, alert and any ``*_version`` columns.  ``reviews``: stay_id, alert_hour,
+    reviewer, reviewed_at_hour, annotation; one after the clock is not seen, and of several the first counts.
+    """
+    limit = limit_hour(clock, until)
+    versions = [c for c in steps.columns if c.endswith("_version")]
+    emitted = steps.filter((F.col("alert") == 1) & (F.col(HOUR) <= limit)).select(KEY, F.col(HOUR).alias("alert_hour"), "score", "state", *versions)
+    first = reviews.filter(F.col("reviewed_at_hour") <= limit).groupBy(KEY, "alert_hour").agg(
+        F.min(F.struct("reviewed_at_hour", "reviewer", "annotation")).alias("r"))
+    both = emitted.join(first, [KEY, "alert_hour"], "left")
+    review = F.when(F.col("r").isNull(), "open").otherwise("acknowledged").alias("review")
+    return both.select(KEY, "alert_hour", "score", "state", review, "r.reviewer", "r.reviewed_at_hour", "r.annotation", *versions).orderBy("alert_hour", KEY)
+
+
 def newest_first(rows: DataFrame, n: int, *order: str) -> DataFrame:
     """Top-n by descending ``order`` (no full sort)."""
     return rows.orderBy(*[F.desc(c) for c in order]).limit(n)

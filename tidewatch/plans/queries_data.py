@@ -11,7 +11,7 @@ from tidewatch.operators.trailing import trailing_features
 from tidewatch.plans.catalog import register, rounded
 from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel, table
 from tidewatch.plans.panel_sql import ALL_FEATURES_SQL, FEATURES, with_info, with_latest, with_panel, with_scored
-from tidewatch.session import work_folder
+from tidewatch.session import stored, work_folder
 from tidewatch.sources import ledger, records, runs, tables
 from tidewatch.spec import DATASET, HOUR, KEY
 
@@ -514,21 +514,38 @@ _RUNS_SQL = (", ev AS (SELECT 'run-' || thr AS run_id, hospital AS split, avg(CA
              "FROM scored, (VALUES (0.4), (0.5), (0.6)) v(thr) GROUP BY 1, 2) ")
 
 
+_RUN_WEIGHTS = {"view": 0.8, "click": -0.5, "purchase": 0.3}
+
+
 @register("runs_report", with_scored(
-    _RUNS_SQL + "SELECT run_id, 'fixture' AS model_kind, count(*) AS n_splits, round(max(accuracy) FILTER (WHERE split = 'A'), 6) "
-    "AS accuracy_a, round(max(accuracy) FILTER (WHERE split = 'B'), 6) AS accuracy_b FROM ev GROUP BY 1"))
+    _RUNS_SQL + ", i AS (" + " UNION ALL ".join(f"SELECT '{m}__last' AS feature, abs({w}) * avg(coalesce(l_{m}, 0)) AS importance FROM latest" for m, w in _RUN_WEIGHTS.items())
+    + "), best AS (SELECT feature FROM i ORDER BY importance DESC LIMIT 1) "
+    "SELECT run_id, 'fixture' AS model_kind, count(*) AS n_splits, round(max(accuracy) FILTER (WHERE split = 'A'), 6) "
+    "AS accuracy_a, round(max(accuracy) FILTER (WHERE split = 'B'), 6) AS accuracy_b, "
+    "CASE WHEN sum(alarms) FILTER (WHERE split = 'A') > 0 THEN sum(alarms) FILTER (WHERE split = 'A') END::BIGINT AS searched_alarms, "
+    "(SELECT feature FROM best) AS top_feature, 3 AS n_features FROM ev GROUP BY 1"))
 def runs_report(spark, sf_dir):
-    """Run documents written as JSON under run folders, collected into one report."""
+    """Run documents (metadata, evaluations, policy search, explanation) written as JSON under run folders, collected into one report."""
     root = work_folder(spark, "runs")
-    ev = evaluated_runs(EventPanel(spark, sf_dir))
+    p = EventPanel(spark, sf_dir)
+    ev = stored(evaluated_runs(p), "runs")
     ev.select("run_id", "split", F.struct("accuracy", "alarms").alias("metrics")).write.partitionBy("run_id", "split").json(f"{root}/eval")
-    ev.select("run_id").distinct().withColumn("model_kind", F.lit("fixture")).write.partitionBy("run_id").json(f"{root}/bundle")
+    names = ev.select("run_id").distinct()
+    names.withColumn("model_kind", F.lit("fixture")).write.partitionBy("run_id").json(f"{root}/bundle")
+    ev.filter("split = 'A' and alarms > 0").select("run_id", F.col("thr").alias("threshold"), "alarms").write.partitionBy("run_id").json(f"{root}/search")
+    rows = p.state.select(*[F.coalesce(p.latest[m], F.lit(0.0)).alias(f"{m}__last") for m in _RUN_WEIGHTS])
+    found = stored(drift.importance(rows, {f"{m}__last": F.lit(w) * F.col(f"{m}__last") for m, w in _RUN_WEIGHTS.items()}), "importance")
+    each = F.explode(F.array(*[F.lit(f"run-{t}") for t in RUN_THRESHOLDS])).alias("run_id")
+    found.select(each, "*").write.partitionBy("run_id").json(f"{root}/explain")
     bundles = runs.read_documents(spark, root, "bundle/*", "model_kind string").drop("split")
     evals = runs.read_documents(spark, root, "eval/*/*", "metrics struct<accuracy:double,alarms:bigint>")
-    report = runs.runs_report(bundles, evals)
+    searches = runs.read_documents(spark, root, "search/*", "threshold double, alarms bigint").drop("split")
+    explained = runs.read_documents(spark, root, "explain/*", "feature string, importance double, share double").drop("split")
+    report = runs.runs_report(bundles, evals, searches, explained)
     return report.select(
         "run_id", "model_kind", F.size("evaluations").cast("long").alias("n_splits"),
         *[rounded(F.col("evaluations")[s]["accuracy"], name=f"accuracy_{s.lower()}") for s in "AB"],
+        F.col("policy_search.alarms").alias("searched_alarms"), F.col("features")[0]["feature"].alias("top_feature"), F.size("features").alias("n_features"),
     )
 
 

@@ -166,7 +166,7 @@ def _mean(rows, column):
 _FIT = (_SPLIT_SQL + ", y AS (SELECT split, label FROM panel JOIN sp USING (stay_id)), "
         "n AS (SELECT split, count(*) AS n, avg(label) AS rate, sum(label) AS pos FROM y GROUP BY 1), "
         "tr AS (SELECT * FROM n WHERE split = 'a_train'), va AS (SELECT * FROM n WHERE split = 'a_validation'), ca AS (SELECT * FROM n WHERE split = 'a_calibration') ")
-_TREES = {"kind": "trees", "rounds": 12, "step": 0.3, "depth": 3, "patience": 2, "bins": 31}
+_TREES = {"kind": "trees", "rounds": 6, "step": 0.3, "depth": 3, "patience": 2, "bins": 31}
 
 
 @register("logistic_trials", with_info(

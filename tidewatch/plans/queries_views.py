@@ -10,7 +10,7 @@ from tidewatch.plans.catalog import register, rounded
 from tidewatch.plans.event_panel import CONFIG, MEASURES, SPEC, EventPanel
 from tidewatch.plans.panel_sql import with_info, with_panel, with_scored
 from tidewatch.plans.queries_alerts import POLICY, _one, fired, reviews, states, with_machine
-from tidewatch.session import work_folder
+from tidewatch.session import stored, work_folder
 from tidewatch.spec import HOUR, KEY, feature_version
 from tidewatch.streaming.replay import run_available
 
@@ -71,10 +71,24 @@ def retrospective(spark, sf_dir):
     return views.retrospective(facts, replays)
 
 
-@register("alerts_list", with_machine(_one(POLICY), f"SELECT stay_id, hour_index AS alert_hour, CASE WHEN stay_id % 3 = 1 "
-          f"THEN 'acknowledged' ELSE 'open' END AS review FROM machine WHERE alert = 1 AND hour_index <= {CLOCK}"))
+@register("alerts_list", with_machine(
+    _one(POLICY), f"SELECT k.stay_id, k.hour_index AS alert_hour, s.score, k.state, "
+    f"CASE WHEN k.stay_id % 3 = 1 AND k.hour_index + 2 <= {CLOCK} THEN 'acknowledged' ELSE 'open' END AS review, "
+    f"CASE WHEN k.stay_id % 3 = 1 AND k.hour_index + 2 <= {CLOCK} THEN 'nurse-' || k.stay_id % 4 END AS reviewer, "
+    f"CASE WHEN k.stay_id % 3 = 1 AND k.hour_index + 2 <= {CLOCK} THEN k.hour_index + 2 END::INT AS reviewed_at_hour, "
+    f"CASE WHEN k.stay_id % 3 = 1 AND k.hour_index + 2 <= {CLOCK} THEN 'seen at ' || (k.hour_index + 2) END AS annotation, "
+    f"'fixture-1' AS model_version, '{POLICY.version}' AS policy_version "
+    f"FROM machine k JOIN scored s USING (stay_id, hour_index) WHERE k.alert = 1 AND k.hour_index <= {CLOCK}"))
 def alerts_list(spark, sf_dir):
-    return views.alerts_until(reviewed(EventPanel(spark, sf_dir)), CLOCK)
+    """Alerts with scores, versions, and what reviewers wrote about them by the clock; some reviewed twice."""
+    s = steps(EventPanel(spark, sf_dir)).withColumns({"model_version": F.lit("fixture-1"), "policy_version": F.lit(POLICY.version)})
+    s = stored(s, "steps")
+    late = F.explode(F.array(F.lit(2), F.lit(5)))
+    reviews = s.filter((F.col("alert") == 1) & (F.col(KEY) % 3 == 1)).select(KEY, F.col(HOUR).alias("alert_hour"), late.alias("after"))
+    at = (F.col("alert_hour") + F.col("after")).cast("int")
+    reviews = reviews.select(KEY, "alert_hour", F.concat(F.lit("nurse-"), (F.col(KEY) % 4).cast("string")).alias("reviewer"), at.alias("reviewed_at_hour"),
+                             F.concat(F.lit("seen at "), at.cast("string")).alias("annotation"))
+    return views.alert_list(s, reviews, CLOCK)
 
 
 _AUDIT_SQL = """

@@ -68,6 +68,11 @@ def subfolders(spark: SparkSession, path: str, finished: bool = True) -> list[st
     return sorted(n for n, p in names if not finished or files.exists(_hadoop(spark, f"{p}/_SUCCESS")[0]))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _hadoop(spark, path)
+    return bool(files.exists(at))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this package has written."""
     at, files = _hadoop(spark, path)

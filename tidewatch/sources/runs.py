@@ -14,13 +14,24 @@ def read_documents(spark: SparkSession, root: str, pattern: str, schema: str) ->
     return docs.select(run.alias("run_id"), F.nullif(split, F.lit("")).alias("split"), "*")
 
 
-def runs_report(bundles: DataFrame, evaluations: DataFrame, searches: DataFrame | None = None) -> DataFrame:
-    """One row per run: its metadata, its evaluations by split (map) and its policy search."""
+def runs_report(bundles: DataFrame, evaluations: DataFrame, searches: DataFrame | None = None, explanations: DataFrame | None = None,
+                top: int = 10) -> DataFrame:
+    """One row per run: its metadata, evaluations by split (map), policy search, and ``top`` features by importance.
+
+    ``searches``: run_id and the columns of one policy search.  ``explanations``: run_id, feature, importance, share; a row per feature.
+    """
     by_split = evaluations.groupBy("run_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "metrics")))).alias("evaluations")
     )
     out = bundles.join(by_split, "run_id", "left")
-    return out if searches is None else out.join(searches, "run_id", "left")
+    if searches is not None:
+        fields = [c for c in searches.columns if c != "run_id"]
+        out = out.join(searches.select("run_id", F.struct(*fields).alias("policy_search")), "run_id", "left")
+    if explanations is not None:
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("_order"), "feature", "importance", "share")))
+        best = explanations.groupBy("run_id").agg(F.transform(F.slice(ranked, 1, top), lambda r: r.dropFields("_order")).alias("features"))
+        out = out.join(best, "run_id", "left")
+    return out
 
 
 def promote(candidates: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.scoring import finite
 from tidewatch.operators.trailing import trailing_features
-from tidewatch.session import remove, stored, subfolders
+from tidewatch.session import exists, remove, stored, subfolders
 from tidewatch.spec import ICU, KEY, FeatureConfig, PanelSpec, feature_version
 
 TABLES = ("hourly", "outcomes", "encounters")
@@ -29,11 +28,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Was the folder written to the end (job commit marker present)?"""
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(f"{path}/_SUCCESS")
-        return bool(files.select("path").take(1))
-    except AnalysisException:
-        return False
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 #: Parts of a feature cache, by a hash of the stay.
