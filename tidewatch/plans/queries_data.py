@@ -536,11 +536,13 @@ def runs_report(spark, sf_dir):
     rows = p.state.select(*[F.coalesce(p.latest[m], F.lit(0.0)).alias(f"{m}__last") for m in _RUN_WEIGHTS])
     found = stored(drift.importance(rows, {f"{m}__last": F.lit(w) * F.col(f"{m}__last") for m, w in _RUN_WEIGHTS.items()}), "importance")
     each = F.explode(F.array(*[F.lit(f"run-{t}") for t in RUN_THRESHOLDS])).alias("run_id")
-    found.select(each, "*").write.partitionBy("run_id").json(f"{root}/explain")
+    document = found.agg(F.collect_list(F.struct("feature", "importance", "share")).alias("features"))  # three features
+    document.select(each, "*").write.partitionBy("run_id").json(f"{root}/explain")
     bundles = runs.read_documents(spark, root, "bundle/*", "model_kind string").drop("split")
     evals = runs.read_documents(spark, root, "eval/*/*", "metrics struct<accuracy:double,alarms:bigint>")
     searches = runs.read_documents(spark, root, "search/*", "threshold double, alarms bigint").drop("split")
-    explained = runs.read_documents(spark, root, "explain/*", "feature string, importance double, share double").drop("split")
+    explained = runs.read_documents(spark, root, "explain/*", "features array<struct<feature:string,importance:double,share:double>>")
+    explained = explained.select("run_id", F.inline("features"))
     report = runs.runs_report(bundles, evals, searches, explained)
     return report.select(
         "run_id", "model_kind", F.size("evaluations").cast("long").alias("n_splits"),
